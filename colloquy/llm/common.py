@@ -113,3 +113,18 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFr
     release(spark)
     # a star: each node but the root points at the root
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select("v", "v").distinct())
+
+
+def let(value, body):
+    """``body`` of ``value``, computed once: a lambda's argument is not inlined again and again as a column alias is."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+#: Rows up to which a lookup table is broadcast; a larger one is joined by shuffle.
+BROADCAST_ROWS = 100_000
+
+
+def lookup(left: DataFrame, right: DataFrame, on: list[str], how: str = "left") -> DataFrame:
+    """Join a materialised table of group values: by broadcast where its counted rows are few, else by shuffle with skewed keys split."""
+    small = right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return left.join(F.broadcast(right) if small else right, on, how)

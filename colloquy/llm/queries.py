@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from colloquy.llm.bpe import bpe_round_trip, digests
 from colloquy.llm.common import documents
+from colloquy.llm.quality_rules import quality_rules
 from colloquy.llm.simhash import simhash_components
 
 
@@ -10,8 +12,18 @@ def op5_simhash(spark, sf_dir):
     return simhash_components(documents(spark, sf_dir))
 
 
+def op8_bpe_trie(spark, sf_dir):
+    return digests(bpe_round_trip(documents(spark, sf_dir)))
+
+
+def op10_robust_outliers(spark, sf_dir):
+    return quality_rules(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op5_simhash": op5_simhash,
+    "op8_bpe_trie": op8_bpe_trie,
+    "op10_robust_outliers": op10_robust_outliers,
 }
 
 ORACLES: dict[str, str] = {}
