@@ -2,10 +2,25 @@
 
 from __future__ import annotations
 
+from colloquy.llm import decontam, line_dedup
 from colloquy.llm.bpe import bpe_round_trip, digests
 from colloquy.llm.common import documents
+from colloquy.llm.pii import find_pii, report
 from colloquy.llm.quality_rules import quality_rules
 from colloquy.llm.simhash import simhash_components
+from colloquy.llm.url_filter import url_filter
+
+
+def op1_spaced_seeds(spark, sf_dir):
+    return decontam.contamination_report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op2_line_spread(spark, sf_dir):
+    return line_dedup.line_report(documents(spark, sf_dir))
+
+
+def op3_contextual_pii(spark, sf_dir):
+    return report(find_pii(documents(spark, sf_dir)))
 
 
 def op5_simhash(spark, sf_dir):
@@ -16,14 +31,25 @@ def op8_bpe_trie(spark, sf_dir):
     return digests(bpe_round_trip(documents(spark, sf_dir)))
 
 
+def op9_url_filter(spark, sf_dir):
+    return url_filter(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op10_robust_outliers(spark, sf_dir):
     return quality_rules(documents(spark, sf_dir))
 
 
 QUERIES = {
+    "op1_spaced_seeds": op1_spaced_seeds,
+    "op2_line_spread": op2_line_spread,
+    "op3_contextual_pii": op3_contextual_pii,
     "op5_simhash": op5_simhash,
     "op8_bpe_trie": op8_bpe_trie,
+    "op9_url_filter": op9_url_filter,
     "op10_robust_outliers": op10_robust_outliers,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_spaced_seeds": decontam.ORACLE,
+    "op2_line_spread": line_dedup.ORACLE,
+}
