@@ -2,8 +2,8 @@
 
 A fingerprint holds 64 bits, each set where over half the text's shingle hashes set it. Rows of
 equal fingerprint are one class at once, so copies cost one comparison partner however many
-they are. Two fingerprints within ``radius`` bits agree in one of ``radius + 1`` blocks of the 64 bits
-(pigeonhole), so each fingerprint goes to one bucket per block and no link is lost. In a bucket,
+they are. Two fingerprints within ``radius`` bits agree in one of ``radius + 1`` blocks of the 64 bits, or in
+``a`` of ``radius + a`` (pigeonhole), so each fingerprint goes to one bucket per choice of blocks and no link is lost. In a bucket,
 fingerprints sorted by population count form tiles; a tile pair whose counts differ by more than the
 radius is skipped, others are compared in full with numpy exclusive-or and bit counts. Buckets
 above ``TILE`` rows are dealt out as tile pairs, so no task holds an unbounded bucket.
@@ -17,15 +17,17 @@ whose ids are all null has a null component_id; other columns of the input are i
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import bound_batches, connected_components, materialise, raw
+from colloquy.llm.common import bound_batches, connected_components, materialise, raw, row_key
 
 #: Rows of a tile; a matrix of TILE x TILE comparisons is held at a time.
 TILE = 1024
@@ -58,16 +60,16 @@ def fingerprint(text: bytes, width: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(id, fp): fp as a signed long, one row per row of ``docs``."""
+    """(id, k, fp): fp as a signed long, one row per row of ``docs``; k stands for the text."""
     bound_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([fingerprint(t, width) for t in raw(b.column(1))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], ["id", "fp"])
+            fp = np.array([fingerprint(t, width) for t in raw(b.column(2))], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp)], ["id", "k", "fp"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(work, f"id {kind}, fp long")
+    return docs.select(F.col(id_col).alias("id"), row_key(text_col).alias("k"), F.col(text_col).cast("string").alias("text")).mapInArrow(work, f"id {kind}, k long, fp long")
 
 
 def forest(fp: np.ndarray, radius: int, tile: int = 512) -> tuple[np.ndarray, np.ndarray]:
@@ -125,11 +127,20 @@ def _runs(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordB
     yield from done()
 
 
-def near_links(nodes: DataFrame, radius: int) -> DataFrame:
-    """(u, v) over the distinct fingerprints ``nodes.fp``: links whose components are those of all pairs within ``radius`` bits."""
-    cuts = [round(64 * k / (radius + 1)) for k in range(radius + 2)]
-    block = F.array(*[F.struct(F.lit(k).alias("b"), F.shiftrightunsigned(F.shiftleft("fp", 64 - cuts[k + 1]), 64 - cuts[k + 1] + cuts[k]).alias("x")) for k in range(radius + 1)])
-    dealt = nodes.select("fp", F.bit_count("fp").alias("pc"), F.explode(block).alias("k")).select("k.b", "k.x", "pc", "fp")
+def near_links(nodes: DataFrame, radius: int, agree: int | None = None) -> DataFrame:
+    """(u, v) over the distinct fingerprints ``nodes.fp``: links whose components are those of all pairs within ``radius`` bits.
+
+    Of ``radius + agree`` blocks, two such fingerprints share ``agree`` at least; each choice of so many blocks is a
+    bucket key. Every ``agree`` gives the same links; more fingerprints take a larger one, for keys of enough bits.
+    """
+    if agree is None:
+        bits = math.log2(max(2, nodes.count())) - 4
+        agree = next(a for a in range(1, 64) if a * 64 / (radius + a) >= bits or a == 4)
+    blocks = radius + agree
+    cuts = [round(64 * k / blocks) for k in range(blocks + 1)]
+    masks = [sum(((1 << cuts[k + 1]) - (1 << cuts[k])) for k in chosen) for chosen in itertools.combinations(range(blocks), agree)]
+    keys = F.array(*[F.struct(F.lit(i).alias("b"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("x")) for i, m in enumerate(masks)])
+    dealt = nodes.select("fp", F.bit_count("fp").alias("pc"), F.explode(keys).alias("k")).select("k.b", "k.x", "pc", "fp")
     # tiles of a large bucket: by population count, then by hash so that none exceeds TILE by much
     tiles = dealt.groupBy("b", "x", "pc").agg(F.count("*").alias("n"))
     large = tiles.groupBy("b", "x").agg(F.sum("n").alias("all"), F.collect_list(F.struct("pc", F.ceil(F.col("n") / TILE).alias("s"))).alias("tiles")).where(f"all > {2 * TILE}")
@@ -144,12 +155,28 @@ def near_links(nodes: DataFrame, radius: int) -> DataFrame:
     return ordered.mapInArrow(lambda it: _runs(it, radius), "u long, v long")
 
 
-def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2) -> DataFrame:
-    """One row per row of ``docs``: the id, fingerprint (hex), component_id (smallest id reachable) and class size."""
+def classes(docs: DataFrame, id_col: str, text_col: str, width: int, radius: int) -> tuple[DataFrame, DataFrame]:
+    """(id, k, fp) per row, and (fp, component_id, component_size) per fingerprint, both materialised."""
     fps = materialise(fingerprints(docs, id_col, text_col, width), "fp")
     nodes = materialise(fps.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "nodes")
     roots = connected_components(near_links(nodes, radius))
-    classes = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least", "n")
-    top = classes.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("component_size"))
-    known = materialise(classes.join(top, "root").select("fp", "component_id", "component_size"), "classes")
+    rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least", "n")
+    top = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("component_size"))
+    return fps, materialise(rooted.join(top, "root").select("fp", "root", "component_id", "component_size"), "classes")
+
+
+def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2) -> DataFrame:
+    """One row per row of ``docs``: the id, fingerprint (hex), component_id (smallest id reachable) and component size."""
+    fps, known = classes(docs, id_col, text_col, width, radius)
     return fps.join(known, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "component_size")
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 5) -> DataFrame:
+    """``docs`` with one row of each component: that of least id, null ids last. Unrelated fingerprints come within five bits with a chance of 5e-13."""
+    fps, known = classes(docs, id_col, text_col, width, radius)
+    rows = fps.groupBy("id", "k", "fp").agg(F.count("*").alias("n")).join(known.select("fp", "root"), "fp")
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "k", "n")).alias("f")).select(F.col("f.id").alias("_i"), F.col("f.k").alias("_k"), F.col("f.n").alias("_n"))
+    stay = docs.join(materialise(first, "first"), F.col(id_col).eqNullSafe(F.col("_i")) & (row_key(text_col) == F.col("_k")))
+    # rows repeated in full: only these few need a grouping of their own
+    once = stay.where("_n > 1").withColumn("_place", F.row_number().over(Window.partitionBy("_i", "_k").orderBy(F.lit(1)))).where("_place = 1")
+    return stay.where("_n = 1").select(*docs.columns).union(once.select(*docs.columns))

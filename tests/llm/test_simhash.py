@@ -54,7 +54,12 @@ def test_large_bucket_is_dealt_as_tiles(spark, monkeypatch):
     monkeypatch.setattr(simhash, "TILE", 8)
     rng = np.random.default_rng(1)
     fps = np.unique(np.concatenate([rng.integers(0, 1 << 12, 60).astype(np.uint64), rng.integers(0, 1 << 62, 30).astype(np.uint64)]))
-    links = near_links(spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long"), 2).collect()
+    nodes = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
+    for agree in (1, 2, 3):
+        held(fps, near_links(nodes, 2, agree).collect())
+
+
+def held(fps, links):
     part = {int(x): int(x) for x in fps}
 
     def top(x):
@@ -74,3 +79,11 @@ def test_large_bucket_is_dealt_as_tiles(spark, monkeypatch):
 def test_fingerprint():
     for t in ("", "a", "a b", "A b C d", "x\x1fy z w", "ÀÉ b c d e"):
         assert fingerprint(t.encode()) == slow_print(t)
+
+
+def test_keep_first(spark):
+    base = " ".join(f"w{i}" for i in range(400))
+    rows = [(7, base), (7, base), (3, base + " x"), (None, base), (None, "alone here"), (9, "other words"), (9, "other words"), (11, None), (12, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(str, (tuple(r) for r in simhash.keep_first(df).collect())))
+    assert got == sorted(map(str, [(3, base + " x"), (None, "alone here"), (9, "other words"), (11, None)]))
