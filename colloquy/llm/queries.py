@@ -5,9 +5,12 @@ from __future__ import annotations
 from colloquy.llm import decontam, line_dedup
 from colloquy.llm.bpe import bpe_round_trip, digests
 from colloquy.llm.common import documents
+from colloquy.llm.lm import lm_scores
 from colloquy.llm.pii import find_pii, report
+from colloquy.llm.quality import quality_report
 from colloquy.llm.quality_rules import quality_rules
 from colloquy.llm.simhash import simhash_components
+from colloquy.llm.suffix_dedup import cut_report, cut_texts
 from colloquy.llm.url_filter import url_filter
 
 
@@ -23,10 +26,22 @@ def op3_contextual_pii(spark, sf_dir):
     return report(find_pii(documents(spark, sf_dir)))
 
 
+def op4_empirical_bayes(spark, sf_dir):
+    return quality_report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op5_simhash(spark, sf_dir):
     return simhash_components(documents(spark, sf_dir))
 
 
+def op6_suffix_array(spark, sf_dir):
+    return cut_report(cut_texts(documents(spark, sf_dir)))
+
+
+def op7_attention_lm(spark, sf_dir):
+    return lm_scores(documents(spark, sf_dir))
+
+
 def op8_bpe_trie(spark, sf_dir):
     return digests(bpe_round_trip(documents(spark, sf_dir)))
 
@@ -43,7 +58,10 @@ QUERIES = {
     "op1_spaced_seeds": op1_spaced_seeds,
     "op2_line_spread": op2_line_spread,
     "op3_contextual_pii": op3_contextual_pii,
+    "op4_empirical_bayes": op4_empirical_bayes,
     "op5_simhash": op5_simhash,
+    "op6_suffix_array": op6_suffix_array,
+    "op7_attention_lm": op7_attention_lm,
     "op8_bpe_trie": op8_bpe_trie,
     "op9_url_filter": op9_url_filter,
     "op10_robust_outliers": op10_robust_outliers,
