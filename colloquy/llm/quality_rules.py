@@ -178,4 +178,60 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     known = robust_estimates(passed.select("g", *NAMES))
     far = distances(lookup(passed, known, ["g"])).select("_id", *counts, "base_failed", F.when(F.col("n") >= KEEP * MIN_GROUP, F.col("d2")).alias("distance2"))
     failed = stats.where("base_failed").select("_id", *counts, "base_failed", F.lit(None).cast("double").alias("distance2"))
-    return far.union(failed).select(F.col("_id").alias(id_col), *counts, "base_failed", (~F.col("base_failed") & ~F.coalesce(F.col("distance2") > CUTOFF, F.lit(False))).alias("kept"), "distance2")
+    return far.union(failed).select(F.col("_id").alias(id_col), *counts, "base_failed", (~F.col("base_failed") & ~F.coalesce(F.col("distance2") > CUTOFF, F.lit(False))).alias("kept"), F.round("distance2", 3).alias("distance2"))
+
+
+def oracle() -> str:
+    """The same rows in DuckDB SQL: the concentration steps written out one after another."""
+    space = "[\\x20\\x09-\\x0D]"
+    k = range(len(NAMES))
+    size = lambda keep: f"CAST(length(regexp_replace(t, '{keep}', '', 'g')) AS BIGINT)"
+    whole = lambda x: f"CAST(round({UNIT} * {x}) AS BIGINT)"
+    chars = "greatest(word_chars, 1)"
+    values = {
+        "log_word_length": f"ln({chars}::DOUBLE / greatest(n_words, 1))", "root_symbols": f"sqrt(n_symbols::DOUBLE / {chars})", "root_capitals": f"sqrt(n_capitals::DOUBLE / {chars})",
+        "root_dup_lines": "sqrt(n_dup_lines::DOUBLE / greatest(n_lines, 1))", "root_marks": f"sqrt(n_marks::DOUBLE / {chars})",
+    }
+    parts = [f"""
+t0 AS (SELECT doc_id, coalesce(lang, '') AS l, coalesce(source, '') AS s, coalesce(text, '') AS t FROM documents),
+t1 AS (SELECT *, list_filter(regexp_split_to_array(t, '{space}+'), lambda w: w <> '') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM t0),
+wi AS (SELECT doc_id, unnest(range(0, len(w))) AS i, unnest(w) AS x FROM t1),
+tri AS (SELECT doc_id, i, x || ' ' || lead(x, 1) OVER q || ' ' || lead(x, 2) OVER q AS g FROM wi WINDOW q AS (PARTITION BY doc_id ORDER BY i)),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM tri WHERE g IS NOT NULL) WHERE c > 1),
+rep AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, i + unnest([0, 1, 2]) AS i FROM twice) GROUP BY doc_id),
+c0 AS (SELECT t1.doc_id, l, s, CAST(len(w) AS BIGINT) AS n_words, {size(space)} AS word_chars, {size("[^#*$%&|<>]")} AS n_symbols, {size("[^A-ZÀ-Þ]")} AS n_capitals, {size("[^!-/:-@\\[-`{-~]")} AS n_marks,
+  CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words FROM t1 LEFT JOIN rep USING (doc_id)),
+st AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed, {", ".join(f"{whole(values[n])} AS x{i}" for i, n in enumerate(NAMES))} FROM c0),
+si AS (SELECT l, s, count(*) AS n, sum(CASE WHEN count(*) < {MIN_GROUP} THEN count(*) ELSE 0 END) OVER (PARTITION BY l) AS small FROM st WHERE NOT base_failed GROUP BY l, s),
+pa AS (SELECT st.*, CASE WHEN n >= {MIN_GROUP} THEN l || chr(1) || s WHEN small >= {MIN_GROUP} THEN l || chr(2) ELSE chr(3) END AS g FROM st JOIN si USING (l, s) WHERE NOT base_failed),
+md AS (SELECT g, count(*) AS n, {", ".join(f"list_sort(list(x{i}))[ceil(0.5 * count(*))::BIGINT] AS m{i}" for i in k)} FROM pa GROUP BY g),
+f0 AS (SELECT pa.g, any_value(n) AS n, {", ".join(f"any_value(m{i}) AS m{i}, greatest(1.4826::DOUBLE * list_sort(list(abs(x{i} - m{i})))[ceil(0.5 * any_value(n))::BIGINT], {float(FLOORS[n])}::DOUBLE) AS l{i}_{i}" for i, n in enumerate(NAMES))}{"".join(f", 0::DOUBLE AS l{i}_{j}" for i in k for j in range(i))} FROM pa JOIN md USING (g) GROUP BY pa.g)"""]
+
+    def far(source: str, name: str) -> str:
+        out, last = [], f"(SELECT pa.*, f.n AS kept_n, {', '.join(f'f.m{i}' for i in k)}, {', '.join(f'f.l{i}_{j}' for i in k for j in range(i + 1))} FROM pa JOIN {source} f USING (g))"
+        for i in k:
+            rest = f"(x{i} - m{i})" + "".join(f" - l{i}_{j} * y{j}" for j in range(i))
+            out.append(f"{name}y{i} AS (SELECT *, ({rest}) / l{i}_{i} AS y{i} FROM {last})")
+            last = f"{name}y{i}"
+        return ",\n".join([*out, f"{name} AS (SELECT *, {' + '.join(f'y{i} * y{i}' for i in k)} AS d2 FROM {last})"])
+
+    for step in range(1, STEPS + 1):
+        now, old = f"f{step}", f"f{step - 1}"
+        parts.append(far(old, f"a{step}"))
+        parts.append(f"b{step} AS (SELECT *, CAST(floor({BINS} * log2(1 + d2)) AS BIGINT) AS bin FROM a{step})")
+        parts.append(f"e{step} AS (SELECT g, list_sort(list(bin))[ceil({KEEP} * count(*))::BIGINT] AS border FROM b{step} GROUP BY g)")
+        parts.append(f"c{step} AS (SELECT g, count(*) AS n, {', '.join(f'sum(x{i})::DOUBLE / count(*) AS m{i}' for i in k)}, {', '.join(f'sum(x{i} * x{j})::DOUBLE AS q{i}_{j}' for i in k for j in range(i + 1))} FROM b{step} JOIN e{step} USING (g) WHERE bin <= border GROUP BY g)")
+        last = f"c{step}"
+        for i in k:
+            for j in range(i + 1):
+                cov = f"{CONSISTENT} * (q{i}_{j} / n - m{i} * m{j})"
+                if i == j:
+                    cov = f"greatest({cov}, 0.0::DOUBLE) + {float(FLOORS[NAMES[i]]) ** 2}::DOUBLE"
+                cov += "".join(f" - l{i}_{p} * l{j}_{p}" for p in range(j))
+                parts.append(f"h{step}_{i}_{j} AS (SELECT *, {f'sqrt(greatest({cov}, 1.0::DOUBLE))' if i == j else f'({cov}) / l{j}_{j}'} AS l{i}_{j} FROM {last})")
+                last = f"h{step}_{i}_{j}"
+        parts.append(f"{now} AS (SELECT * FROM {last})")
+    parts.append(far(f"f{STEPS}", "z"))
+    shown = "doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed"
+    d2 = f"CASE WHEN kept_n >= {KEEP * MIN_GROUP} THEN d2 END"
+    return "WITH " + ",\n".join(parts) + f"\nSELECT {shown}, NOT coalesce({d2} > {CUTOFF}, false) AS kept, round({d2}, 3) AS distance2 FROM z UNION ALL SELECT {shown}, false, NULL FROM st WHERE base_failed"

@@ -8,6 +8,7 @@ from colloquy.llm.common import documents
 from colloquy.llm.lm import lm_scores
 from colloquy.llm.pii import find_pii, report
 from colloquy.llm.quality import quality_report
+from colloquy.llm.quality_rules import oracle as rules_oracle
 from colloquy.llm.quality_rules import quality_rules
 from colloquy.llm.simhash import simhash_components
 from colloquy.llm.suffix_dedup import cut_report, cut_texts
@@ -70,4 +71,5 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op1_spaced_seeds": decontam.ORACLE,
     "op2_line_spread": line_dedup.ORACLE,
+    "op10_robust_outliers": rules_oracle(),
 }
