@@ -14,7 +14,7 @@ def spark():
 
     session = (
         SparkSession.builder.master("local[8]").appName("tests")
-        .config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false")
+        .config("spark.sql.shuffle.partitions", "2").config("spark.sql.autoBroadcastJoinThreshold", "20m").config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "6g")
         .config("spark.ui.showConsoleProgress", "false").getOrCreate()
     )
