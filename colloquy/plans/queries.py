@@ -319,7 +319,7 @@ def _questions(spark, sf_dir):
 @query()
 def hybrid_retrieve(spark, sf_dir):
     """Chunk fold, BM25 and hashed embeddings, fusion, the best ten and their labels; questions are turns of the corpus."""
-    chunks, questions = _chunks(spark, sf_dir), _questions(spark, sf_dir)
+    chunks, questions = _chunks(spark, sf_dir).persist(), _questions(spark, sf_dir)  # read by both searches and the labels
     n, avgdl = search.corpus_statistics(chunks)
     lexical = search.bm25(search.postings(chunks), n, avgdl, search.query_terms(questions), S.lexical_k)
     # sparse unit vectors meet on their indexes: the dot product is a grouped sum
