@@ -4,8 +4,8 @@ Words new to a worker go into a trie, one symbol an edge, the last symbol of a w
 last token of its encoding follows from the prefixes before it: it is the vocabulary token that ends the
 prefix and that may follow the last token of what is left. So a depth-first walk that carries the
 last tokens along its path encodes each shared prefix once, and a word's encoding is read back
-from its end. Whether two tokens may be neighbours is decided by merging their symbols, once per pair.
-Documents look their words up; the table of known words is bounded and starts anew when full.
+from its end. Whether two tokens may be neighbours is decided by the merges at their border, once per pair.
+Documents look their words up; the table of known words is bounded.
 
 The vocabulary file (a JSON of the tokenizers library: BPE with an end-of-word suffix, NFC, lower case) is a parameter,
 read from the worker's own installation and never copied.
@@ -30,8 +30,10 @@ from pyspark.sql import functions as F
 
 from colloquy.llm.common import bound_batches, strings
 
-#: Words that a worker remembers.
-KNOWN_WORDS = 300_000
+#: Words in each of the two tables that a worker remembers; words met again move on from the older one, which goes when the newer is full.
+KNOWN_WORDS = 200_000
+#: Rank of a pair that never merges.
+_NEVER = (1 << 30, -1)
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: The same over texts of Latin letters, ASCII digits, marks and blanks only, for the faster engine.
 LATIN = re.compile(r"[\t-\r\x20-\x7eÀ-ÖØ-öø-ɏ]*")
@@ -62,6 +64,7 @@ class TrieEncoder:
         self.names = {i: t for t, i in model["vocab"].items()}
         self.ids = {symbols(t): i for t, i in model["vocab"].items()}
         self.symbols = {i: s for s, i in self.ids.items()}
+        self.sizes = {i: len(s) for s, i in self.ids.items()}
         self.ranks = {}
         for rank, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
@@ -71,34 +74,76 @@ class TrieEncoder:
         self.names |= {i: t for t, i in self.special.items()}
         self.splitter = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.pieces = regex.compile(PIECES)
-        # tokens that merging never forms can't end a prefix
-        self.ends = {s: i for s, i in self.ids.items() if len(s) == 1 or self.merge(s) == [i]}
-        self.longest = max(map(len, self.ends))
+        # every end of a token, with the token's id if it is one: a walk back from a prefix's end stops where none goes on
+        self.endings: dict[str, int | None] = {}
+        for text, i in self.ids.items():
+            for k in range(1, len(text)):
+                self.endings.setdefault(text[k:], None)
+            self.endings[text] = i
+        self.longest = max(map(len, self.ids))
+        self.spines: dict[int, tuple[list, list] | None] = {}
         self.joins: dict[tuple[int, int], bool] = {}
         self.known: dict[str, tuple[list[int], str]] = {}
+        self.before: dict[str, tuple[list[int], str]] = {}
 
-    def merge(self, symbols: str) -> list[int]:
-        """Plain BPE: the pair of least rank first, leftmost on ties."""
+    def merge(self, symbols: str, steps: list | None = None) -> list[int]:
+        """Plain BPE: the pair of least rank first, leftmost on ties. steps: gets (place, rank, left part, right part) of each merge."""
         ids = [self.ids[c] for c in symbols]
         while len(ids) > 1:
-            found = min((r, k) for k, p in enumerate(zip(ids, ids[1:])) if (r := self.ranks.get(p, (1 << 30, 0))) is not None)
-            (rank, new), k = found
-            if rank == 1 << 30:
+            rank, k = min((self.ranks.get(p, _NEVER)[0], k) for k, p in enumerate(zip(ids, ids[1:])))
+            if rank == _NEVER[0]:
                 break
-            ids[k : k + 2] = [new]
+            if steps is not None:
+                steps.append((k, rank, len(ids) - 2))
+            ids[k : k + 2] = [self.ranks[ids[k], ids[k + 1]][1]]
         return ids
 
+    def spine(self, token: int) -> tuple[list, list] | None:
+        """The symbols that stand in turn at a token's left and right end while it is merged, each with the rank that ends it.
+
+        None for a token that merging its symbols doesn't give.
+        """
+        if token in self.spines:
+            return self.spines[token]
+        steps: list = []
+        text = self.symbols[token]
+        out = None
+        if self.merge(text, steps) == [token]:
+            ids, left, right = [self.ids[c] for c in text], [], []
+            for k, rank, last in steps:
+                if k == 0:
+                    left.append((ids[0], rank))
+                if k == last:
+                    right.append((ids[-1], rank))
+                ids[k : k + 2] = [self.ranks[ids[k], ids[k + 1]][1]]
+            out = ([*left, (token, _NEVER[0])], [*right, (token, _NEVER[0])])
+        self.spines[token] = out
+        return out
+
     def may_follow(self, a: int, b: int) -> bool:
+        """Whether merging the symbols of both gives just these two tokens: no merge across the border comes before those that use its sides up.
+
+        Of equal pairs the left one is merged first, so a merge across must come strictly before one on its left and not after one on its right.
+        """
         if (said := self.joins.get((a, b))) is None:
-            said = self.joins[a, b] = self.merge(self.symbols[a] + self.symbols[b]) == [a, b]
+            x, y = self.spine(a), self.spine(b)
+            get = self.ranks.get
+            said = x is not None and y is not None and not any((r := get((p, q), _NEVER)[0]) < ends and r <= ends_q and r != _NEVER[0] for p, ends in x[1] for q, ends_q in y[0])
+            self.joins[a, b] = said
         return said
 
     def last_token(self, tail: str, lasts: list[int]) -> int:
         """The last token of the encoding of the prefix of len(lasts) symbols that ends with ``tail``; lasts[d] is that of its first d symbols."""
-        n, depth, ends = len(tail), len(lasts), self.ends
-        for k in range(n, 0, -1):
-            t = ends.get(tail[n - k :])
-            if t is not None and (k == depth or self.may_follow(lasts[depth - k], t)):
+        n, depth, get = len(tail), len(lasts), self.endings.get
+        found = []
+        for k in range(1, n + 1):
+            t = get(tail[n - k :], -1)
+            if t == -1:
+                break
+            if t is not None:
+                found.append((k, t))
+        for k, t in reversed(found):
+            if self.spine(t) is not None if k == depth else self.may_follow(lasts[depth - k], t):
                 return t
         raise ValueError(f"no token ends {tail!r}")
 
@@ -112,7 +157,7 @@ class TrieEncoder:
                 node = node.setdefault(c, {})
             node[chr(256 + ord(b[-1]))] = w
         # lasts[d]: the last token of the path's first d symbols
-        sizes = {i: len(s) for s, i in self.ends.items()}
+        sizes = self.sizes
         lasts, longest = [-1], self.longest
         stack = [("", iter(trie.items()))]  # the end of the path, its last entry's depth being the stack's
         while stack:
@@ -144,7 +189,7 @@ class TrieEncoder:
     def encode_batch(self, texts: list[str]) -> list[tuple[list[int], str]]:
         """Per text the ids and the decoded text."""
         if len(self.known) > KNOWN_WORDS:
-            self.known.clear()
+            self.known, self.before = {}, self.known
         if len(self.joins) > 4 * KNOWN_WORDS:
             self.joins.clear()
         split = []
@@ -152,6 +197,10 @@ class TrieEncoder:
             parts = self.splitter.split(t) if self.splitter and any(s in t for s in self.special) else [t]
             split.append([self.words(p) if k % 2 == 0 else p for k, p in enumerate(parts)])
         new = {w for parts in split for p in parts if isinstance(p, list) for w in p}.difference(self.known)
+        if new and self.before:
+            again = new & self.before.keys()
+            self.known.update((w, self.before[w]) for w in again)
+            new -= again
         if new:
             self.learn(list(new))
         out = []
@@ -197,12 +246,12 @@ def bpe_round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         enc = encoder(vocabulary or vocabulary_path())
         for b in batches:
             texts = strings(b.column(1))
-            for at in range(0, len(texts), 256):
-                got = enc.encode_batch(texts[at : at + 256])
+            for at in range(0, len(texts), 1024):
+                got = enc.encode_batch(texts[at : at + 1024])
                 ends = np.cumsum([0, *(len(i) for i, _ in got)], dtype=np.int32)
                 flat = np.fromiter((i for ids, _ in got for i in ids), np.int32, ends[-1])
                 ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 256), ids, pa.array([s for _, s in got], pa.string())], ["id", "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 1024), ids, pa.array([s for _, s in got], pa.string())], ["id", "ids", "decoded"])
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(work, f"id {kind}, ids array<int>, decoded string").withColumnRenamed("id", id_col)
 
