@@ -6,6 +6,7 @@ import atexit
 import gc
 import shutil
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -46,9 +47,14 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of finished, unreferenced plans now rather than at some later collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark drop the shuffle files of finished, unreferenced plans now rather than at some later collection.
+
+    The driver's first collection frees the plans, a later one what only they referred to.
+    """
+    for _ in range(3):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def bound_batches(spark: SparkSession) -> None:

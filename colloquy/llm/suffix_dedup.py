@@ -26,6 +26,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -53,10 +54,12 @@ def runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         if len(part) < LENGTH:
             break
         word = np.ndarray((len(part) - 7,), "<u8", np.ascontiguousarray(part), strides=(1,))
-        h = word[: len(part) - GRAM + 1] * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
-        h += word[8:] * np.uint64(0xC2B2AE3D27D4EB4F)
-        h ^= h >> np.uint64(32)
+        n_grams = len(part) - GRAM + 1
+        h = np.zeros(n_grams, np.uint64)
+        for at in range(0, GRAM, 8):
+            h += word[at : at + n_grams]
+            h *= np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
         h *= np.uint64(0xD6E8FEB86659FD93)
         h = (h & np.uint64((1 << 64) - (1 << _PLACE))) | np.arange(len(h), dtype=np.uint64)  # ties: the leftmost
         reach = 1
@@ -107,9 +110,17 @@ def earlier_windows(text: np.ndarray, starts: np.ndarray, order: np.ndarray) ->
 _ROW = "bucket int, uid string, kind int, data binary"
 
 
+def _pack(x: tuple) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(x, 5))
+
+
+def _unpack(data: bytes) -> tuple:
+    return pickle.loads(zstandard.ZstdDecompressor().decompress(data))
+
+
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
     b, u, k, d = zip(*rows) if rows else ((), (), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(u, pa.string()), pa.array(k, pa.int32()), pa.array([pickle.dumps(x, 5) for x in d], pa.binary())], ["bucket", "uid", "kind", "data"])
+    return pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(u, pa.string()), pa.array(k, pa.int32()), pa.array([_pack(x) for x in d], pa.binary())], ["bucket", "uid", "kind", "data"])
 
 
 def _uid(keys: np.ndarray, ids: list, seq: int) -> str:
@@ -139,7 +150,7 @@ def _exchange(sent: DataFrame, buckets: int, answer: Callable[[list[tuple]], lis
             for _, uid, kind, data in zip(*(c.to_pylist() for c in b.columns)):
                 if kind == 2:
                     uids.append(uid)
-                    entries.append(pickle.loads(data))
+                    entries.append(_unpack(data))
                 else:
                     yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([uid]), pa.array([kind], pa.int32()), pa.array([data], pa.binary())], ["bucket", "uid", "kind", "data"])
         for i, reply in answer(entries):
@@ -151,9 +162,9 @@ def _exchange(sent: DataFrame, buckets: int, answer: Callable[[list[tuple]], lis
         for b in batches:
             for _, uid, kind, data in zip(*(c.to_pylist() for c in b.columns)):
                 if kind == 0:
-                    texts[uid] = pickle.loads(data)
+                    texts[uid] = _unpack(data)
                 else:
-                    replies.setdefault(uid, []).append(pickle.loads(data))
+                    replies.setdefault(uid, []).append(_unpack(data))
         for uid, got in replies.items():
             ids, keys = texts[uid]
             text, place, count = (np.concatenate(c).astype(np.int64) for c in zip(*got))
