@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from colloquy.llm.common import bound_batches, strings
 
 #: Words in each of the two tables that a worker remembers; words met again move on from the older one, which goes when the newer is full.
-KNOWN_WORDS = 200_000
+KNOWN_WORDS = 100_000
 #: Rank of a pair that never merges.
 _NEVER = (1 << 30, -1)
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -190,7 +190,7 @@ class TrieEncoder:
         """Per text the ids and the decoded text."""
         if len(self.known) > KNOWN_WORDS:
             self.known, self.before = {}, self.known
-        if len(self.joins) > 4 * KNOWN_WORDS:
+        if len(self.joins) > 2 * KNOWN_WORDS:
             self.joins.clear()
         split = []
         for t in texts:
@@ -218,6 +218,10 @@ class TrieEncoder:
             out.append((ids, " ".join(shown)))
         return out
 
+    def forget(self) -> None:
+        """Give the tables back; a worker process outlives its task and would hold them through later stages."""
+        self.known, self.before, self.joins = {}, {}, {}
+
     def encode(self, text: str) -> list[int]:
         return self.encode_batch([text])[0][0]
 
@@ -246,12 +250,13 @@ def bpe_round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         enc = encoder(vocabulary or vocabulary_path())
         for b in batches:
             texts = strings(b.column(1))
-            for at in range(0, len(texts), 1024):
-                got = enc.encode_batch(texts[at : at + 1024])
+            for at in range(0, len(texts), 512):
+                got = enc.encode_batch(texts[at : at + 512])
                 ends = np.cumsum([0, *(len(i) for i, _ in got)], dtype=np.int32)
                 flat = np.fromiter((i for ids, _ in got for i in ids), np.int32, ends[-1])
                 ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 1024), ids, pa.array([s for _, s in got], pa.string())], ["id", "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 512), ids, pa.array([s for _, s in got], pa.string())], ["id", "ids", "decoded"])
+        enc.forget()
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(work, f"id {kind}, ids array<int>, decoded string").withColumnRenamed("id", id_col)
 
