@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import decontam, line_dedup, quality, simhash
+from colloquy.llm import decontam, line_dedup, near_copies, quality
 from colloquy.llm.bpe import bpe_round_trip, digests
 from colloquy.llm.common import materialise
 
@@ -27,8 +27,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-copy group stays."""
-    return simhash.keep_first(docs)
+    """One document of each near-copy group stays: five-word shingles, similarity 0.8, every pair."""
+    return near_copies.keep_first(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
