@@ -342,7 +342,7 @@ def bm25_porter(spark, sf_dir):
 @query()
 def mmr_select(spark, sf_dir):
     v = _vectors(spark, sf_dir)
-    asked = v.where("id < 20").select(F.col("id").alias("query_id"), "vec")
+    asked = v.where("id % 20 = 0").select(F.col("id").alias("query_id"), "vec")
     near = search.dense_search(v, asked, S.dense_k, S.min_dense_similarity)
     rows = near.select("query_id", "id", F.col("rank").alias("place"), F.col("score").alias("affinity"), (1 / (S.rrf_k + F.col("rank"))).alias("fused")).join(v.select("id", "vec"), "id")
     return rank.mmr_select(rows, S.final_k, S.mmr_lambda)

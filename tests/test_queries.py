@@ -30,3 +30,9 @@ def test_query(spark, sf_dir, name):
     want = rows([d[0] for d in cur.description], cur.fetchall())
     assert got[0] == want[0]
     assert got[1] == want[1]
+
+
+def test_mmr_select_asks_every_twentieth_vector(spark):
+    at = "/root/testdata/sf0.01"
+    ids = {r.vec_id for r in spark.read.parquet(f"{at}/embeddings.parquet").where("vec_id % 20 = 0").collect()}
+    assert {r.query_id for r in QUERIES["mmr_select"](spark, at).collect()} == ids and max(ids) >= 20
