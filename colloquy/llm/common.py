@@ -22,9 +22,11 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder that ``spark.checkpoint.dir`` names; a temporary folder of this process only where none is set."""
+    """The shared folder that ``spark.checkpoint.dir`` names; where none is set, a temporary folder in local mode and an error on a cluster."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="colloquy-")
         atexit.register(shutil.rmtree, root, True)
         spark.sparkContext.setCheckpointDir(root)
@@ -91,6 +93,11 @@ def row_key(text: str = "text"):
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
+def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(r, id, k): each row as one struct, so that no column name of the caller meets one of ours; ``r.*`` gives the row back."""
+    return docs.select(F.struct("*").alias("r"), F.col(id_col).alias("id"), row_key(text_col).alias("k"))
+
+
 def ascii_lower(column):
     """Lower-case A-Z and nothing else."""
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -126,11 +133,24 @@ def let(value, body):
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-#: Rows up to which a lookup table is broadcast; a larger one is joined by shuffle.
-BROADCAST_ROWS = 100_000
+#: Bytes up to which a lookup table is broadcast; a larger one is joined by shuffle.
+BROADCAST_BYTES = 16 << 20
+
+
+def row_bytes(df: DataFrame):
+    """A column: about how much of memory a row takes, arrays and strings by their length."""
+    out = F.lit(0).cast("long")
+    for f in df.schema:
+        kind = f.dataType.typeName()
+        size = F.size(f.name) * 8 if kind in ("array", "map") else F.octet_length(f.name) if kind in ("string", "binary") else F.lit(8)
+        out = out + F.coalesce(size.cast("long"), F.lit(0)) + 8
+    return out
+
+
+def table_bytes(df: DataFrame) -> int:
+    return df.agg(F.coalesce(F.sum(row_bytes(df)), F.lit(0))).first()[0]
 
 
 def lookup(left: DataFrame, right: DataFrame, on: list[str], how: str = "left") -> DataFrame:
-    """Join a materialised table of group values: by broadcast where its counted rows are few, else by shuffle with skewed keys split."""
-    small = right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return left.join(F.broadcast(right) if small else right, on, how)
+    """Join a materialised table of group values: by broadcast where its summed bytes are few, else by shuffle with skewed keys split."""
+    return left.join(F.broadcast(right) if table_bytes(right) <= BROADCAST_BYTES else right, on, how)

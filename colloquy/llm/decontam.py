@@ -6,23 +6,31 @@ fixes an alignment; there, tokens are compared position by position, and the ite
 tokens (or the whole item, where shorter) agrees in SHARE of them. The three masks meet every placement of up to
 WINDOW * (1 - SHARE) substitutions, so the hashes lose no such window. DataFrame functions only.
 
-Tokens are runs of letters and digits, lower-cased; items under 5 tokens are too short to be told from common speech and
-match nothing; windows under 8 tokens must agree in full.
+Tokens are runs of letters and digits, lower-cased; windows under 8 tokens must agree in full, and items shorter than every mask are
+met by a mask of their own length that picks all their tokens.
 
-Cases: null texts have no token; null or repeated ids keep their own rows' results, rows of equal id and text giving one; extra
-columns are ignored by ``contaminated`` and pass through ``remove_contaminated``; empty tables give no rows.
+Seeds of the benchmark are broadcast up to a size in bytes. Beyond it, a table of at most CELLS hash cells is, which drops most
+positions of the texts before the rest are shuffled.
+
+Cases: null texts and items have no token and match nothing; null or repeated ids keep their own rows' results, rows of equal id and text giving one, and
+so do items of equal id; very long texts are met whole, with hits in lists of HITS at most; of windows that match equally well none is preferred, as only
+their size and matches are told; extra columns are ignored by ``contaminated`` and pass through ``remove_contaminated`` whatever their names; empty tables give no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import lookup, materialise, row_key
+from colloquy.llm.common import BROADCAST_BYTES, lookup, materialise, packed, row_key, table_bytes
 
 #: Offsets that each mask picks.
 MASKS = ((0, 1, 2, 3, 4), (0, 1, 2, 4, 5), (0, 1, 3, 6, 7))
 WINDOW, SHARE, EXACT_BELOW = 20, 0.8, 8
+#: Items of fewer tokens have a mask of their own.
+SHORT = 5
+#: Hash cells of the benchmark's seeds, and hits of a text that are verified together.
+CELLS, HITS = 1 << 21, 1000
 
 
 def needed(window):
@@ -35,37 +43,52 @@ def _tokens(text_col: str):
     return F.transform(words, lambda x: F.xxhash64(x))
 
 
-def _seeds(h, m: int):
-    """Hash of the tokens that mask ``m`` picks, for each start in the token array ``h``."""
-    span = MASKS[m][-1] + 1
-    each = lambda i: F.xxhash64(F.lit(m), *[F.get(h, i + k) for k in MASKS[m]])
+def _seeds(h, mask: tuple[int, ...], m: int):
+    """Hash of the tokens that mask number ``m`` picks, for each start in the token array ``h``."""
+    span = mask[-1] + 1
+    each = lambda i: F.xxhash64(F.lit(m), *[F.get(h, i + k) for k in mask])
     return F.when(F.size(h) < span, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(0), F.size(h) - span), each))
 
 
-def _positions(rows: DataFrame, keep: list[str]) -> DataFrame:
+def _positions(rows: DataFrame, keep: list[str], masks: list[tuple[int, ...]]) -> DataFrame:
     """keep, n, seed and its index ``at`` in the seeds of all masks one after another; rows hold the token array h."""
-    seeds = F.concat(*[_seeds(F.col("h"), m) for m in range(len(MASKS))])
+    seeds = F.concat(*[_seeds(F.col("h"), mask, m) for m, mask in enumerate(masks)])
     return rows.select(*keep, F.size("h").alias("n"), F.posexplode(seeds).alias("at", "seed"))
 
 
-def _start(at, n, m):
+def _start(at, n, m, masks: list[tuple[int, ...]]):
     """The start in the text of seed ``at``: less the seeds of the masks before ``m``."""
     before, out = F.lit(0), None
-    for k, mask in enumerate(MASKS):
+    for k, mask in enumerate(masks):
         out = F.when(m == k, at - before) if out is None else out.when(m == k, at - before)
         before = before + F.greatest(n - mask[-1], F.lit(0))
     return out
 
 
+def _met(positions: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Positions of the texts joined with the benchmark's seeds."""
+    if table_bytes(seeds) <= BROADCAST_BYTES:
+        return positions.join(F.broadcast(seeds), "seed")
+    cell = F.pmod("seed", F.lit(CELLS)).alias("cell")
+    cells = materialise(seeds.select(cell).distinct(), "cells")  # CELLS rows at most
+    return positions.withColumn("cell", cell).join(F.broadcast(cells), "cell", "left_semi").drop("cell").join(seeds, "seed")
+
+
 def contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(id, row key, item, window, matched): one row per text and benchmark item found in it, with its best window."""
-    items = materialise(bench.select(F.col(item_col).alias("item"), row_key(item_text).alias("key"), _tokens(item_text).alias("h")).where("size(h) >= 5").distinct(), "items")
-    seeds = _positions(items, ["item", "key"]).withColumn("m", F.explode(F.array(*[F.lit(m) for m in range(len(MASKS))])))
-    seeds = seeds.withColumn("j", _start(F.col("at"), F.col("n"), F.col("m"))).where(f"j >= 0 and j < n - element_at(array({', '.join(str(m[-1]) for m in MASKS)}), m + 1)")
-    seeds = materialise(seeds.select("seed", "m", "item", "key", "j", F.col("n").alias("len")), "seeds")
+    items = materialise(bench.select(F.col(item_col).alias("item"), row_key(item_text).alias("key"), _tokens(item_text).alias("h")).where("size(h) > 0").distinct(), "items")
+    short = sorted(r.n for r in items.where(F.size("h") < SHORT).select(F.size("h").alias("n")).distinct().collect())  # SHORT - 1 numbers at most
+    masks = [*MASKS, *[tuple(range(n)) for n in short]]
+    spans = F.array(*[F.lit(mask[-1]) for mask in masks])
+    seeds = _positions(items, ["item", "key"], masks).withColumn("m", F.explode(F.sequence(F.lit(0), F.lit(len(masks) - 1))))
+    seeds = seeds.withColumn("j", _start(F.col("at"), F.col("n"), F.col("m"), masks)).where((F.col("j") >= 0) & (F.col("j") < F.col("n") - F.get(spans, "m")))
+    own = (F.col("m") < len(MASKS)) | (F.col("n") == F.get(spans, "m") + 1)  # a short item's mask is for items of its length
+    seeds = materialise(seeds.where(own).select("seed", "m", "item", "key", "j", F.col("n").alias("len")), "seeds")
     texts = docs.select(F.col(id_col).alias("id"), row_key(text_col).alias("k"), _tokens(text_col).alias("h"))
-    hits = lookup(_positions(texts, ["id", "k"]), seeds, ["seed"], "inner").withColumn("diag", _start(F.col("at"), F.col("n"), F.col("m")) - F.col("j"))
-    hits = hits.groupBy("id", "k", "item", "key", "len", "diag").agg(F.lit(1).alias("one")).groupBy("id", "k").agg(F.collect_list(F.struct("item", "key", "len", "diag")).alias("hits"))
+    hits = _met(_positions(texts, ["id", "k"], masks), seeds).withColumn("diag", _start(F.col("at"), F.col("n"), F.col("m"), masks) - F.col("j"))
+    hits = hits.groupBy("id", "k", "item", "key", "len", "diag").agg(F.lit(1).alias("one"))
+    hits = hits.withColumn("part", F.floor((F.row_number().over(Window.partitionBy("id", "k").orderBy("item", "key", "diag")) - 1) / HITS))
+    hits = hits.groupBy("id", "k", "part").agg(F.collect_list(F.struct("item", "key", "len", "diag")).alias("hits"))
     hits = materialise(hits.withColumnsRenamed({"id": "_i", "k": "_k"}), "hits")
     slim = docs.select(F.col(id_col).alias("id"), row_key(text_col).alias("k"), F.col(text_col).cast("string").alias("text"))
     met = slim.join(hits, F.col("id").eqNullSafe(F.col("_i")) & (F.col("k") == F.col("_k"))).select("id", "k", _tokens("text").alias("h"), "hits")
@@ -87,7 +110,7 @@ def contamination_report(docs: DataFrame, bench: DataFrame) -> DataFrame:
 def remove_contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the texts in which a benchmark item was found."""
     found = materialise(contaminated(docs, bench, id_col, text_col).select(F.col("id").alias("_i"), F.col("k").alias("_k")).distinct(), "found")
-    return docs.join(found, F.col(id_col).eqNullSafe(F.col("_i")) & (row_key(text_col) == F.col("_k")), "left_anti")
+    return packed(docs, id_col, text_col).join(found, F.col("id").eqNullSafe(F.col("_i")) & (F.col("k") == F.col("_k")), "left_anti").select("r.*")
 
 
 ORACLE = f"""
@@ -98,7 +121,7 @@ WITH d AS (
 ), dt AS (
   SELECT doc_id, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS t FROM d
 ), bt AS (
-  SELECT item_id, len(w) AS n, least(len(w), {WINDOW}) AS win, unnest(range(1, len(w) + 1)) AS j, unnest(w) AS t FROM b WHERE len(w) >= 5
+  SELECT item_id, len(w) AS n, least(len(w), {WINDOW}) AS win, unnest(range(1, len(w) + 1)) AS j, unnest(w) AS t FROM b
 ), same AS (
   SELECT doc_id, item_id, win, p - j AS diag, j FROM dt JOIN bt USING (t)
 ), dense AS (

@@ -9,8 +9,8 @@ is kept once rather than lost. DataFrame functions only.
 Lines are compared without their outer ASCII white space by 64- and 32-bit hashes together; blank lines are never boilerplate.
 
 Cases: a null text has no line and stays null; a null site is a site of its own (the empty name); null ids come last
-in the order; rows of equal id and text are treated alike; extra columns pass through ``remove_boilerplate``;
-an empty table gives no rows.
+in the order; rows of equal id and text are treated alike, and of equal ids the text of least key counts as first; a very long text is
+one row of as many lines as it has, and a line of any length is hashed whole; extra columns pass through ``remove_boilerplate`` whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import let, lookup, materialise, row_key
+from colloquy.llm.common import let, lookup, materialise, packed, row_key
 
 MIN_SITES = 10
 #: Relative width of the band of exact counts; a sketch of 2^12 registers errs by 1.6 % (one standard deviation).
@@ -53,28 +53,31 @@ def _without(lines, drop):
     return F.when(F.size(drop) <= 64, searched(drop)).otherwise(merged(drop))
 
 
-def remove_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
-    """``docs`` with ``text_col`` less its boilerplate lines, and _n_lines, _n_removed (of non-blank lines)."""
+def cut_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
+    """(r, id, left, n_lines, n_removed): each row of ``docs`` as a struct, its text less the boilerplate, and its non-blank lines, all and removed."""
     known = boilerplate(docs, id_col, text_col, site_col, min_sites)
     here = F.struct(F.col("id").isNull().alias("last"), "id", "k", "pos")
     later = lookup(_lines(docs, id_col, text_col, site_col), known, ["h", "c"], "inner").where(~here.eqNullSafe(F.col("first")))
-    drop = materialise(later.groupBy("id", "k").agg(F.array_sort(F.collect_set("pos")).alias("_drop")).withColumnsRenamed({"id": "_i", "k": "_k"}), "drop")
-    joined = docs.join(drop, F.col(id_col).eqNullSafe(F.col("_i")) & (row_key(text_col) == F.col("_k")), "left")
-    split = F.split(text_col, "\n", -1)
+    drop = materialise(later.groupBy("id", "k").agg(F.array_sort(F.collect_set("pos")).alias("drop")).withColumnsRenamed({"id": "_i", "k": "_k"}), "drop")
+    joined = packed(docs, id_col, text_col).join(drop, F.col("id").eqNullSafe(F.col("_i")) & (F.col("k") == F.col("_k")), "left")
+    text = F.col("r")[text_col]
+    split = F.split(text, "\n", -1)
     words = F.filter(split, lambda x: F.btrim(x, F.lit(BLANK)) != "")
-    return (
-        joined.withColumn("_n_lines", F.coalesce(F.size(words), F.lit(0)).cast("long")).withColumn("_n_lines", F.greatest("_n_lines", F.lit(0)))
-        .withColumn("_n_removed", F.coalesce(F.when(F.col("_drop").isNotNull(), F.size("_drop")), F.lit(0)).cast("long"))
-        .withColumn(text_col, F.when(F.col("_drop").isNull(), F.col(text_col)).otherwise(F.array_join(_without(split, F.col("_drop")), "\n")))
-        .drop("_i", "_k", "_drop")
-    )
+    left = F.when(F.col("drop").isNull(), text).otherwise(F.array_join(_without(split, F.col("drop")), "\n"))
+    return joined.select("r", "id", left.alias("left"), F.greatest(F.coalesce(F.size(words), F.lit(0)), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.when(F.col("drop").isNotNull(), F.size("drop")), F.lit(0)).cast("long").alias("n_removed"))
+
+
+def remove_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
+    """``docs`` with ``text_col`` less its boilerplate lines."""
+    cut = cut_lines(docs, id_col, text_col, site_col, min_sites)
+    return cut.select(*[(F.col("left") if c == text_col else F.col("r")[c]).alias(c) for c in docs.columns])
 
 
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
     """One row per row of ``docs``: the id, its lines, those removed, and what is left."""
-    slim = docs.select(id_col, text_col, site_col)
-    left = F.coalesce(text_col, F.lit(""))
-    return remove_boilerplate(slim, id_col, text_col, site_col, min_sites).select(id_col, F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.length(left).cast("long").alias("n_chars"), F.sha2(left, 256).alias("kept_sha256"))
+    left = F.coalesce("left", F.lit(""))
+    cut = cut_lines(docs.select(id_col, text_col, site_col), id_col, text_col, site_col, min_sites)
+    return cut.select(F.col("id").alias(id_col), "n_lines", "n_removed", F.length(left).cast("long").alias("n_chars"), F.sha2(left, 256).alias("kept_sha256"))
 
 
 ORACLE = f"""

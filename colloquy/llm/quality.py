@@ -11,8 +11,9 @@ so sparse sites stay near their prior. A text's own share is left out of its sit
 the site's log odds over the global ones to the text's own.
 
 Cases: a null text is empty; null sites are a site of their own; without labels of both kinds a head says nothing;
-null ids are judged but give no labels; repeated rows count each; extra columns pass through ``keep_good``; an empty table
-gives no rows.
+null ids are judged but give no labels; repeated rows count each, and of texts with one labelled id that of least key is learned from; log odds of
+zero are kept; words whose log odds tie are taken in their order; very long texts are scored whole; extra columns pass through ``keep_good``
+whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,11 +24,12 @@ from collections.abc import Iterator
 from operator import eq
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import bound_batches, lookup, materialise, strings
+from colloquy.llm.common import bound_batches, lookup, materialise, row_key, strings
 
 #: Labelled texts that the heads are fitted on, and words that the toxicity head may use.
 SAMPLE, WORDS = 8000, 400
@@ -81,19 +83,18 @@ class Heads:
     def __init__(self, mean=None, scale=None, quality=None, words=None, toxic_base=0.0):
         self.mean, self.scale, self.quality, self.words, self.toxic_base = mean, scale, quality, words or {}, toxic_base
 
-    def log_odds(self, text: str) -> float:
+    def log_odds(self, texts: list[str]) -> np.ndarray:
         """Of being good: of high quality and not toxic."""
-        good = 1.0
-        if self.quality is not None:
-            z = (np.array(text_stats(text)) - self.mean) / self.scale
-            good = 1 / (1 + math.exp(-max(-30.0, min(30.0, float(z @ self.quality[:-1] + self.quality[-1])))))
+        good = np.full(len(texts), 1.0 if self.quality is not None or self.words else 0.5)
+        if self.quality is not None and texts:
+            z = (np.array([text_stats(t) for t in texts]) - self.mean) / self.scale
+            good /= 1 + np.exp(-np.clip(z @ self.quality[:-1] + self.quality[-1], -30, 30))
         if self.words:
-            t = self.toxic_base + sum(self.words[w] for w in sorted(text_words(text) & self.words.keys()))
-            good *= 1 / (1 + math.exp(max(-30.0, min(30.0, t))))
-        elif self.quality is None:
-            good = 0.5
-        good = min(1 - 1e-9, max(1e-9, good))
-        return max(-BOUND, min(BOUND, math.log(good / (1 - good))))
+            known = self.words.keys()
+            toxic = np.array([sum(self.words[w] for w in sorted(text_words(t) & known)) for t in texts])
+            good /= 1 + np.exp(np.clip(toxic + self.toxic_base, -30, 30))
+        good = np.clip(good, 1e-9, 1 - 1e-9)
+        return np.clip(np.log(good / (1 - good)), -BOUND, BOUND)
 
 
 def fit_heads(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Heads:
@@ -108,10 +109,11 @@ def fit_heads(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([text_stats(x) for x in t], pa.list_(pa.float64())), pa.array([sorted(text_words(x)) for x in t], pa.list_(pa.string())), b.column(2), b.column(3)], ["id", "stats", "words", "quality", "toxic"])
 
     # broadcast: at most ``sample`` ids
-    rows = texts.join(F.broadcast(chosen), id_col).select(id_col, "text", F.col("_quality").cast("int"), F.col("_toxic").cast("int"))
+    rows = texts.toDF("id", "text").join(F.broadcast(chosen.withColumnRenamed(id_col, "_id")), F.col("id") == F.col("_id")).groupBy("id").agg(F.min(F.struct(row_key().alias("k"), "text")).alias("t"), F.first("_quality").alias("q"), F.first("_toxic").alias("x"))
+    rows = rows.select("id", "t.text", F.col("q").cast("int"), F.col("x").cast("int"))
     kind = docs.schema[id_col].dataType.simpleString()
     rows = materialise(rows.mapInArrow(work, f"id {kind}, stats array<double>, words array<string>, quality int, toxic int"), "sample")
-    dense = rows.select("id", "stats", "quality").where("quality is not null").orderBy("id", "stats").limit(2 * sample).collect()
+    dense = rows.select("id", "stats", "quality").where("quality is not null").orderBy("id").collect()
     heads = Heads()
     if dense:
         x = np.array([r.stats for r in dense])
@@ -125,7 +127,7 @@ def fit_heads(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col:
         picked = [r.w for r in each.withColumn("z", F.round(z, 6)).where(F.col("z") >= STANDS_OUT).orderBy(F.desc("z"), "w").limit(WORDS).collect()]
         place = {w: k for k, w in enumerate(picked)}
         if picked:
-            has = rows.where("toxic is not null").select("id", "toxic", F.filter("words", lambda w: w.isin(picked)).alias("words")).orderBy("id", "words").limit(2 * sample).collect()
+            has = rows.where("toxic is not null").select("id", "toxic", F.filter("words", lambda w: w.isin(picked)).alias("words")).orderBy("id").collect()
             x = np.zeros((len(has), len(picked)))
             for k, r in enumerate(has):
                 x[k, [place[w] for w in r.words]] = 1
@@ -141,7 +143,7 @@ def evidence(docs: DataFrame, heads: Heads, text_col: str = "text"):
 
     @F.pandas_udf("double")
     def own(texts):
-        return texts.fillna("").map(heads.log_odds)
+        return pd.Series(heads.log_odds(texts.fillna("").to_list()))
 
     return own(F.col(text_col).cast("string"))
 
@@ -194,7 +196,7 @@ def _sites(docs: DataFrame, host_col: str, path_col: str) -> DataFrame:
 def quality_report(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang") -> DataFrame:
     """One row per row of ``docs``: id, its own log odds, host and path posteriors, the combined log odds and kept."""
     heads = fit_heads(docs, labels, id_col=id_col, text_col=text_col)
-    rows = _sites(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), host_col, path_col), host_col, path_col)
+    rows = _sites(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(host_col).alias("_h"), F.col(path_col).alias("_p")), "_h", "_p")
     scored = materialise(rows.select("_id", "_host", "_path", evidence(docs, heads, "_text").alias("_own")), "scored")
     sites, prior = site_sums(scored)
     total, host, path = posterior(prior)
@@ -203,8 +205,9 @@ def quality_report(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang") -> DataFrame:
-    """``docs`` without the texts that are rejected. Texts are scored a second time rather than shuffled."""
+    """``docs`` without the texts that are rejected. The scored rows are written, so that each text is scored once and none is shuffled."""
     heads = fit_heads(docs, labels, id_col=id_col, text_col=text_col)
-    scored = lambda: _sites(docs, host_col, path_col).withColumn("_own", evidence(docs, heads, text_col))
-    sites, prior = site_sums(scored().select("_host", "_path", "_own"))
-    return lookup(scored(), sites, ["_host", "_path"]).where(posterior(prior)[0] >= 0).select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("r"), F.col(text_col).alias("_text"), F.col(host_col).alias("_h"), F.col(path_col).alias("_p"))
+    scored = materialise(_sites(rows, "_h", "_p").select("r", "_host", "_path", evidence(docs, heads, "_text").alias("_own")), "scored")
+    sites, prior = site_sums(scored.select("_host", "_path", "_own"))
+    return lookup(scored, sites, ["_host", "_path"]).where(posterior(prior)[0] >= 0).select("r.*")

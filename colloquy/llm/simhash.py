@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import bound_batches, connected_components, materialise, raw, row_key
+from colloquy.llm.common import bound_batches, connected_components, materialise, packed, raw, row_key
 
 #: Rows of a tile; a matrix of TILE x TILE comparisons is held at a time.
 TILE = 1024
@@ -49,7 +49,10 @@ def shingle_hashes(text: bytes, width: int) -> np.ndarray:
 
 
 def fingerprint(text: bytes, width: int = 3) -> int:
-    h = shingle_hashes(text, width)
+    return fingerprint_of(shingle_hashes(text, width))
+
+
+def fingerprint_of(h: np.ndarray) -> int:
     if not len(h):
         return 0
     ones = np.zeros(64, np.int64)
@@ -176,7 +179,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     fps, known = classes(docs, id_col, text_col, width, radius)
     rows = fps.groupBy("id", "k", "fp").agg(F.count("*").alias("n")).join(known.select("fp", "root"), "fp")
     first = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "k", "n")).alias("f")).select(F.col("f.id").alias("_i"), F.col("f.k").alias("_k"), F.col("f.n").alias("_n"))
-    stay = docs.join(materialise(first, "first"), F.col(id_col).eqNullSafe(F.col("_i")) & (row_key(text_col) == F.col("_k")))
+    stay = packed(docs, id_col, text_col).join(materialise(first, "first"), F.col("id").eqNullSafe(F.col("_i")) & (F.col("k") == F.col("_k")))
     # rows repeated in full: only these few need a grouping of their own
     once = stay.where("_n > 1").withColumn("_place", F.row_number().over(Window.partitionBy("_i", "_k").orderBy(F.lit(1)))).where("_place = 1")
-    return stay.where("_n = 1").select(*docs.columns).union(once.select(*docs.columns))
+    return stay.where("_n = 1").select("r.*").union(once.select("r.*"))

@@ -5,6 +5,7 @@ import re
 
 import duckdb
 
+from colloquy.llm import decontam
 from colloquy.llm.decontam import EXACT_BELOW, MASKS, ORACLE, SHARE, WINDOW, contaminated, contamination_report, remove_contaminated
 
 
@@ -34,7 +35,7 @@ def slow(docs, bench):
         w = words(t)
         for i, s in bench:
             b = words(s)
-            if len(b) < 5:
+            if not b:
                 continue
             win = min(len(b), WINDOW)
             need = win if win < EXACT_BELOW else math.ceil(win * SHARE)
@@ -48,7 +49,7 @@ def slow(docs, bench):
 def test_odd_rows(spark):
     rng = random.Random(2)
     vocab = [f"w{i}" for i in range(50)]
-    bench = [(i, " ".join(rng.choices(vocab, k=n))) for i, n in enumerate([4, 5, 7, 9, 12, 20, 25, 40])] + [(50, None), (51, ""), (5, "same id other text of words here"), (None, "null item text with seven words here")]
+    bench = [(i, " ".join(rng.choices(vocab, k=n))) for i, n in enumerate([4, 5, 7, 9, 12, 20, 25, 40, 3, 2])] + [(50, None), (51, ""), (5, "same id other text of words here"), (None, "null item text with seven words here")]
     docs = [(None, bench[6][1]), (1, None), (2, ""), (2, bench[5][1] + "!"), (2, bench[5][1] + "!"), (60, "null ITEM text, with seven; words here?")]
     for d in range(100, 160):
         text = rng.choices(vocab, k=rng.randint(0, 60))
@@ -64,6 +65,14 @@ def test_odd_rows(spark):
     assert sorted(str(r.doc_id) for r in remove_contaminated(dd, bb).collect()) == sorted(str(d) for d, t in docs if (d, t) not in {(d, t) for d, t in docs if d in bad and slow([(d, t)], bench)})
 
 
+def test_large_seed_tables_are_joined_by_shuffle(spark, sf_dir, monkeypatch):
+    docs, bench = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    want = sorted(tuple(r) for r in contamination_report(docs, bench).collect())
+    monkeypatch.setattr(decontam, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(decontam, "HITS", 2)
+    assert sorted(tuple(r) for r in contamination_report(docs, bench).collect()) == want
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     some = spark.createDataFrame([(1, "a b c d e f g h")], "item_id long, text string")

@@ -5,9 +5,9 @@ import public_tokenizers as P
 from tokenizers import Tokenizer
 
 from colloquy.llm.quality import quality_report
+from colloquy.llm.simhash import shingle_hashes
 from tests.llm.test_decontam import slow as slow_contaminated
 from tests.llm.test_line_dedup import slow as slow_lines
-from tests.llm.test_simhash import slow_print
 
 
 def test_run_matches_brute_force(spark, sf_dir):
@@ -18,10 +18,11 @@ def test_run_matches_brute_force(spark, sf_dir):
     from colloquy.llm.line_dedup import MIN_SITES
 
     left = [(d, t) for (d, old, _), (_, t) in zip(texts, slow_lines(texts, MIN_SITES)) if t.strip() or not old.strip()]
-    fps, group = [slow_print(t) for _, t in left], list(range(len(left)))
+    sets, group = [set(shingle_hashes(t.encode(), 5).tolist()) for _, t in left], list(range(len(left)))
     for i in range(len(left)):
         for j in range(i):
-            if bin(fps[i] ^ fps[j]).count("1") <= 5:
+            both = len(sets[i] & sets[j])
+            if 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both):
                 a, b = group[i], group[j]
                 group = [b if g == a else g for g in group]
     first = {}
@@ -43,4 +44,20 @@ def test_stages_keep_the_columns(spark, sf_dir):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         odd = stage(spark, odd, sf_dir)
         assert odd.columns == docs.columns
+
+
+def test_stages_take_odd_rows(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(20)
+    long = spark.createDataFrame([(900, "word and more " * 80_000, "en", "s", 1_120_000), (None, None, None, None, None), (1, "", "en", None, 0), (1, "", "en", None, 0)], docs.schema)
+    names = ["_i", "_k", "_n", "_s", "_drop", "_n_lines", "id", "k", "h", "r", "left", "n_removed", "_own", "_host"]
+    odd = docs.union(long).selectExpr("*", *[f"{i} as {n}" for i, n in enumerate(names)])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        odd = stage(spark, odd, sf_dir)
+        assert odd.columns == docs.columns + names
+        assert [r[5:] for r in odd.limit(1).collect()] == [tuple(range(len(names)))]
+        assert stage(spark, odd.limit(0), sf_dir).count() == 0
+
+
+def test_last_stage_of_an_empty_table(spark, sf_dir):
+    odd = spark.read.parquet(f"{sf_dir}/documents.parquet")
     assert corpus_pipeline.STAGES[-1][1](spark, odd.limit(0), sf_dir).count() == 0

@@ -26,7 +26,7 @@ def test_matches_brute_force(spark, sf_dir):
     docs = docs.selectExpr("*", "1 as n", "'x' as own")
     heads = fit_heads(docs, labels)
     rows = docs.collect()
-    own = [heads.log_odds(r.text or "") for r in rows]
+    own = [float(heads.log_odds([r.text or ""])[0]) for r in rows]
     p = [1 / (1 + math.exp(-x)) for x in own]
     report = quality_report(docs, labels).collect()
     assert sorted(round(x, 6) for x in own) == sorted(r.own_log_odds for r in report)
