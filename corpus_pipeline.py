@@ -21,13 +21,14 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Boilerplate lines go after their first occurrence, and with them documents that had nothing else."""
-    left = line_dedup.remove_boilerplate(docs)
-    n = F.length(F.coalesce("text", F.lit(""))).cast("long")
-    return left.where("_n_lines = 0 or _n_lines > _n_removed").withColumn("n_chars", F.when(F.col("_n_removed") > 0, n).otherwise(F.col("n_chars"))).select(*docs.columns)
+    cut = line_dedup.cut_lines(docs).where("n_lines = 0 or n_lines > n_removed")
+    changed = F.col("n_removed") > 0
+    new = {"text": F.col("left"), "n_chars": F.when(changed, F.length("left").cast("long")).otherwise(F.col("r.n_chars"))}
+    return cut.select(*[new.get(c, F.col("r")[c]).alias(c) for c in docs.columns])
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-copy group stays: five-word shingles, similarity 0.8, every pair."""
+    """One document of each near-copy group stays: five-word shingles, similarity 0.8, every pair; SimHash tiles first."""
     return near_copies.keep_first(docs)
 
 
