@@ -4,7 +4,7 @@ import random
 import numpy as np
 
 from colloquy.llm import suffix_dedup as s
-from colloquy.llm.suffix_dedup import cut_report, cut_texts, earlier_windows, runs
+from colloquy.llm.suffix_dedup import cut_report, cut_texts, runs, window_factors
 
 
 def slow(rows, n=50):
@@ -29,18 +29,37 @@ def got(df):
     return sorted((tuple(r) for r in cut_report(cut_texts(df)).collect()), key=str)
 
 
-def test_earlier_windows():
+def test_previous_factors_match_plain_loops():
     rng = np.random.default_rng(0)
-    text = rng.integers(0, 2, 3000).astype(np.uint8)
-    text[1000:1400] = text[100:500]
-    text[2000:2300] = text[150:450]
-    starts = rng.permutation(len(text) - 50)
-    order = rng.integers(0, 5, len(starts))
-    seen = {}
-    for p, o in zip(starts, order):
-        w = text[p : p + 50].tobytes()
-        seen[w] = min(o, seen.get(w, o))
-    assert earlier_windows(text, starts, order).tolist() == [seen[text[p : p + 50].tobytes()] < o for p, o in zip(starts, order)]
+    for n, letters, orders in ((1, 2, 2), (60, 2, 5), (300, 2, 40), (300, 1, 3), (200, 3, 1)):
+        text = rng.integers(97, 97 + letters, n + 60).astype(np.uint8)
+        starts = rng.permutation(n)
+        order = rng.integers(0, orders, n)
+        want = []
+        for p, o in zip(starts, order):
+            shared = [0]
+            for q, r in zip(starts, order):
+                if r < o:
+                    differs = np.flatnonzero(text[p : p + 50] != text[q : q + 50])
+                    shared.append(int(differs[0]) if len(differs) else 50)
+            want.append(max(shared))
+        assert window_factors(text, starts, order).tolist() == want
+
+
+def test_minimizers_of_many_runs_are_split(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(s, "HOT", 3)
+    monkeypatch.setattr(s, "SPLIT", 40)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    rng = random.Random(3)
+    made = [(1000 + i, "".join(rng.choices("abcdefgh", k=rng.randint(0, 30))) + "the same sixteen bytes and some more, " + rng.choice(["one ", "two "]) * 12) for i in range(40)]
+    docs = docs.union(spark.createDataFrame(made, docs.schema))
+    assert got(docs.repartition(5)) == slow([(r.doc_id, r.text) for r in docs.collect()])
+
+
+def test_ids_of_other_types(spark):
+    rows = [("b", "x" * 60), ("a", "x" * 70), (None, "x" * 50), ("c", "y"), ("a", "x" * 70)]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    assert [(r.doc_id, r.n_removed) for r in cut_texts(df).orderBy("doc_id", "n_bytes").collect()] == [(None, 50), ("a", 0), ("a", 0), ("b", 60), ("c", 0)]
 
 
 def test_equal_windows_have_equal_minimizers(monkeypatch):
