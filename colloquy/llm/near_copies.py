@@ -31,7 +31,7 @@ from colloquy.llm.simhash import SEED, fingerprint_of, near_links, shingle_hashe
 #: Least similarity as a fraction, the words of a shingle and the bits within which fingerprints give a first link.
 SIMILAR, WIDTH, RADIUS = (4, 5), 5, 3
 #: Cells of the counts that order shingles, parity bits of a set, compared members of a group at a time, and members of a group that one task compares.
-CELLS, BITS, SLAB, TILE = 1 << 20, 512, 1024, 4096
+CELLS, BITS, SLAB, TILE = 1 << 20, 512, 256, 4096
 
 
 def cell_counts(texts: DataFrame, width: int) -> np.ndarray:
@@ -119,6 +119,17 @@ def _fits(n: np.ndarray, room: np.ndarray, m: np.ndarray, other: np.ndarray, sim
     return (np.maximum(n, m) * p <= np.minimum(n, m) * q) & (np.minimum(room, other) * (p + q) >= p * (n + m))
 
 
+def _words(bits: pa.Array) -> np.ndarray:
+    """Parity bits as rows of numbers."""
+    return np.frombuffer(b"".join(raw(bits)), np.uint64).reshape(len(bits), -1)
+
+
+def _close(x: np.ndarray, y: np.ndarray, sizes: np.ndarray, similar: tuple[int, int]) -> np.ndarray:
+    """Whether parity bits differ in no more places than similar sets of so many shingles together do."""
+    p, q = similar
+    return np.bitwise_count(x ^ y).sum(1, dtype=np.int64) * (p + q) <= (q - p) * sizes
+
+
 def _pairs(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
     both = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)]), axis=1)
     return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["u", "v"])
@@ -138,16 +149,16 @@ def neighbours(lead: DataFrame, similar: tuple[int, int]) -> DataFrame:
     return lead.select("h", "n", "room", "s").mapInArrow(work, "u long, v long")
 
 
-def unjoined(lead: DataFrame, roots: DataFrame, similar: tuple[int, int]) -> DataFrame:
-    """(u, v): all pairs of different roots among sets that share a prefix shingle. A group over TILE sets is dealt out as pairs of tiles."""
+def unjoined(lead: DataFrame, nodes: DataFrame, roots: DataFrame, similar: tuple[int, int]) -> DataFrame:
+    """(u, v): pairs of different roots among sets that share a prefix shingle, less those that parity bits part. A group over TILE sets is dealt out as pairs of tiles."""
     rooted = materialise(lead.join(roots, "s", "left").withColumn("root", F.coalesce("root", "s")), "rooted")
     mixed = rooted.groupBy("h").agg(F.count("*").alias("c"), F.min("root").alias("a"), F.max("root").alias("z")).where("a <> z").select("h", F.ceil(F.col("c") / TILE).cast("int").alias("tiles"))
     own = F.pmod(F.xxhash64("s"), F.col("tiles")).cast("int")
-    dealt = rooted.join(mixed, "h").withColumn("t", own).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    dealt = dealt.select("h", F.least("t", "o").alias("a"), F.greatest("t", "o").alias("z"), "t", "n", "room", "s", "root")
+    dealt = rooted.join(mixed, "h").join(nodes.select("s", "bits"), "s").withColumn("t", own).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    dealt = dealt.select("h", F.least("t", "o").alias("a"), F.greatest("t", "o").alias("z"), "t", "n", "room", "s", "root", "bits")
 
     def compared(cols: list[np.ndarray], cross: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        t, n, room, s, root = cols
+        t, n, room, s, root, bits = cols
         for a in range(0, len(n), SLAB):
             for c in range(a, len(n), SLAB):
                 if n[c] * similar[0] > n[min(a + SLAB, len(n)) - 1] * similar[1]:
@@ -157,7 +168,8 @@ def unjoined(lead: DataFrame, roots: DataFrame, similar: tuple[int, int]) -> Dat
                 if cross:
                     ok &= t[x, None] != t[None, y]
                 i, j = np.nonzero(np.triu(ok, 1) if a == c else ok)
-                yield s[a + i], s[c + j]
+                near = _close(bits[a + i], bits[c + j], n[a + i] + n[c + j], similar)
+                yield s[a + i[near]], s[c + j[near]]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
@@ -166,7 +178,7 @@ def unjoined(lead: DataFrame, roots: DataFrame, similar: tuple[int, int]) -> Dat
         for b in itertools.chain(batches, [None]):  # None: the last group is whole
             cols = held
             if b is not None:
-                new = [c.to_numpy().astype(np.int64) for c in b.columns]
+                new = [*(c.to_numpy().astype(np.int64) for c in b.columns[:-1]), _words(b.columns[-1])]
                 cols = new if held is None else [np.concatenate(c) for c in zip(held, new)]
             if cols is None or not len(cols[0]):
                 continue
@@ -195,8 +207,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, s
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n = b.column(2).to_numpy().astype(np.int64) + b.column(3).to_numpy()
-            x, y = (np.frombuffer(b"".join(raw(b.column(k))), np.uint64).reshape(b.num_rows, -1) for k in (4, 5))
-            ok = pa.array(np.bitwise_count(x ^ y).sum(1, dtype=np.int64) * (p + q) <= (q - p) * n)
+            ok = pa.array(_close(_words(b.column(4)), _words(b.column(5)), n, similar))
             yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], ["u", "v"])
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,7 +247,7 @@ def similar_links(nodes: DataFrame, texts: DataFrame, width: int = WIDTH, simila
     first = verified(fingerprint_links(nodes, radius).union(neighbours(lead, similar)), nodes, texts, width, similar)
     release(spark)
     roots = connected_components(first).withColumnRenamed("node", "s")
-    return first.union(verified(unjoined(lead, roots, similar), nodes, texts, width, similar))
+    return first.union(verified(unjoined(lead, nodes, roots, similar), nodes, texts, width, similar))
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, similar: tuple[int, int] = SIMILAR) -> DataFrame:
