@@ -40,9 +40,9 @@ _SPAN = LENGTH - GRAM + 1  # grams in a window
 _PLACE = 26  # low bits of a packed gram that hold its place
 _LAST = (1 << 63) - 1
 #: Windows that a bucket sorts at once, and bytes of all texts for each bucket.
-SORTED, BUCKET_BYTES = 400_000, 32 << 20
+SORTED, BUCKET_BYTES = 100_000, 12 << 20
 #: Different runs of a minimizer from which its windows are dealt one by one, and minimizers that may be split; more of them raise the former.
-HOT, SPLIT = 100_000, 100_000
+HOT, SPLIT = 10_000, 100_000
 
 
 def runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -120,7 +120,8 @@ def window_factors(text: np.ndarray, starts: np.ndarray, order: np.ndarray) -> n
     suffixes = np.ascontiguousarray(windows).view(f"S{LENGTH}").ravel()
     by_order = np.argsort(order, kind="stable")
     sa = by_order[np.argsort(suffixes[by_order], kind="stable")]
-    ordered = windows[sa]
+    ordered = suffixes[sa].view(np.uint8).reshape(-1, LENGTH)
+    del windows, suffixes
     differs = ordered[1:] != ordered[:-1]
     common = np.concatenate(([0], np.where(differs.any(1), differs.argmax(1), LENGTH)))[: len(sa)]
     out = np.empty(len(sa), np.int64)
