@@ -47,8 +47,7 @@ def distinct(c: Column) -> Column:
 
 def tokenize_words(c: Column) -> Column:
     words = F.split(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}\s'-]", " "), r"\s+")
-    stop = F.array(*map(F.lit, STOPWORDS))
-    return F.filter(words, lambda w: (F.length(w) > 1) & ~F.array_contains(stop, w))
+    return F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(*STOPWORDS))
 
 
 def content_terms(c: Column, limit: int = 24) -> Column:

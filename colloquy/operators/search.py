@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from colloquy.functions.text import content_terms, fnv1a, ngrams, simple_terms, tokenize_words
+from colloquy.functions.text import content_terms, simple_terms, tokenize_words
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
-#: Queries up to which their vectors are broadcast; more are scored in blocks.
-BROADCAST_QUERIES = 20_000
+#: Queries up to which their vectors are broadcast, more are scored in blocks; parts of phrases up to which these are.
+BROADCAST_QUERIES, BROADCAST_PARTS = 8_000, 100_000
+DIMENSIONS = 512
 
 
 def postings(chunks: DataFrame, id_col: str = "id", text_col: str = "text", terms=simple_terms) -> DataFrame:
@@ -27,21 +32,47 @@ def document_frequencies(index: DataFrame) -> DataFrame:
     return index.groupBy("term").agg(F.count("*").alias("df"))
 
 
+def phrases(terms, analyzer=simple_terms):
+    """Each term as the words that the analyzer makes of it, joined by blanks; terms without a word are left out."""
+    return F.filter(F.transform(terms, lambda t: F.array_join(analyzer(t), " ")), lambda t: t != "")
+
+
 def query_terms(queries: DataFrame, id_col: str = "query_id", text_col: str = "text", terms=None) -> DataFrame:
-    """(query_id, term, times); a term that two words of a query share counts twice."""
-    pick = terms or (lambda c: F.filter(content_terms(c), lambda t: ~t.rlike("['-]")))
+    """(query_id, term, times); a term that two words of a query share counts twice. A term of several words, such as mi-412, is a phrase."""
+    pick = terms or (lambda c: phrases(content_terms(c)))
     return queries.select(F.col(id_col).alias("query_id"), F.explode(pick(F.col(text_col))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
 
 
-def bm25(index: DataFrame, n: int, avgdl: float, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, id, score, rank): best ``k`` per query. Only postings of query terms are read into the join."""
+def phrase_postings(chunks: DataFrame, queries: DataFrame, id_col: str = "id", text_col: str = "text", terms=simple_terms) -> DataFrame:
+    """(id, term, dl, tf) of the phrases among ``queries.term``: places where their words follow each other."""
+    words = F.split("term", " ")
+    parts = queries.where(F.contains("term", F.lit(" "))).select("term").distinct().select("term", F.size(words).alias("n"), F.posexplode(words).alias("j", "word"))
+    small = parts.limit(BROADCAST_PARTS + 1).count() <= BROADCAST_PARTS
+    at = chunks.select(F.col(id_col).alias("id"), terms(F.col(text_col)).alias("w")).select("id", F.size("w").alias("dl"), F.posexplode("w").alias("pos", "word"))
+    met = at.join(F.broadcast(parts) if small else parts, "word").groupBy("term", "n", "id", "dl", (F.col("pos") - F.col("j")).alias("start")).agg(F.count("*").alias("c")).where("c = n")
+    return met.groupBy("id", "term", "dl").agg(F.count("*").alias("tf"))
+
+
+def matched(chunks: DataFrame, queries: DataFrame, id_col: str = "id", text_col: str = "text", terms=simple_terms) -> DataFrame:
+    """Postings of words and, where ``queries`` has any, of phrases."""
+    index = postings(chunks, id_col, text_col, terms)
+    return index.unionByName(phrase_postings(chunks, queries, id_col, text_col, terms)) if queries.where(F.contains("term", F.lit(" "))).take(1) else index
+
+
+def bm25_scores(index: DataFrame, n: int, avgdl: float, queries: DataFrame) -> DataFrame:
+    """(query_id, id, score). Only postings of query terms are read into the join."""
     wanted = queries.select("term").distinct()
     hits = index.join(wanted, "term", "left_semi")
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.greatest(F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / avgdl))
     scored = hits.join(df, "term").join(queries, "term").groupBy("query_id", "id").agg(F.sum(weight * F.col("times")).alias("score"))
-    return top(scored.withColumn("score", F.round("score", 9)), k)
+    return scored.withColumn("score", F.round("score", 9))
+
+
+def bm25(index: DataFrame, n: int, avgdl: float, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, id, score, rank): best ``k`` per query."""
+    return top(bm25_scores(index, n, avgdl, queries), k)
 
 
 def corpus_statistics(chunks: DataFrame, text_col: str = "text", terms=simple_terms) -> tuple[int, float]:
@@ -64,42 +95,93 @@ def dense_search(vectors: DataFrame, queries: DataFrame, k: int, least: float) -
     A bounded set of queries is stacked once per worker; each Arrow batch of vectors is one matrix product and keeps its best ``k`` per query, so
     the rows that leave a batch don't grow with it.
     """
-    rows = queries.select("query_id", "vec").limit(BROADCAST_QUERIES + 1).collect()
-    if len(rows) > BROADCAST_QUERIES:
+    rows = queries.select("query_id", "vec").where("vec is not null").limit(BROADCAST_QUERIES + 1).toArrow()
+    if rows.num_rows > BROADCAST_QUERIES:
         halves = [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(2)) == h) for h in (0, 1)]
         return dense_search(vectors, halves[0], k, least).unionByName(dense_search(vectors, halves[1], k, least))
-    by_size: dict[int, tuple[list, np.ndarray]] = {}
-    for size in {len(r.vec) for r in rows if r.vec is not None}:
-        own = [r for r in rows if r.vec is not None and len(r.vec) == size]
-        by_size[size] = ([r.query_id for r in own], np.array([r.vec for r in own], np.float32).astype(np.float64))
+    names, column = rows["query_id"].to_numpy(zero_copy_only=False), rows["vec"].combine_chunks()
+    sizes = column.value_lengths().to_numpy(zero_copy_only=False)
+    by_size = {}
+    for size in set(sizes.tolist()):
+        own = np.flatnonzero(sizes == size)
+        by_size[size] = (names[own], column.take(pa.array(own)).flatten().to_numpy(zero_copy_only=False).astype(np.float32).astype(np.float64).reshape(len(own), size))
 
     def score(batches):
         for pdf in batches:
-            sizes = pdf["vec"].map(lambda v: -1 if v is None else len(v))
+            lengths = pdf["vec"].map(lambda v: -1 if v is None else len(v))
             for size, (names, matrix) in by_size.items():
-                own = pdf[sizes == size]
+                own = pdf[lengths == size]
                 if own.empty:
                     continue
                 ids = own["id"].to_numpy()
-                s = np.round(matrix @ np.stack(own["vec"].to_list()).astype(np.float64).T, 9)
-                for q, line in zip(names, s):
+                s = np.round(matrix @ np.stack(own["vec"].to_list()).astype(np.float32).astype(np.float64).T, 9)
+                kept = []
+                for line in s:
                     keep = np.flatnonzero(line >= least)
-                    keep = keep[np.lexsort((ids[keep], -line[keep]))[:k]]
-                    if len(keep):
-                        yield pd.DataFrame({"query_id": q, "id": ids[keep], "score": line[keep]})
+                    kept.append(keep[np.lexsort((ids[keep], -line[keep]))[:k]])
+                row, at = np.repeat(np.arange(len(kept)), [len(x) for x in kept]), np.concatenate(kept)
+                yield pd.DataFrame({"query_id": names[row], "id": ids[at], "score": s[row, at]})
 
     kinds = {f.name: f.dataType.simpleString() for f in [*vectors.schema, *queries.schema]}
     best = vectors.select("id", "vec").mapInPandas(score, f"query_id {kinds['query_id']}, id {kinds['id']}, score double")
     return top(best, k)
 
 
-def hash_embed(texts: DataFrame, dimensions: int = 512, id_col: str = "id", text_col: str = "text") -> DataFrame:
+def fnv1a_of(texts: list[str]) -> np.ndarray:
+    """FNV-1a over UTF-16 units of each text: the units at one place of all texts at a time."""
+    units = [np.frombuffer(t.encode("utf-16-le", "surrogatepass"), "<u2").astype(np.uint64) for t in texts]
+    order = sorted(range(len(units)), key=lambda i: -len(units[i]))
+    sizes = np.array([len(units[i]) for i in order], np.int64)
+    flat, first = np.concatenate([np.empty(0, np.uint64), *[units[i] for i in order]]), np.cumsum(sizes) - sizes
+    h = np.full(len(units), 2166136261, np.uint64)
+    for at in range(int(sizes[0]) if len(sizes) else 0):
+        n = int(np.searchsorted(-sizes, -at, "left"))  # the longer ones come first
+        h[:n] = (h[:n] ^ flat[first[:n] + at]) * np.uint64(16777619) & np.uint64(0xFFFFFFFF)
+    out = np.empty_like(h)
+    out[order] = h
+    return out
+
+
+def _cells(lists: list[list[str]], dimensions: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(index, value) of each word list: hashed unigrams and bigrams with a hashed sign, of unit length; empty without a word or where all cancels."""
+    grams: dict[str, int] = {}
+    each = [np.array([grams.setdefault(g, len(grams)) for g in [*w, *map(" ".join, zip(w, w[1:]))]], np.int64) for w in lists]
+    names = list(grams)
+    index = (fnv1a_of(names) % np.uint64(dimensions)).astype(np.int64)
+    sign = np.where(fnv1a_of([f"{g}#" for g in names]) % np.uint64(2) == 0, 1.0, -1.0)
+    for found in each:
+        own, n = np.unique(found, return_counts=True)
+        at = np.unique(index[own])
+        v = np.bincount(np.searchsorted(at, index[own]), sign[own] * (1 + np.log(n)), len(at))
+        norm = np.sqrt((v * v).sum())
+        yield (at, v / norm) if norm > 1e-12 else (at[:0], v[:0])
+
+
+def hash_embed(texts: DataFrame, dimensions: int = DIMENSIONS, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """(id, index, value): hashed unigrams and bigrams with a hashed sign, of unit length; sparse rows."""
-    grams = texts.select(F.col(id_col).alias("id"), F.explode(ngrams(tokenize_words(F.col(text_col)))).alias("g")).groupBy("id", "g").agg(F.count("*").alias("n"))
-    names = grams.select("g").distinct().select("g", (fnv1a(F.col("g")) % dimensions).cast("int").alias("index"), F.when(fnv1a(F.concat("g", F.lit("#"))) % 2 == 0, 1.0).otherwise(-1.0).alias("sign"))
-    cells = grams.join(names, "g").groupBy("id", "index").agg(F.sum(F.col("sign") * (1 + F.log("n"))).alias("v"))
-    norm = F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy("id")))
-    return cells.select("id", "index", "v", norm.alias("norm")).where("norm > 0").select("id", "index", (F.col("v") / F.col("norm")).alias("value"))
+    kind = texts.schema[id_col].dataType.simpleString()
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, value = zip(*_cells([w or [] for w in b.column(1).to_pylist()], dimensions)) if b.num_rows else ([], [])
+            row = np.repeat(np.arange(b.num_rows), [len(x) for x in at])
+            flat = lambda x, t: pa.array(np.concatenate([np.empty(0, t), *x]).astype(t))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), flat(at, np.int32), flat(value, np.float64)], ["id", "index", "value"])
+
+    return texts.select(F.col(id_col).alias("id"), tokenize_words(F.col(text_col)).alias("w")).mapInArrow(work, f"id {kind}, index int, value double")
+
+
+def hash_vectors(texts: DataFrame, dimensions: int = DIMENSIONS, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """``texts`` with vec: the same as an array of all dimensions."""
+
+    @F.pandas_udf("array<float>")
+    def dense(words: pd.Series) -> pd.Series:
+        out = np.zeros((len(words), dimensions), np.float32)
+        for k, (at, value) in enumerate(_cells([list(w) if w is not None else [] for w in words], dimensions)):
+            out[k, at] = value
+        return pd.Series(list(out))
+
+    return texts.withColumn("vec", dense(tokenize_words(F.col(text_col))))
 
 
 # --- the stemming analyzer: letters and digits, without accents, lower-cased, Porter-stemmed (Porter, 1980)
@@ -132,6 +214,7 @@ _STEP3 = (("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ic
 _STEP4 = "al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous ive ize".split()
 
 
+@lru_cache(maxsize=1 << 18)  # distinct words of a worker, not occurrences
 def porter(w: str) -> str:
     if len(w) < 3 or not w.isascii():
         return w
@@ -172,11 +255,20 @@ def porter(w: str) -> str:
     return w[:-1] if _measure(w) > 1 and _double(w) and w.endswith("l") else w
 
 
+_WORD = re.compile(r"[^\W_]+")
+
+
 def stem_words(text: str) -> list[str]:
-    plain = "".join(c for c in unicodedata.normalize("NFD", text or "") if not unicodedata.combining(c)).lower()
-    return [porter(w) for w in "".join(c if c.isalnum() else " " for c in plain).split()]
+    text = text or ""
+    plain = text if text.isascii() else "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c))
+    return list(map(porter, _WORD.findall(plain.lower())))
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def stemmed_terms(texts: pd.Series) -> pd.Series:
     return texts.map(stem_words)
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def stemmed_phrases(terms: pd.Series) -> pd.Series:
+    return terms.map(lambda each: [] if each is None else [p for p in (" ".join(stem_words(t)) for t in each) if p])

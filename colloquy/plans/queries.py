@@ -9,6 +9,7 @@ from colloquy.functions import guardrails as guard
 from colloquy.functions import text as t
 from colloquy.functions import timecode as tc
 from colloquy.operators import answer, brief, chunk, evaluate, parse, rank, search
+from colloquy.plans.retrieve import retrieve
 from colloquy.settings import Settings
 
 QUERIES: dict = {}
@@ -56,12 +57,15 @@ _QUERY_TERMS = f"SELECT DISTINCT item_id AS query_id, unnest({_ordered('l')}[1:2
 _INDEX = f"SELECT doc_id AS id, len(w) AS dl, unnest(w) AS term FROM (SELECT doc_id, {_simple('text')} AS w FROM documents)"
 _STATS = f"SELECT count(*) AS n, avg(len({_simple('text')})) AS avgdl FROM documents"
 _BM25 = f"""
-q AS (SELECT query_id, term FROM ({_QUERY_TERMS}) WHERE NOT regexp_matches(term, '[''-]')),
-ix AS (SELECT id, term, dl, count(*) AS tf FROM ({_INDEX}) GROUP BY ALL),
+q AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, array_to_string({_simple('term')}, ' ') AS term FROM ({_QUERY_TERMS})) WHERE term <> '' GROUP BY ALL),
+pt AS (SELECT term, len(l) AS n, unnest(l) AS word, unnest(range(len(l))) AS j FROM (SELECT DISTINCT term, string_split(term, ' ') AS l FROM q WHERE contains(term, ' '))),
+wp AS (SELECT doc_id AS id, len(w) AS dl, unnest(w) AS word, unnest(range(len(w))) AS pos FROM (SELECT doc_id, {_simple('text')} AS w FROM documents)),
+ph AS (SELECT id, term, dl, pos - j AS s FROM wp JOIN pt USING (word) GROUP BY id, term, dl, n, pos - j HAVING count(*) = n),
+ix AS (SELECT id, term, dl, count(*) AS tf FROM ({_INDEX}) GROUP BY ALL UNION ALL SELECT id, term, dl, count(*) FROM ph GROUP BY ALL),
 st AS ({_STATS}),
 df AS (SELECT term, count(*) AS df FROM ix GROUP BY term),
 bm AS (
-  SELECT query_id, id, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 9) AS score
+  SELECT query_id, id, round(sum(times * greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 9) AS score
   FROM q JOIN ix USING (term) JOIN df USING (term) CROSS JOIN st GROUP BY ALL),
 lexical AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM bm QUALIFY rank <= {S.lexical_k}),
 ov AS (SELECT query_id, id, round(count(*) / sqrt(min(dl)), 9) AS score FROM q JOIN ix USING (term) GROUP BY ALL),
@@ -100,7 +104,7 @@ def _windows(spark, sf_dir):
 def _lists(spark, sf_dir):
     docs = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     q = search.query_terms(load(spark, sf_dir, "benchmark"), "item_id")
-    ix = search.postings(docs)
+    ix = search.matched(docs, q)
     n, avgdl = search.corpus_statistics(docs)
     lexical = search.bm25(ix, n, avgdl, q, S.lexical_k)
     overlap = ix.join(q, "term").groupBy("query_id", "id").agg(F.round(F.count("*") / F.sqrt(F.min("dl")), 9).alias("score"))
@@ -156,9 +160,9 @@ def cue_tag_strip(spark, sf_dir):
 
 # --- times and turns
 
-@query("SELECT conv_id, turn, CAST(turn * 731250 AS BIGINT) AS ms, lpad((turn * 731 // 3600)::VARCHAR, 2, '0') || ':' || lpad((turn * 731 % 3600 // 60)::VARCHAR, 2, '0') || ':' || lpad((turn * 731 % 60)::VARCHAR, 2, '0') AS clock, CAST(turn * 731000 AS BIGINT) AS parsed FROM (SELECT DISTINCT conv_id, turn FROM conversations WHERE turn < 4)")
+@query("SELECT conv_id, turn, CAST(turn * 731250 AS BIGINT) AS ms, lpad((turn * 731 // 3600)::VARCHAR, 2, '0') || ':' || lpad((turn * 731 % 3600 // 60)::VARCHAR, 2, '0') || ':' || lpad((turn * 731 % 60)::VARCHAR, 2, '0') AS clock, CAST(turn * 731000 AS BIGINT) AS parsed FROM (SELECT DISTINCT conv_id, turn FROM conversations)")
 def timecode_parse_format(spark, sf_dir):
-    d = load(spark, sf_dir, "conversations").where("turn < 4").select("conv_id", "turn").distinct().withColumn("ms", (F.col("turn") * 731250).cast("long"))
+    d = load(spark, sf_dir, "conversations").select("conv_id", "turn").distinct().withColumn("ms", (F.col("turn") * 731250).cast("long"))
     d = d.withColumn("clock", tc.format_timecode(F.col("turn") * 731000, F.lit(True)))
     return d.withColumn("parsed", tc.parse_timecode(F.col("clock")))
 
@@ -229,20 +233,20 @@ def _vectors(spark, sf_dir):
 
 def _dense_sql(scope: str) -> str:
     dot = "round(list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)), 9)"
-    return f"SELECT query_id, id, round(score, 6) AS score, CAST(rank AS BIGINT) AS rank FROM (SELECT q.vec_id AS query_id, v.vec_id AS id, {dot} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {dot} DESC, v.vec_id) AS rank FROM embeddings q, embeddings v WHERE q.vec_id < 20 AND {dot} >= {S.min_dense_similarity} {scope}) WHERE rank <= {S.dense_k}"
+    return f"SELECT query_id, id, round(score, 6) AS score, CAST(rank AS BIGINT) AS rank FROM (SELECT q.vec_id AS query_id, v.vec_id AS id, {dot} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {dot} DESC, v.vec_id) AS rank FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0 AND {dot} >= {S.min_dense_similarity} {scope}) WHERE rank <= {S.dense_k}"
 
 
 @query(_dense_sql(""))
 def dense_topk(spark, sf_dir):
     v = _vectors(spark, sf_dir)
-    r = search.dense_search(v, v.where("id < 20").select(F.col("id").alias("query_id"), "vec"), S.dense_k, S.min_dense_similarity)
+    r = search.dense_search(v, v.where("id % 20 = 0").select(F.col("id").alias("query_id"), "vec"), S.dense_k, S.min_dense_similarity)
     return r.select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query(_dense_sql("AND v.label IN (1, 2, 3)"))
 def dense_scoped(spark, sf_dir):
     v = _vectors(spark, sf_dir)
-    r = search.dense_search(v.where(F.col("label").isin(1, 2, 3)), v.where("id < 20").select(F.col("id").alias("query_id"), "vec"), S.dense_k, S.min_dense_similarity)
+    r = search.dense_search(v.where(F.col("label").isin(1, 2, 3)), v.where("id % 20 = 0").select(F.col("id").alias("query_id"), "vec"), S.dense_k, S.min_dense_similarity)
     return r.select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -260,12 +264,14 @@ def floor_guaranteed(spark, sf_dir):
     return rank.guaranteed(rank.fuse_ranks(*_lists(spark, sf_dir))).select("query_id", "id", F.col("turn").cast("long").alias("turn"))
 
 
-_SELECTED = "SELECT role AS query_id, conv_id AS meeting_id, turn AS ordinal, row_number() OVER (PARTITION BY role ORDER BY length(text) DESC, conv_id, turn) AS place FROM conversations QUALIFY place <= 10"
+_SELECTED = "SELECT conv_id // 10 AS query_id, conv_id AS meeting_id, turn AS ordinal, row_number() OVER (PARTITION BY conv_id // 10 ORDER BY length(text) DESC, conv_id, turn) AS place FROM conversations WHERE turn % 2 = 0"
 
 
 def _selected(spark, sf_dir):
-    w = Window.partitionBy("role").orderBy(F.desc(F.length("text")), "conv_id", "turn")
-    return load(spark, sf_dir, "conversations").withColumn("place", F.row_number().over(w)).where("place <= 10").select(F.col("role").alias("query_id"), F.col("conv_id").alias("meeting_id"), F.col("turn").alias("ordinal"), "place")
+    """Every other turn of ten meetings, the longest first, as what a question about them selects."""
+    c = load(spark, sf_dir, "conversations").where("turn % 2 = 0").withColumn("query_id", F.expr("conv_id div 10"))
+    w = Window.partitionBy("query_id").orderBy(F.desc(F.length("text")), "conv_id", "turn")
+    return c.withColumn("place", F.row_number().over(w)).select("query_id", F.col("conv_id").alias("meeting_id"), F.col("turn").alias("ordinal"), "place")
 
 
 @query(f"WITH s AS ({_SELECTED}) SELECT DISTINCT s.query_id, c.conv_id AS meeting_id, c.turn AS ordinal FROM s JOIN conversations c ON c.conv_id = s.meeting_id AND c.turn BETWEEN s.ordinal - 1 AND s.ordinal + 1 WHERE s.place <= 3 AND NOT EXISTS (SELECT 1 FROM s o WHERE o.query_id = s.query_id AND o.meeting_id = c.conv_id AND o.ordinal = c.turn)")
@@ -306,37 +312,36 @@ def relevance_gate(spark, sf_dir):
     return rank.relevance_gate(load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id")), dense, dense)
 
 
+def _meetings(spark, sf_dir):
+    c = load(spark, sf_dir, "conversations").select("conv_id").distinct()
+    date = F.when(F.col("conv_id") % 3 > 0, F.concat(F.lit("2024-01-0"), (F.col("conv_id") % 3).cast("string")))
+    return c.select(F.col("conv_id").alias("meeting_id"), F.concat(F.lit("Call "), F.col("conv_id").cast("string")).alias("title"), date.alias("date"))
+
+
 def _chunks(spark, sf_dir):
-    c = chunk.chunk_transcript(turns(spark, sf_dir), S)
-    return c.withColumn("meeting_id", F.col("id")).withColumn("id", F.format_string("%05d:%03d", "meeting_id", "ordinal"))
+    c = chunk.chunk_transcript(turns(spark, sf_dir), S).withColumnRenamed("id", "meeting_id")
+    return c.withColumn("chunk_id", F.format_string("%05d:%03d", "meeting_id", "ordinal"))
 
 
 def _questions(spark, sf_dir):
-    first = load(spark, sf_dir, "conversations").where("turn = 1 and conv_id % 5 = 0")
-    return first.select(F.col("conv_id").alias("query_id"), "text")
+    """The turns of every conversation whose id is divisible by 20."""
+    c = load(spark, sf_dir, "conversations").where("conv_id % 20 = 0")
+    return c.select(F.format_string("%05d:%03d", "conv_id", "turn").alias("query_id"), "text")
 
 
 @query()
 def hybrid_retrieve(spark, sf_dir):
-    """Chunk fold, BM25 and hashed embeddings, fusion, the best ten and their labels; questions are turns of the corpus."""
-    chunks, questions = _chunks(spark, sf_dir).persist(), _questions(spark, sf_dir)  # read by both searches and the labels
-    n, avgdl = search.corpus_statistics(chunks)
-    lexical = search.bm25(search.postings(chunks), n, avgdl, search.query_terms(questions), S.lexical_k)
-    # sparse unit vectors meet on their indexes: the dot product is a grouped sum
-    own = search.hash_embed(chunks)
-    asked = search.hash_embed(questions, id_col="query_id").select(F.col("id").alias("query_id"), "index", F.col("value").alias("q"))
-    dots = own.join(asked, "index").groupBy("query_id", "id").agg(F.round(F.sum(F.col("value") * F.col("q")), 9).alias("score")).where(F.col("score") >= S.min_dense_similarity)
-    best = rank.fuse_ranks(search.top(dots, S.dense_k), lexical, S.rrf_k).where((F.col("fused") >= S.min_fused_score) & (F.col("place") <= S.final_k))
-    rows = best.join(chunks.select("id", "meeting_id", "ordinal", "start_ms", "token_count"), "id").withColumn("date", F.lit(None).cast("string"))
-    return rank.chronological(rows).select("query_id", "label", "id", "dense_rank", "lexical_rank", F.round("fused", 9).alias("fused"), "token_count")
+    """The whole retrieval plan: chunks of the conversations, both searches, fusion, selection, gate, neighbours, packing and labels."""
+    sources, _ = retrieve(_chunks(spark, sf_dir), _meetings(spark, sf_dir), _questions(spark, sf_dir), S)
+    return sources.select("query_id", "label", "chunk_id", "meeting_id", "title", "via_neighbour", "dense_rank", "lexical_rank", F.round("fused", 9).alias("fused"), "token_count")
 
 
 @query()
 def bm25_porter(spark, sf_dir):
     docs = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    q = search.query_terms(load(spark, sf_dir, "benchmark"), "item_id", terms=lambda c: search.stemmed_terms(F.array_join(t.content_terms(c), " ")))
+    q = search.query_terms(load(spark, sf_dir, "benchmark"), "item_id", terms=lambda c: search.stemmed_phrases(t.content_terms(c)))
     n, avgdl = search.corpus_statistics(docs, terms=search.stemmed_terms)
-    return search.bm25(search.postings(docs, terms=search.stemmed_terms), n, avgdl, q, S.lexical_k)
+    return search.bm25(search.matched(docs, q, terms=search.stemmed_terms), n, avgdl, q, S.lexical_k)
 
 
 @query()
@@ -348,9 +353,20 @@ def mmr_select(spark, sf_dir):
     return rank.mmr_select(rows, S.final_k, S.mmr_lambda)
 
 
-@query()
+def _fnv_sql(x: str) -> str:
+    return f"list_reduce(list_prepend(2166136261::UBIGINT, list_transform(string_split({x}, ''), lambda c: unicode(c)::UBIGINT)), lambda v, x: (xor(v, x) * 16777619::UBIGINT) & 4294967295::UBIGINT)"
+
+
+@query(f"""
+WITH w AS (SELECT conv_id::VARCHAR || ':' || turn::VARCHAR AS id, {_words('text')} AS w FROM conversations),
+g AS (SELECT id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS g FROM w),
+n AS (SELECT id, g, count(*) AS n FROM g GROUP BY ALL),
+h AS (SELECT g, CAST({_fnv_sql('g')} % {search.DIMENSIONS} AS INTEGER) AS index, CASE WHEN {_fnv_sql("g || '#'")} % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS sign FROM (SELECT DISTINCT g FROM g)),
+c AS (SELECT id, index, sum(sign * (1 + ln(n))) AS v FROM n JOIN h USING (g) GROUP BY ALL)
+SELECT id, index, round(v / norm, 6) + 0.0::DOUBLE AS value FROM (SELECT *, sqrt(sum(v * v) OVER (PARTITION BY id)) AS norm FROM c) WHERE norm > 1e-12""")
 def hash_embed_sparse(spark, sf_dir):
-    return search.hash_embed(load(spark, sf_dir, "conversations").select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), "text"))
+    c = search.hash_embed(load(spark, sf_dir, "conversations").select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), "text"))
+    return c.select("id", "index", (F.round("value", 6) + 0.0).alias("value"))
 
 
 # --- answers and guardrails

@@ -5,56 +5,56 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from colloquy.functions.text import content_terms, estimate_tokens
+from colloquy.functions.text import content_terms, estimate_tokens, simple_terms
 from colloquy.operators import rank, search
+from colloquy.operators.chunk import header
 from colloquy.settings import Settings
 
-DIMENSIONS = 512
+#: Columns that ``analysed`` adds to chunks; stored with them, no question reads the texts again.
+ANALYSED = ("vec", "stems", "words")
 
 
-def unit_vectors(sparse: DataFrame, key: list[str]) -> DataFrame:
-    """Sparse (key, index, value) rows as arrays of DIMENSIONS values."""
-    cells = F.map_from_entries(F.collect_list(F.struct("index", "value")))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(DIMENSIONS - 1)), lambda i: F.coalesce(F.try_element_at(F.col("m"), i), F.lit(0.0)))
-    return sparse.groupBy(*key).agg(cells.alias("m")).select(*key, dense.alias("vec"))
+def analysed(chunks: DataFrame, meetings: DataFrame) -> DataFrame:
+    """``chunks`` with the embedding of header and text, and the words of both analyzers. chunks: meeting_id, text, speakers; meetings: meeting_id, title, date."""
+    named = chunks.join(meetings.select("meeting_id", "title", "date"), "meeting_id", "left")
+    full = F.concat_ws("\n", header(F.coalesce("title", F.lit("Unknown meeting")), F.col("date"), F.col("speakers")), "text")
+    rows = search.hash_vectors(named.withColumn("_full", full), text_col="_full")
+    return rows.withColumn("stems", search.stemmed_terms(F.col("text"))).withColumn("words", simple_terms(F.col("text"))).drop("_full", "title", "date")
 
 
 def retrieve(chunks: DataFrame, meetings: DataFrame, questions: DataFrame, settings: Settings = Settings(), scope: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Sources and gate of each question.
 
-    chunks: chunk_id, meeting_id, ordinal, text, speakers, start_ms, end_ms, token_count; meetings: meeting_id, title, date; questions: query_id, text;
-    scope: (query_id, meeting_id), for questions about some meetings only. Word statistics are those of the whole corpus either way.
+    chunks: chunk_id, meeting_id, ordinal, text, speakers, start_ms, end_ms, token_count, and the ANALYSED columns where they are stored; meetings: meeting_id, title, date;
+    questions: query_id, text; scope: (query_id, meeting_id), for questions about some meetings only. Word statistics are those of the whole corpus either way.
     Gives (query_id, label, chunk_id, via_neighbour, dense_rank, lexical_rank, fused, meeting columns, chunk columns) and (query_id, max_dense, coverage, gated).
     """
-    asked = questions.select("query_id", "text")
-    held = chunks.select(F.col("chunk_id").alias("id"), "meeting_id", "text")
+    asked = search.hash_vectors(questions.select("query_id", "text"))
+    held = (chunks if set(ANALYSED) <= set(chunks.columns) else analysed(chunks, meetings)).withColumnRenamed("chunk_id", "id").select("id", "meeting_id", *ANALYSED)
+    chunks = chunks.drop(*ANALYSED)
 
     def scoped(hits: DataFrame) -> DataFrame:
-        return hits if scope is None else hits.join(held.select("id", "meeting_id"), "id").join(scope.withColumn("_in", F.lit(True)), ["query_id", "meeting_id"], "left_semi").drop("meeting_id")
+        return hits if scope is None else hits.join(held.select("id", "meeting_id"), "id").join(scope, ["query_id", "meeting_id"], "left_semi").drop("meeting_id")
 
-    # what several steps read is kept, so that one plan doesn't hold it many times over
-    own = search.hash_embed(held).persist()
-    wanted = search.hash_embed(asked, id_col="query_id").select(F.col("id").alias("query_id"), "index", F.col("value").alias("q"))
-    # sparse unit vectors meet on their indexes
-    dots = own.join(wanted, "index").groupBy("query_id", "id").agg(F.round(F.sum(F.col("value") * F.col("q")), 9).alias("score"))
-    dots = dots.persist()
-    dense = search.top(scoped(dots).where(F.col("score") >= settings.min_dense_similarity), settings.dense_k).persist()
+    if scope is None:
+        dense = search.dense_search(held.select("id", "vec"), asked, settings.dense_k, settings.min_dense_similarity)
+    else:  # the scoped chunks of each question are its candidates
+        own = scope.join(held.select("id", "meeting_id", "vec"), "meeting_id").join(asked.select("query_id", F.col("vec").alias("q")), "query_id")
+        own = own.select("query_id", "id", F.round(search.dot(F.col("vec"), F.col("q")), 9).alias("score"))
+        dense = search.top(own.where(F.col("score") >= settings.min_dense_similarity), settings.dense_k)
+    dense = dense.persist()
 
-    def stems(c):
-        return search.stemmed_terms(F.array_join(content_terms(c), " "))
-
-    n, avgdl = search.corpus_statistics(held, terms=search.stemmed_terms)
-    terms = search.query_terms(asked, terms=stems)
-    scores = search.bm25(search.postings(held, terms=search.stemmed_terms), n, avgdl, terms, 1 << 30).select("query_id", "id", "score")
-    lexical = search.top(scoped(scores), settings.lexical_k)
+    n, avgdl = search.corpus_statistics(held, terms=lambda _: F.col("stems"), text_col="stems")
+    terms = search.query_terms(asked, terms=lambda c: search.stemmed_phrases(content_terms(c)))
+    index = search.matched(held, terms, text_col="stems", terms=lambda c: c)
+    lexical = search.top(scoped(search.bm25_scores(index, n, avgdl, terms)), settings.lexical_k)
 
     fused = rank.fuse_ranks(dense, lexical, settings.rrf_k).where(F.col("fused") >= settings.min_fused_score).persist()
     sure = rank.guaranteed(fused, settings.final_k, settings.retriever_floor)
-    w = Window.partitionBy("query_id").orderBy("turn")
-    sure = sure.withColumn("first", F.row_number().over(w))
+    sure = sure.withColumn("first", F.row_number().over(Window.partitionBy("query_id").orderBy("turn")))
     rest = fused.join(sure.select("query_id", "id"), ["query_id", "id"], "left_anti")
-    vectors = unit_vectors(own.join(rest.select("id").distinct(), "id", "left_semi"), ["id"])
-    pool = rest.join(vectors, "id").join(dots.withColumnRenamed("score", "affinity"), ["query_id", "id"], "left").select("query_id", "id", "place", "fused", "vec", F.coalesce("affinity", F.lit(0.0)).alias("affinity"))
+    pool = rest.join(held.select("id", "vec"), "id").join(asked.select("query_id", F.col("vec").alias("q")), "query_id")
+    pool = pool.select("query_id", "id", "place", "fused", "vec", F.round(search.dot(F.col("vec"), F.col("q")), 9).alias("affinity"))
     more = rank.mmr_select(pool, settings.final_k, settings.mmr_lambda)
     counts = sure.groupBy("query_id").agg(F.max("first").alias("n"))
     more = more.join(counts, "query_id", "left").withColumn("first", F.coalesce("n", F.lit(0)) + F.col("turn") + 1)
@@ -63,11 +63,11 @@ def retrieve(chunks: DataFrame, meetings: DataFrame, questions: DataFrame, setti
     gate = rank.relevance_gate(asked, dense, chosen)
     best = chosen.join(fused, ["query_id", "id"]).join(chunks.withColumnRenamed("chunk_id", "id"), "id")
     texts = best.groupBy("query_id").agg(F.array_join(F.collect_list("text"), " ").alias("text"))
-    df = search.document_frequencies(search.postings(held))
-    coverage = rank.weighted_coverage(search.query_terms(asked, terms=content_terms), df, texts, n)
-    gate = gate.join(coverage, "query_id", "left").withColumn("coverage", F.round(F.coalesce("coverage", F.lit(1.0)), 3))
-
-    gate = gate.persist()
+    wanted = search.query_terms(asked, terms=content_terms)
+    words = held.select("id", F.explode(F.array_distinct("words")).alias("term")).join(wanted.select("term").distinct(), "term", "left_semi")
+    df = words.groupBy("term").agg(F.count("*").alias("df"))
+    coverage = rank.weighted_coverage(wanted, df, texts, n)
+    gate = gate.join(coverage, "query_id", "left").withColumn("coverage", F.round(F.coalesce("coverage", F.lit(1.0)), 3)).persist()
 
     seeds = best.select("query_id", "meeting_id", "ordinal", F.col("first").alias("place"))
     near = rank.expand_neighbours(seeds, chunks, settings.neighbour_radius, settings.neighbour_seeds)
