@@ -9,8 +9,9 @@ from colloquy.functions import guardrails as guard
 from colloquy.functions import text as t
 from colloquy.functions import timecode as tc
 from colloquy.operators import answer, brief, chunk, evaluate, parse, rank, search
-from colloquy.plans.retrieve import retrieve
+from colloquy.plans.retrieve import analysed, retrieve
 from colloquy.settings import Settings
+from colloquy.sources.scratch import written
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -332,7 +333,9 @@ def _questions(spark, sf_dir):
 @query()
 def hybrid_retrieve(spark, sf_dir):
     """The whole retrieval plan: chunks of the conversations, both searches, fusion, selection, gate, neighbours, packing and labels."""
-    sources, _ = retrieve(_chunks(spark, sf_dir), _meetings(spark, sf_dir), _questions(spark, sf_dir), S)
+    meetings = _meetings(spark, sf_dir)
+    chunks = written(analysed(_chunks(spark, sf_dir), meetings), "chunks")  # the engine reads them from its store
+    sources, _ = retrieve(chunks, meetings, _questions(spark, sf_dir), S)
     return sources.select("query_id", "label", "chunk_id", "meeting_id", "title", "via_neighbour", "dense_rank", "lexical_rank", F.round("fused", 9).alias("fused"), "token_count")
 
 
@@ -385,7 +388,31 @@ def citation_extract(spark, sf_dir):
     return _answers(spark, sf_dir).select("item_id", F.array_join(guard.citations(F.col("answer")), "|").alias("cited"))
 
 
-@query()
+def _any_sql(x: str, patterns) -> str:
+    return "(" + " OR ".join(f"regexp_matches({x}, '(?i){p.replace(chr(39), chr(39) * 2)}')" for p in patterns) + ")"
+
+
+_WS = "[\\s\\x{00A0}]"
+
+
+def _trim_sql(x: str) -> str:
+    return f"regexp_replace({x}, '^{_WS}+|{_WS}+$', '', 'g')"
+
+
+def _sentences_sql(x: str) -> str:
+    cut = f"regexp_replace(regexp_replace({x}, '\\n+', ' ', 'g'), '([.!?])\\s+([A-Z\"''(\\p{{Lu}}])', '\\1' || chr(1) || '\\2', 'g')"
+    return f"list_filter(list_transform(string_split({cut}, chr(1)), lambda x: {_trim_sql('x')}), lambda x: x <> '')"
+
+
+@query(f"""
+WITH a AS (SELECT item_id, item_id % 4 AS m, {_sentences_sql(f"({_ANSWER})")} AS l FROM benchmark),
+s AS (SELECT item_id, unnest(l) AS s FROM a),
+j AS (SELECT item_id, s, len(regexp_split_to_array(s, '\\s+')) >= 4 AND NOT {_any_sql('s', guard.NON_ASSERTIVE)} AS asserted FROM s),
+c AS (SELECT item_id, coalesce(round(sum(CASE WHEN asserted AND contains(s, '; S2]') THEN 1 ELSE 0 END)::DOUBLE / nullif(sum(CASE WHEN asserted THEN 1 ELSE 0 END), 0), 2), 1.0::DOUBLE) AS coverage FROM j GROUP BY item_id),
+d AS (SELECT item_id, m, {_any_sql('l[1]', guard.DECLINE)} AS declined FROM a)
+SELECT item_id, coverage, CASE WHEN m IN (0, 3) THEN 'S' || m::VARCHAR || '|S9' ELSE 'S9' END AS invalid, declined,
+  CASE WHEN declined THEN 'declined|invalid-citations' WHEN coverage < {S.min_citation_coverage} THEN 'invalid-citations|low-citation-coverage' ELSE 'invalid-citations' END AS flags
+FROM c JOIN d USING (item_id)""")
 def citation_coverage(spark, sf_dir):
     v = _answers(spark, sf_dir).select("item_id", guard.verdict(F.col("answer"), F.col("labels")).alias("v"))
     return v.select("item_id", "v.coverage", F.array_join("v.invalid", "|").alias("invalid"), "v.declined", F.array_join("v.flags", "|").alias("flags"))
@@ -418,7 +445,22 @@ def whole_meeting_route(spark, sf_dir):
     return m.select("conv_id", "tokens", answer.route(asked, F.lit(1), F.col("tokens"), S.whole_meeting_tokens // 100).alias("route"))
 
 
-@query()
+def _plain_sql(x: str) -> str:
+    return f"list_filter(list_transform(string_split(regexp_replace({x}, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: {_trim_sql('x')}), lambda x: x <> '')"
+
+
+@query(f"""
+WITH t AS (SELECT conv_id AS q, turn + 1 AS n, text, {_plain_sql('text')} AS l FROM conversations),
+s AS (SELECT q, n, unnest(range(len(l))) AS pos, unnest(l) AS s FROM t),
+a AS (SELECT conv_id AS q, {_words('text')} AS ask FROM conversations WHERE turn = 0),
+w AS (SELECT q, n, pos, s, ask, {_words('s')} AS w FROM s JOIN a USING (q)),
+z AS (SELECT q, n, pos, {_trim_sql("regexp_replace(s, '^\\[[^\\]]+\\]\\s*', '')")} AS s, round(len(list_filter(w, lambda x: list_contains(ask, x))) / sqrt(len(w) + 1), 9) AS score FROM w),
+m AS (SELECT q, s, list_sort(list(DISTINCT n)) AS ns, max(score) AS score, min(struct_pack(n := n, pos := pos)) AS first FROM z WHERE score > 0 GROUP BY q, s),
+r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, first) AS place FROM m QUALIFY place <= 4),
+x AS (SELECT q, string_agg('- ' || s || ' [' || array_to_string(list_transform(ns, lambda n: 'S' || n::VARCHAR), ', ') || ']', chr(10) ORDER BY place) AS lines FROM r GROUP BY q),
+f AS (SELECT q, arg_min(coalesce(l[1], text), n) AS one, min(n) AS n FROM t GROUP BY q)
+SELECT a.q AS query_id, CASE WHEN x.lines IS NULL THEN '{answer.CLOSEST}' || chr(10) || chr(10) || {_trim_sql("f.one || ' [S' || f.n::VARCHAR || ']'")} ELSE '{answer.FOUND}' || chr(10) || chr(10) || x.lines || chr(10) || chr(10) || '{answer.OPEN}' END AS answer
+FROM a LEFT JOIN f ON f.q = a.q LEFT JOIN x ON x.q = a.q""")
 def extractive_answer(spark, sf_dir):
     s = load(spark, sf_dir, "conversations").select(F.col("conv_id").alias("query_id"), F.concat(F.lit("S"), (F.col("turn") + 1).cast("string")).alias("label"), "text")
     q = load(spark, sf_dir, "conversations").where("turn = 0").select(F.col("conv_id").alias("query_id"), F.col("text").alias("question"))

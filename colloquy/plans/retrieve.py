@@ -9,6 +9,7 @@ from colloquy.functions.text import content_terms, estimate_tokens, simple_terms
 from colloquy.operators import rank, search
 from colloquy.operators.chunk import header
 from colloquy.settings import Settings
+from colloquy.sources.scratch import written
 
 #: Columns that ``analysed`` adds to chunks; stored with them, no question reads the texts again.
 ANALYSED = ("vec", "stems", "words")
@@ -29,8 +30,8 @@ def retrieve(chunks: DataFrame, meetings: DataFrame, questions: DataFrame, setti
     questions: query_id, text; scope: (query_id, meeting_id), for questions about some meetings only. Word statistics are those of the whole corpus either way.
     Gives (query_id, label, chunk_id, via_neighbour, dense_rank, lexical_rank, fused, meeting columns, chunk columns) and (query_id, max_dense, coverage, gated).
     """
-    asked = search.hash_vectors(questions.select("query_id", "text"))
-    held = (chunks if set(ANALYSED) <= set(chunks.columns) else analysed(chunks, meetings)).withColumnRenamed("chunk_id", "id").select("id", "meeting_id", *ANALYSED)
+    asked = written(search.hash_vectors(questions.select("query_id", "text")), "asked")
+    held = (chunks if set(ANALYSED) <= set(chunks.columns) else written(analysed(chunks, meetings), "analysed")).withColumnRenamed("chunk_id", "id").select("id", "meeting_id", *ANALYSED)
     chunks = chunks.drop(*ANALYSED)
 
     def scoped(hits: DataFrame) -> DataFrame:
@@ -42,14 +43,14 @@ def retrieve(chunks: DataFrame, meetings: DataFrame, questions: DataFrame, setti
         own = scope.join(held.select("id", "meeting_id", "vec"), "meeting_id").join(asked.select("query_id", F.col("vec").alias("q")), "query_id")
         own = own.select("query_id", "id", F.round(search.dot(F.col("vec"), F.col("q")), 9).alias("score"))
         dense = search.top(own.where(F.col("score") >= settings.min_dense_similarity), settings.dense_k)
-    dense = dense.persist()
+    dense = written(dense, "dense")
 
     n, avgdl = search.corpus_statistics(held, terms=lambda _: F.col("stems"), text_col="stems")
     terms = search.query_terms(asked, terms=lambda c: search.stemmed_phrases(content_terms(c)))
     index = search.matched(held, terms, text_col="stems", terms=lambda c: c)
     lexical = search.top(scoped(search.bm25_scores(index, n, avgdl, terms)), settings.lexical_k)
 
-    fused = rank.fuse_ranks(dense, lexical, settings.rrf_k).where(F.col("fused") >= settings.min_fused_score).persist()
+    fused = written(rank.fuse_ranks(dense, lexical, settings.rrf_k).where(F.col("fused") >= settings.min_fused_score), "fused")
     sure = rank.guaranteed(fused, settings.final_k, settings.retriever_floor)
     sure = sure.withColumn("first", F.row_number().over(Window.partitionBy("query_id").orderBy("turn")))
     rest = fused.join(sure.select("query_id", "id"), ["query_id", "id"], "left_anti")
@@ -58,16 +59,16 @@ def retrieve(chunks: DataFrame, meetings: DataFrame, questions: DataFrame, setti
     more = rank.mmr_select(pool, settings.final_k, settings.mmr_lambda)
     counts = sure.groupBy("query_id").agg(F.max("first").alias("n"))
     more = more.join(counts, "query_id", "left").withColumn("first", F.coalesce("n", F.lit(0)) + F.col("turn") + 1)
-    chosen = sure.select("query_id", "id", "first").unionByName(more.select("query_id", "id", "first")).where(F.col("first") <= settings.final_k).persist()
+    chosen = written(sure.select("query_id", "id", "first").unionByName(more.select("query_id", "id", "first")).where(F.col("first") <= settings.final_k), "chosen")
 
     gate = rank.relevance_gate(asked, dense, chosen)
-    best = chosen.join(fused, ["query_id", "id"]).join(chunks.withColumnRenamed("chunk_id", "id"), "id")
+    best = written(chosen.join(fused, ["query_id", "id"]).join(chunks.withColumnRenamed("chunk_id", "id"), "id"), "best")
     texts = best.groupBy("query_id").agg(F.array_join(F.collect_list("text"), " ").alias("text"))
     wanted = search.query_terms(asked, terms=content_terms)
     words = held.select("id", F.explode(F.array_distinct("words")).alias("term")).join(wanted.select("term").distinct(), "term", "left_semi")
     df = words.groupBy("term").agg(F.count("*").alias("df"))
     coverage = rank.weighted_coverage(wanted, df, texts, n)
-    gate = gate.join(coverage, "query_id", "left").withColumn("coverage", F.round(F.coalesce("coverage", F.lit(1.0)), 3)).persist()
+    gate = written(gate.join(coverage, "query_id", "left").withColumn("coverage", F.round(F.coalesce("coverage", F.lit(1.0)), 3)), "gate")
 
     seeds = best.select("query_id", "meeting_id", "ordinal", F.col("first").alias("place"))
     near = rank.expand_neighbours(seeds, chunks, settings.neighbour_radius, settings.neighbour_seeds)
