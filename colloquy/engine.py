@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.functions import guardrails
-from colloquy.functions.text import trim
-from colloquy.operators import answer, evaluate
+from colloquy.functions.text import estimate_tokens, trim
+from colloquy.operators import answer, brief, chunk, evaluate
 from colloquy.plans.retrieve import retrieve
 from colloquy.settings import Settings
+from colloquy.sources.scratch import written
 from colloquy.sources.store import Store
-from colloquy.sources.transcripts import read_directory
+from colloquy.sources.transcripts import check_requests, read_directory, write_events
 from colloquy.streaming.ingest import ingest
 
 
@@ -20,11 +21,12 @@ class Engine:
         self.spark, self.store, self.settings = spark, Store(spark, path), settings or Settings.from_env()
 
     def ingest(self, files: DataFrame) -> int:
-        """files: filename, content."""
-        return ingest(self.store, files, self.settings)
+        """files: filename, content, and title and date where known; those that fail the request checks are stored as rejected."""
+        checked = check_requests(files.select("filename", "content", *[(F.col(c).cast("string") if c in files.columns else F.lit(None).cast("string")).alias(c) for c in ("title", "date")]))
+        return ingest(self.store, checked.where("error is null"), self.settings)
 
     def ingest_dir(self, path: str) -> int:
-        return self.ingest(read_directory(self.spark, path))
+        return self.ingest(read_directory(self.spark, path).where("error is null"))
 
     def meetings(self) -> DataFrame | None:
         return self.store.meetings()
@@ -33,7 +35,15 @@ class Engine:
         m = self.store.table("meetings")
         if m is None or not (found := m.where(F.col("id") == meeting_id)).take(1):
             raise KeyError(meeting_id)
-        return found.drop("checksum")
+        briefs = self.store.table("briefs")
+        return found if briefs is None else found.join(briefs, "id", "left")
+
+    def write_briefs(self, ids: DataFrame | None = None) -> int:
+        """Brief the stored meetings, or those of ``ids`` (id), segment by segment, and store the merged briefs."""
+        lines = self.store.table("turns").select("id", "index", chunk.rendered().alias("line"))
+        lines = lines if ids is None else lines.join(ids.select("id"), "id", "left_semi")
+        texts = lines.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("index", "line"))), lambda x: x["line"]), "\n").alias("text"))
+        return self.store.save_brief(brief.meeting_briefs(texts))
 
     def delete(self, ids: DataFrame) -> int:
         return self.store.delete(ids)
@@ -45,8 +55,6 @@ class Engine:
         turns = self.store.table("turns")
         if turns is None:
             return self.spark.createDataFrame([(0, 0, 0)], "meetings long, turns long, tokens long")
-        from colloquy.functions.text import estimate_tokens
-
         return evaluate.corpus_status(turns, estimate_tokens(F.col("text")))
 
     def retrieve(self, questions: DataFrame, scope: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -55,26 +63,60 @@ class Engine:
         return retrieve(chunks, meetings, questions, self.settings, scope)
 
     def ask(self, questions: DataFrame, scope: DataFrame | None = None) -> DataFrame:
-        """(query_id, route, answer, coverage, invalid, declined, flags). questions: query_id, text.
+        """(query_id, question, standalone, route, answer, coverage, invalid, declined, flags, model, tokens_in, tokens_out, usd), one row per question; each leaves a trace.
 
-        Refused questions (empty, too long, no evidence) get their refusal and no search.
+        questions: query_id, text, and history, an array of (role, content), where there is one. scope: (query_id, meeting_id). Refused questions (empty, too
+        long, no evidence) get their refusal and no search; up to three meetings that fit are read whole where the question asks for it.
         """
-        checked = questions.withColumn("refusal", guardrails.check_question(F.col("text"), self.settings.max_question_chars))
-        fair = checked.where("refusal is null")
-        empty = self.store.table("chunks") is None
-        refused = checked.where("refusal is not null").select("query_id", F.col("refusal").alias("answer"))
+        history = F.col("history") if "history" in questions.columns else F.array().cast("array<struct<role:string,content:string>>")
+        asked = questions.select("query_id", F.col("text").alias("question"), F.coalesce(history, F.array().cast("array<struct<role:string,content:string>>")).alias("history"))
+        past = answer.history_lines(F.col("history"), 6, 300)
+        new = answer.rewrite(F.col("question"), past)
+        standalone = F.when((F.size("history") > 0) & (F.length(new) > 2), new).otherwise(F.col("question"))
+        asked = asked.withColumn("standalone", standalone).withColumn("refusal", guardrails.check_question(F.col("question"), self.settings.max_question_chars))
+        meetings, empty = self.store.table("meetings"), self.store.table("chunks") is None
+        if scope is None or empty:
+            asked = asked.withColumn("route", F.lit("retrieval"))
+        else:
+            fit = scope.join(meetings.select(F.col("id").alias("meeting_id"), "token_count"), "meeting_id").groupBy("query_id").agg(F.count("*").alias("n"), F.sum("token_count").alias("tokens"))
+            way = answer.route(F.col("question"), F.coalesce("n", F.lit(0)), F.coalesce("tokens", F.lit(0)), self.settings.whole_meeting_tokens)
+            asked = asked.join(fit, "query_id", "left").withColumn("route", way).drop("n", "tokens")
+        asked = written(asked, "asked")
+        fair = asked.where("refusal is null")
+        refused = asked.where("refusal is not null").select("query_id", F.col("refusal").alias("answer"))
         if empty:
-            none = fair.select("query_id", guardrails.no_evidence(F.col("text"), F.lit(True)).alias("answer"))
-            return self._judged(refused.unionByName(none).withColumn("route", F.lit("refused")).withColumn("labels", F.array().cast("array<string>")))
-        sources, gate = self.retrieve(fair, scope)
-        sources = sources.persist()
-        shut = gate.where("gated").join(fair, "query_id").select("query_id", guardrails.no_evidence(F.col("text"), F.lit(False)).alias("answer"))
-        told = answer.extractive_answer(sources.select("query_id", "label", "text"), fair.join(gate.where("not gated"), "query_id").select("query_id", trim(F.col("text")).alias("question")))
-        labels = sources.groupBy("query_id").agg(F.collect_set("label").alias("labels"))
+            none = fair.select("query_id", guardrails.no_evidence(F.col("question"), F.lit(True)).alias("answer"))
+            return self._judged(asked, refused.unionByName(none).withColumn("refused", F.lit(True)), None)
+        searched = fair.where("route = 'retrieval'").select("query_id", F.col("standalone").alias("text"))
+        sources, gate = self.retrieve(searched, scope)
+        shown = ["query_id", "label", "chunk_id", "title", "date", "start_ms", "end_ms", "speakers", "text", "fused", "via_neighbour"]
+        sources = sources.select(*shown)
+        if scope is not None:
+            read = scope.join(fair.where("route = 'whole-meeting'").select("query_id"), "query_id", "left_semi").join(meetings.withColumnRenamed("id", "meeting_id"), "meeting_id")
+            sources = sources.unionByName(answer.whole_sources(read).select(*shown))
+        sources = written(sources, "sources")
+        shut = gate.where("gated").join(fair, "query_id").select("query_id", guardrails.no_evidence(F.col("question"), F.lit(False)).alias("answer"))
+        open_ = fair.join(shut, "query_id", "left_anti").select("query_id", trim(F.col("standalone")).alias("question"))
+        told = answer.extractive_answer(sources.select("query_id", "label", "text"), open_)
+        return self._judged(asked, refused.unionByName(shut).withColumn("refused", F.lit(True)).unionByName(told.withColumn("refused", F.lit(False))), sources)
+
+    def _judged(self, asked: DataFrame, answers: DataFrame, sources: DataFrame | None) -> DataFrame:
         none = F.array().cast("array<string>")
-        out = refused.unionByName(shut).withColumn("route", F.lit("refused")).unionByName(told.withColumn("route", F.lit("retrieval")))
-        return self._judged(out.join(labels, "query_id", "left").withColumn("labels", F.coalesce("labels", none)))
-
-    def _judged(self, answers: DataFrame) -> DataFrame:
-        clean = guardrails.strip_invalid(F.col("answer"), F.col("labels"))
-        return answers.withColumn("answer", clean).withColumn("v", guardrails.verdict(F.col("answer"), F.col("labels"), self.settings.min_citation_coverage)).select("query_id", "route", "answer", "v.*")
+        rows = asked.drop("refusal").join(answers, "query_id").withColumn("route", F.when(F.col("refused"), "refused").otherwise(F.col("route")))
+        if sources is None:
+            rows = rows.withColumn("labels", none).withColumn("prompt", F.lit(""))
+        else:
+            labels = sources.groupBy("query_id").agg(F.collect_set("label").alias("labels"))
+            rows = rows.join(labels, "query_id", "left").withColumn("labels", F.coalesce("labels", none)).join(answer.prompts(asked, sources), "query_id", "left")
+        rows = rows.withColumn("answer", guardrails.strip_invalid(F.col("answer"), F.col("labels"))).withColumn("v", guardrails.verdict(F.col("answer"), F.col("labels"), self.settings.min_citation_coverage))
+        count = lambda c: F.when(F.col("refused"), 0).otherwise(estimate_tokens(F.col(c))).cast("long")
+        rows = rows.withColumn("model", F.lit("deterministic-extractive")).withColumn("tokens_in", count("prompt")).withColumn("tokens_out", count("answer"))
+        rows = rows.withColumn("usd", answer.cost_usd(F.col("model"), F.col("tokens_in"), F.col("tokens_out")))
+        out = written(rows.select("query_id", "question", "standalone", "route", "answer", "v.*", "model", "tokens_in", "tokens_out", "usd"), "answers")
+        shown = sources if sources is not None else asked.select("query_id", *[F.lit(None).cast("string").alias(c) for c in ("label", "chunk_id", "title", "date", "text")], F.lit(0.0).alias("fused"), F.lit(False).alias("via_neighbour")).limit(0)
+        self.store.save_traces(answer.traces(out, shown))
+        return out
+
+    def ask_events(self, questions: DataFrame, path: str, scope: DataFrame | None = None) -> None:
+        """Answer and write the events of each answer as JSON lines."""
+        write_events(answer.answer_events(self.ask(questions, scope).withColumn("error", F.lit(None).cast("string"))), path)

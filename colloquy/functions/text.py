@@ -78,6 +78,11 @@ def truncate(c: Column, n: int) -> Column:
     return F.when(F.length(c) > n, F.concat(F.left(c, F.lit(n)), F.lit("…"))).otherwise(c)
 
 
+def capped(c: Column, n: int) -> Column:
+    """The first ``n`` characters and a note of how many were left out."""
+    return F.when(F.length(c) > n, F.concat(F.left(c, F.lit(n)), F.lit("\n[… "), (F.length(c) - n).cast("string"), F.lit(" more characters]"))).otherwise(c)
+
+
 def checksum(c: Column) -> Column:
     return F.substring(F.sha2(c, 256), 1, 32)
 

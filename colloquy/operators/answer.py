@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.functions.guardrails import matches, whole_meeting_question
-from colloquy.functions.text import distinct, plain_sentences, tokenize_words, trim, truncate
+from colloquy.functions.text import capped, distinct, plain_sentences, tokenize_words, trim, truncate
 from colloquy.functions.timecode import format_range
+from colloquy.operators.rank import chronological
 from colloquy.settings import Settings
 
 # Dollars for a million tokens in and out.
@@ -101,9 +102,42 @@ def extractive_answer(sources: DataFrame, questions: DataFrame) -> DataFrame:
     return joined.select("query_id", answer.alias("answer"))
 
 
+def whole_sources(meetings: DataFrame) -> DataFrame:
+    """One source per meeting of a question, its transcript, labelled by date. meetings: query_id, meeting_id, title, date, duration_ms, participants, transcript."""
+    rows = meetings.select(
+        "query_id", F.concat("meeting_id", F.lit(":full")).alias("chunk_id"), "meeting_id", "title", "date", F.lit(0).cast("long").alias("start_ms"), F.col("duration_ms").alias("end_ms"),
+        F.col("participants").alias("speakers"), F.col("transcript").alias("text"), F.lit(0).alias("ordinal"), F.lit(1.0).alias("fused"), F.lit(False).alias("via_neighbour"),
+    )
+    return chronological(rows)
+
+
+def prompts(questions: DataFrame, sources: DataFrame) -> DataFrame:
+    """(query_id, prompt): history, sources and question. questions: query_id, question, history (turns), route."""
+    last = F.when(F.col("route") == "whole-meeting", history_lines(F.col("history"), 4, 300)).otherwise(history_lines(F.col("history"), 6, 400))
+    said = F.when(F.size("history") > 0, F.concat(F.lit("Earlier in this conversation:\n"), last, F.lit("\n\n"))).otherwise("")
+    joined = questions.join(render_sources(sources), "query_id", "left")
+    return joined.select("query_id", F.concat(said, F.coalesce("block", F.lit("<sources>\n\n</sources>")), F.lit("\n\nQuestion: "), trim(F.col("question"))).alias("prompt"))
+
+
+def traces(answers: DataFrame, sources: DataFrame) -> DataFrame:
+    """(trace_id, created_at, question, payload): what is stored of each answer, source texts cut to 4000 characters.
+
+    answers: query_id, question, standalone, route, answer, model, tokens_in, tokens_out, usd and the verdict columns.
+    """
+    each = F.struct("label", "chunk_id", "title", "date", F.round("fused", 5).alias("fused"), "via_neighbour", capped(F.col("text"), 4000).alias("text"))
+    shown = sources.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct(F.substr("label", F.lit(2)).cast("int").alias("n"), each.alias("s")))).alias("s"))
+    rows = answers.join(shown, "query_id", "left")
+    payload = F.to_json(F.struct("standalone", "route", "answer", "coverage", "invalid", "declined", "flags", F.struct("model", "tokens_in", "tokens_out", "usd").alias("usage"), F.coalesce(F.transform("s", lambda x: x["s"]), F.array()).alias("sources")))
+    now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    return rows.select(F.substring(F.sha2(F.concat_ws("|", F.col("query_id").cast("string"), "question", now), 256), 1, 32).alias("trace_id"), now.alias("created_at"), "question", payload.alias("payload"))
+
+
 def answer_events(answers: DataFrame) -> DataFrame:
-    """(query_id, seq, event): a JSON line for each piece of an answer, then one that it is done."""
+    """(query_id, seq, event): a JSON line with the route and question, one for each piece of the answer, and one that it is done; of an answer with ``error``, that alone."""
+    line = lambda kind, data: F.to_json(F.struct(F.lit(kind).alias("type"), data.alias("data")))
     pieces = F.regexp_extract_all("answer", F.lit(r"(\S+\s*)"), 1)
-    each = F.transform(pieces, lambda p: F.to_json(F.struct(F.lit("delta").alias("type"), F.struct(p.alias("text")).alias("data"))))
-    done = F.array(F.to_json(F.struct(F.lit("done").alias("type"), F.struct(F.col("answer")).alias("data"))))
-    return answers.select("query_id", F.posexplode(F.concat(each, done)).alias("seq", "event"))
+    meta = F.array(line("meta", F.struct("route", "standalone")))
+    each = F.transform(pieces, lambda p: line("delta", F.struct(p.alias("text"))))
+    done = F.array(line("done", F.struct("answer")))
+    failed = F.array(line("error", F.struct(F.col("error").alias("message"))))
+    return answers.select("query_id", F.posexplode(F.when(F.col("error").isNotNull(), failed).otherwise(F.concat(meta, each, done))).alias("seq", "event"))

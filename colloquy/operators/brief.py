@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from colloquy.functions.text import plain_sentences, tokenize_words, trim
 from colloquy.functions.timecode import parse_timecode
+from colloquy.operators.chunk import segment_lines
 
 # Cue phrases, looked for in lower-cased sentences.
 DECISION = (
@@ -96,7 +97,34 @@ def read_brief(c: Column) -> Column:
     return F.coalesce(read(fenced), read(braces), read(c))
 
 
+#: Most topics, decisions, actions and questions of a merged brief.
+CAPS = {"topics": 10, "decisions": 15, "actions": 15, "questions": 10}
+
+
 def merge_briefs(parts: DataFrame) -> DataFrame:
-    """(id, topics): distinct topics of a meeting's segments in order, ten at most. parts: (id, ordinal, topics)."""
-    rows = F.array_sort(F.collect_list(F.struct("ordinal", "topics")))
-    return parts.groupBy("id").agg(F.slice(F.array_distinct(F.flatten(F.transform(rows, lambda r: r["topics"]))), 1, 10).alias("topics"))
+    """One brief per id from those of its segments in order: each list without repeats (decisions and actions by their text) and cut to its cap.
+
+    parts: id, ordinal, and of topics, decisions, actions and questions those that there are.
+    """
+    lists = [c for c in CAPS if c in parts.columns]
+    rows = F.array_sort(F.collect_list(F.struct("ordinal", *lists)))
+    out = parts.groupBy("id").agg(rows.alias("r"))
+    key = {"decisions": "decision", "actions": "task"}
+
+    def once(c: str) -> Column:
+        all_ = F.flatten(F.transform("r", lambda r: F.coalesce(r[c], F.array())))
+        if c not in key:
+            return F.array_distinct(all_)
+        names = F.transform(all_, lambda x: x[key[c]])
+        return F.filter(all_, lambda x, i: F.array_position(names, x[key[c]]) == i + 1)
+
+    return out.select("id", *[F.slice(once(c), 1, CAPS[c]).alias(c) for c in lists])
+
+
+def meeting_briefs(texts: DataFrame, budget: int = 3000, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """(id, segments, topics, decisions, actions, questions): the text in segments of ``budget`` tokens, a brief of each, and their merge."""
+    segments = segment_lines(texts, budget, id_col, text_col)
+    named = segments.select(F.struct("id", "ordinal").alias("id"), "text")
+    parts = brief(named).select("id.id", "id.ordinal", *CAPS)
+    counts = segments.groupBy("id").agg(F.count("*").cast("int").alias("segments"))
+    return counts.join(merge_briefs(parts), "id")

@@ -180,6 +180,15 @@ def parse_turns(docs: DataFrame, id_col: str = "id", text_col: str = "content")
     return finish_turns(turns).join(detect_format(body), "id").select("id", "format", "index", "speaker", "start_ms", "end_ms", "text")
 
 
+def read_headers(docs: DataFrame, id_col: str = "id", text_col: str = "content") -> DataFrame:
+    """(id, title, date, participants) that a transcript itself gives: its header block, else its body; null where neither does."""
+    top, body = split_header(to_lines(docs, id_col, text_col))
+    body = classify(body)
+    within = body_titles(body.join(detect_format(body), "id")).withColumnsRenamed({"title": "t", "date": "d"})
+    both = top.join(within, "id", "full_outer")
+    return both.select("id", F.coalesce(F.nullif("title", F.lit("")), "t").alias("title"), F.coalesce(F.nullif("date", F.lit("")), "d").alias("date"), "participants")
+
+
 def participants(turns: DataFrame, declared: DataFrame | None = None) -> DataFrame:
     """(id, participants): declared ones, then speakers in order of first word; ``Unknown`` aside."""
     heard = turns.where("speaker <> 'Unknown'").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("index", "speaker"))).alias("h")).select("id", distinct(F.transform("h", lambda x: x["speaker"])).alias("heard"))

@@ -1,48 +1,73 @@
-"""A store of versioned Parquet tables: every commit writes whole new tables, then names them in one manifest row.
+"""A store of versioned Parquet tables: a table is a list of parts, and every commit names all parts in one manifest.
 
-Readers see the manifest of the greatest version, so a write that breaks off leaves the old state in place. Meeting ids are
+Readers see the manifest of the greatest version, so a write that breaks off leaves the old state in place. New rows are a part of their own; a
+table is written anew only where stored rows are replaced or deleted. A writer claims the next version by a file of its name, so of two
+writers one waits, reads the new state and tries again: no update is lost. Meeting ids are
 checksums of the content: a retried batch writes the same rows, and a repeated upload is met by an anti-join.
 """
 
 from __future__ import annotations
 
+import time
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
-TABLES = {"meetings": "id", "turns": "id", "chunks": "id", "briefs": "id", "traces": "trace_id"}
+TABLES = {"meetings": "id", "turns": "id", "chunks": "id", "briefs": "id", "rejected": "id", "traces": "trace_id"}
+#: Times that a commit is tried against other writers.
+TRIES = 10
 
 
 class Store:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _manifest(self) -> DataFrame | None:
-        try:
-            return self.spark.read.schema("version long, name string, at string").parquet(f"{self.path}/_manifest")
-        except AnalysisException:
-            return None
+    def _versions(self) -> list[int]:
+        fs, at = self._files(f"{self.path}/_manifest")
+        return sorted(int(f.getPath().getName()[1:]) for f in fs.listStatus(at)) if fs.exists(at) else []
 
-    def _current(self) -> tuple[int, dict[str, str]]:
-        m = self._manifest()
-        rows = m.collect() if m is not None else []  # one row per table and commit
-        version = max((r.version for r in rows), default=0)
-        return version, {r.name: r.at for r in rows if r.version == version}
+    def _files(self, path: str):
+        jvm = self.spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), at
+
+    def _current(self) -> tuple[int, dict[str, list[str]]]:
+        """The version and the parts of each table."""
+        version = max(self._versions(), default=0)
+        found: dict[str, list[str]] = {}
+        if version:
+            for r in self.spark.read.schema("name string, at string").parquet(f"{self.path}/_manifest/v{version}").collect():  # one row per part
+                found.setdefault(r.name, []).append(r.at)
+        return version, {name: sorted(parts) for name, parts in found.items()}
+
+    def _read(self, parts: list[str] | None) -> DataFrame | None:
+        return self.spark.read.option("mergeSchema", "true").parquet(*parts) if parts else None
 
     def table(self, name: str) -> DataFrame | None:
-        at = self._current()[1].get(name)
-        return self.spark.read.parquet(at) if at else None
-
-    def _commit(self, tables: dict[str, DataFrame]) -> int:
-        version, now = self._current()
-        for name, df in tables.items():
-            now[name] = f"{self.path}/{name}/v{version + 1}-{uuid.uuid4().hex}"
-            df.write.parquet(now[name])
-        rows = [(version + 1, name, at) for name, at in now.items()]
-        self.spark.createDataFrame(rows, "version long, name string, at string").coalesce(1).write.mode("append").parquet(f"{self.path}/_manifest")
-        return version + 1
+        return self._read(self._current()[1].get(name))
+
+    def _write(self, name: str, df: DataFrame) -> str:
+        at = f"{self.path}/{name}/{uuid.uuid4().hex}"
+        df.write.parquet(at)
+        return at
+
+    def _commit(self, change: Callable[[dict[str, list[str]]], dict[str, list[str]]]) -> int:
+        """change: gets the parts of each table and gives the new ones. The next version is claimed by creating an empty file, which only one writer can."""
+        for k in range(TRIES):
+            version, now = self._current()
+            rows = [(name, at) for name, parts in (now | change(now)).items() for at in parts]
+            aside, target = f"{self.path}/_aside/{uuid.uuid4().hex}", f"{self.path}/_manifest/v{version + 1}"
+            self.spark.createDataFrame(rows, "name string, at string").coalesce(1).write.parquet(aside)
+            fs, claim = self._files(f"{self.path}/_claims/v{version + 1}")
+            if fs.createNewFile(claim):
+                source, to = self._files(aside)[1], self._files(target)[1]
+                fs.mkdirs(to.getParent())
+                fs.rename(source, to)  # whole at once: readers never see half a manifest
+                return version + 1
+            time.sleep(0.2 * (k + 1))
+        raise RuntimeError(f"version {version + 1} is claimed by a writer that has not finished; if it is gone, remove {self.path}/_claims/v{version + 1}")
 
     def new_only(self, meetings: DataFrame) -> DataFrame:
         """Meetings whose checksum is not stored yet, once each."""
@@ -52,16 +77,33 @@ class Store:
 
     def save(self, **tables: DataFrame) -> int:
         """Replace the rows of the ids in ``tables`` and add the new ones, all tables in one version."""
-        out = {}
-        for name, df in tables.items():
-            old = self.table(name)
-            out[name] = df if old is None else old.join(df.select(TABLES[name]).distinct(), TABLES[name], "left_anti").unionByName(df)
-        return self._commit(out)
+        parts = {name: self._write(name, df) for name, df in tables.items()}
+
+        def change(now: dict[str, list[str]]) -> dict[str, list[str]]:
+            out = {}
+            for name, at in parts.items():
+                key, old = TABLES[name], self._read(now.get(name))
+                ids = self._read([at]).select(key).distinct()
+                if old is not None and old.join(ids, key, "left_semi").take(1):
+                    out[name] = [self._write(name, old.join(ids, key, "left_anti")), at]
+                else:
+                    out[name] = [*now.get(name, []), at]
+            return out
+
+        return self._commit(change)
 
     def delete(self, ids: DataFrame) -> int:
         """Take meetings out of every table that has their id."""
-        now = self._current()[1]
-        return self._commit({n: self.table(n).join(ids.select("id"), "id", "left_anti") for n in now if TABLES[n] == "id"})
+        return self._commit(lambda now: {n: [self._write(n, self._read(parts).join(ids.select("id"), "id", "left_anti"))] for n, parts in now.items() if TABLES[n] == "id"})
+
+    def save_brief(self, briefs: DataFrame) -> int:
+        """Set the briefs of meetings (id, brief columns); those of unknown meetings are left out."""
+        known = self.table("meetings")
+        return self.save(briefs=briefs if known is None else briefs.join(known.select("id"), "id", "left_semi"))
+
+    def save_traces(self, traces: DataFrame) -> int:
+        """Add or replace traces (trace_id, created_at, question, payload)."""
+        return self.save(traces=traces)
 
     def meetings(self) -> DataFrame | None:
         """Newest first, without the bulky columns."""

@@ -11,7 +11,12 @@ MAX_BYTES = 4 << 20
 
 def read_directory(spark: SparkSession, path: str) -> DataFrame:
     """(filename, content, error): transcript files of a folder; one that is too large or not UTF-8 fails alone."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{txt,md,vtt,srt,TXT,MD,VTT,SRT}").load(path)
+    return checked_files(spark.read.format("binaryFile").load(path))
+
+
+def checked_files(files: DataFrame) -> DataFrame:
+    """The transcript files among ``files`` (path, length, content) by their extension, of any case."""
+    files = files.where(F.lower("path").rlike(r"\.(txt|md|vtt|srt)$"))
     name = F.regexp_extract("path", r"([^/]+)$", 1)
     good = (F.col("length") <= MAX_BYTES) & F.is_valid_utf8(F.col("content").cast("string"))
     error = F.when(F.col("length") > MAX_BYTES, "file is larger than 4 MiB").when(~good, "file is not UTF-8")
