@@ -7,7 +7,8 @@ against all others. Its counts and scores are kept per distinct (host, path shap
 digit runs as their length, and come back to the urls by a salted join.
 
 Cases: a null url, or one without ``://``, has empty host and path and is judged by the class sizes alone; a null html has
-no word; repeated rows keep a row each; extra columns are ignored; an empty table gives no rows.
+no word; repeated rows keep a row each and count each; splits that tie take the shorter last piece, and a score of zero is allowed; very long texts count whole;
+extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,14 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import ascii_lower, materialise
+from colloquy.llm.common import ascii_lower, lookup, materialise
 
 #: (verdict, host, path)
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
-#: The longest word that a label may hold.
-LONGEST = 24
-#: Copies of the score table in the join with the urls; a hot host is dealt over as many tasks.
-SALTS = 8
+#: The longest label that a host name may have, and so the longest piece.
+LONGEST = 63
+#: Urls of one (host, path shape) that meet its score in one task; a key of more is dealt over as many tasks as that asks for.
+HOT = 200_000
 
 
 def split_url(pages: DataFrame, url_col: str = "url") -> DataFrame:
@@ -49,7 +50,7 @@ def judge_by_rules(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RUL
 def word_counts(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """(word, n) over all page texts, tags dropped."""
     plain = F.regexp_replace(F.col(html_col), "<[^>]*>", " ")
-    return pages.select(F.explode(F.split(F.lower(plain), r"[^\p{L}]+")).alias("word")).where(f"word <> '' and length(word) <= {LONGEST}").groupBy("word").agg(F.count("*").alias("n"))
+    return pages.select(F.explode(F.split(F.lower(plain), r"[^\p{L}]+")).alias("word")).where("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
 
 
 def best_split(label: str, counts: dict[str, int], total: int) -> list[str]:
@@ -96,7 +97,7 @@ def url_filter(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
     """One row per row of ``pages``: id, host, path, rule, verdict, and the method's score (log odds of block)."""
     slim = pages.select(F.col(id_col).alias("_id"), F.col(url_col).cast("string").alias("_url"))
     urls = judge_by_rules(split_url(slim, "_url"), rules).withColumn("shape", F.regexp_replace("path", r"\d{6,}", "/#long/"))
-    for k in range(5, 0, -1):
+    for k in range(1, 6):  # upwards, so that a written length isn't met again
         urls = urls.withColumn("shape", F.regexp_replace("shape", rf"(?<!\d)\d{{{k}}}(?!\d)", f"/#{k}/"))
     urls = materialise(urls.select("_id", "host", "path", "rule", "rule_verdict", "shape"), "urls")
     count = lambda c: F.sum(F.when(c, 1).otherwise(0)).alias
@@ -116,7 +117,10 @@ def url_filter(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
     prior = math.log((n.b + 1) / (n.a + 1))
     scores = each.join(weights, "token").groupBy("host", "shape").agg(F.round(F.sum("weight"), 6).alias("sum"))
     scored = known.select("host", "shape").join(scores, ["host", "shape"], "left").select("host", "shape", (F.coalesce("sum", F.lit(0.0)) + prior).alias("score"))
-    salted = materialise(scored, "scores").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    judged = urls.withColumn("salt", F.pmod(F.xxhash64("_id", "path"), F.lit(SALTS)).cast("int")).join(salted, ["host", "shape", "salt"])
+    # only keys of many urls are salted; there are fewer of them than urls / HOT
+    hot = materialise(keys.where(F.col("block") + F.col("allow") > HOT).select("host", "shape", F.ceil((F.col("block") + F.col("allow")) / HOT).cast("int").alias("salts")), "hot")
+    of = lambda rows: lookup(rows, hot, ["host", "shape"]).withColumn("salts", F.coalesce("salts", F.lit(1)))
+    salted = of(materialise(scored, "scores")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    judged = of(urls).withColumn("salt", F.pmod(F.xxhash64("_id", "path"), F.col("salts")).cast("int")).join(salted, ["host", "shape", "salt"])
     verdict = F.coalesce("rule_verdict", F.when(F.col("score") > 0, "block").otherwise("allow"))
     return judged.select(F.col("_id").alias(id_col), "host", "path", "rule", verdict.alias("verdict"), F.round("score", 6).alias("score"))

@@ -1,6 +1,11 @@
 import itertools
 import math
+import re
+from collections import Counter
 
+import regex
+
+from colloquy.llm import url_filter as url_filter_module
 from colloquy.llm.url_filter import RULES, best_split, judge_by_rules, split_url, url_filter
 
 
@@ -37,6 +42,36 @@ def test_best_split_is_the_best():
         assert "".join(got) == label and math.isclose(sum(map(cost, got)), best)
 
 
+def slow_scores(rows):
+    """Word counts, segments, token counts and scores by loops over single urls."""
+    words = Counter(w for _, _, html in rows for w in regex.split(r"[^\p{L}]+", re.sub("<[^>]*>", " ", html or "").lower()) if w)
+    total = max(1, sum(words.values()))
+
+    def tokens(host, path):
+        out = [f"h:{w}" for label in re.split(r"[.\-:_0-9]+", host) if label for w in best_split(label, words, total)]
+        shape = re.sub(r"[0-9]+", lambda m: f"/#{len(m[0])}/" if len(m[0]) < 6 else "/#long/", path)
+        return [*out, *[f"p:{x.lower()}" for x in re.split(r"[/.\-_]+", shape) if x]]
+
+    judged = [(*plain(url), None, None)[:3] for _, url, _ in rows]
+    block, allow = Counter(), Counter()
+    for host, path, verdict in judged:
+        (block if verdict == "block" else allow).update(tokens(host, path))
+    v, n_block = len(block | allow), sum(verdict == "block" for *_, verdict in judged)
+    weight = lambda t: math.log((block[t] + 1) / (sum(block.values()) + v)) - math.log((allow[t] + 1) / (sum(allow.values()) + v))
+    prior = math.log((n_block + 1) / (len(rows) - n_block + 1))
+    return [prior + sum(map(weight, tokens(host, path))) for host, path, _ in judged]
+
+
+def test_scores_match_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(url_filter_module, "HOT", 3)
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url", "html")
+    rows = [tuple(r) for r in pages.collect()] + [(9000 + i, f"http://hot{'word' * 20}.org/a/{'12345678'[: i % 9]}", None) for i in range(12)]
+    got = sorted(url_filter(spark.createDataFrame(rows, pages.schema)).collect(), key=lambda r: r.page_id)
+    want = [s for _, s in sorted(zip([r[0] for r in rows], slow_scores(rows)))]
+    assert all(math.isclose(r.score, s, abs_tol=1e-4) for r, s in zip(got, want, strict=True))
+    assert {r.verdict for r in got if r.rule is None} == {"allow", "block"}
+
+
 def test_pages(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     odd = [(None, None, None), (1, "http://x.com/en/1", None), (1, "http://x.com/en/1", ""), (2, "http://thering.org/a/b-1.html", "<p>the ring</p>")]
