@@ -117,6 +117,16 @@ class Engine:
         self.store.save_traces(answer.traces(out, shown))
         return out
 
+    def evaluate(self, cases: DataFrame, path: str | None = None) -> DataFrame:
+        """The summary over evaluation cases as ``read_cases`` gives them; the outcomes go to ``path`` as JSON."""
+        own = written(cases.select(F.col("id").alias("query_id"), F.col("question").alias("text"), F.col("mustRetrieve").alias("needles"), F.col("shouldMention").alias("mentions"), F.coalesce("expectRefusal", F.lit(False)).alias("expect_refusal")), "cases")
+        sources, _ = self.retrieve(own.select("query_id", "text"))
+        texts = sources.groupBy("query_id").agg(F.array_join(F.collect_list("text"), " ").alias("text"))
+        judged = written(evaluate.outcomes(own, self.ask(own.select("query_id", "text")), texts), "outcomes")
+        if path:
+            judged.write.mode("overwrite").json(path)
+        return evaluate.summary(judged)
+
     def ask_events(self, questions: DataFrame, path: str, scope: DataFrame | None = None) -> None:
         """Answer and write the events of each answer as JSON lines."""
         write_events(answer.answer_events(self.ask(questions, scope).withColumn("error", F.lit(None).cast("string"))), path)

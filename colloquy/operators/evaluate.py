@@ -16,6 +16,28 @@ def recall(cases: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.groupBy("query_id").agg(F.coalesce(F.avg("hit"), F.lit(1.0)).alias("recall"), F.array_sort(F.collect_list(F.when(F.col("hit") == 0, F.col("needle")))).alias("missing"))
 
 
+def outcomes(cases: DataFrame, answers: DataFrame, texts: DataFrame) -> DataFrame:
+    """One row per case: recall and missing of its needles, refused, refusal_correct, keywords (share of the words to mention that the answer has), coverage, n_invalid, usd.
+
+    cases: query_id, needles, mentions, expect_refusal; answers: query_id, route, answer, coverage, invalid, declined, usd; texts: (query_id, text) retrieved.
+    """
+    said = answers.select("query_id", (F.col("route") == "refused").alias("gated"), F.lower("answer").alias("a"), "coverage", F.size("invalid").alias("n_invalid"), "declined", "usd")
+    rows = cases.join(recall(cases, texts), "query_id", "left").join(said, "query_id", "left")
+    refused = F.coalesce(F.col("gated") | F.col("declined"), F.lit(True))  # no answer is a refusal
+    hits = F.size(F.filter("mentions", lambda w: F.contains(F.col("a"), F.lower(w))))
+    keywords = F.when(F.size("mentions") > 0, hits / F.size("mentions")).otherwise(1.0)
+    return rows.select("query_id", "recall", "missing", refused.alias("refused"), (refused == F.coalesce("expect_refusal", F.lit(False))).alias("refusal_correct"), F.coalesce(keywords, F.lit(0.0)).alias("keywords"), "coverage", F.coalesce("n_invalid", F.lit(0)).alias("n_invalid"), F.coalesce("usd", F.lit(0.0)).alias("usd"))
+
+
+def summary(judged: DataFrame, remote: bool = False, least: float = 0.8) -> DataFrame:
+    """One row over all cases: means, sums (coverage without refusals) and passed; refusals must be right only where a remote model judges them."""
+    one = judged.agg(
+        F.count("*").alias("cases"), F.round(F.avg("recall"), 6).alias("recall"), F.round(F.avg(F.col("refusal_correct").cast("int")), 6).alias("refusals"), F.round(F.avg("keywords"), 6).alias("keywords"),
+        F.round(F.avg(F.when(~F.col("refused"), F.col("coverage"))), 6).alias("coverage"), F.sum("n_invalid").alias("invalid"), F.round(F.sum("usd"), 6).alias("usd"), F.bool_and("refusal_correct").alias("all_right"),
+    )
+    return one.withColumn("passed", (F.col("recall") >= least) & (F.col("all_right") | F.lit(not remote))).drop("all_right")
+
+
 def upper_median(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """by, median: the element in the middle, the upper of two, from counts per value rather than a sorted list."""
     w = Window.partitionBy(*by).orderBy("_v")

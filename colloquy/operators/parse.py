@@ -43,6 +43,11 @@ def clean_speaker(c: Column) -> Column:
     return trim(F.regexp_replace(collapse(c), r"^[-–*\s]+", ""))
 
 
+def strip_tags(c: Column) -> Column:
+    """A cue's text without its tags."""
+    return trim(F.regexp_replace(c, "<[^>]+>", ""))
+
+
 def normalise_date(c: Column) -> Column:
     """ISO date prefixes and known layouts as yyyy-MM-dd, anything else verbatim."""
     t = trim(c)
@@ -153,7 +158,7 @@ def cue_turns(lines: DataFrame) -> DataFrame:
     named = first.rlike(SPEAKER_ONLY) & speaker_like(F.regexp_extract(first, SPEAKER_ONLY, 1))
     speaker = F.when(first.rlike(voice), clean_speaker(F.regexp_extract(first, voice, 1))).when(named, clean_speaker(F.regexp_extract(first, SPEAKER_ONLY, 1))).otherwise("Unknown")
     opening = F.when(first.rlike(voice), F.regexp_extract(first, voice, 2)).when(named, F.regexp_extract(first, SPEAKER_ONLY, 2)).otherwise(first)
-    text = trim(F.regexp_replace(F.array_join(F.concat(F.array(opening), F.slice("body", 2, F.greatest(F.size("body") - 1, F.lit(0)))), " "), "<[^>]+>", ""))
+    text = strip_tags(F.array_join(F.concat(F.array(opening), F.slice("body", 2, F.greatest(F.size("body") - 1, F.lit(0)))), " "))
     cues = heads.join(parts, ["id", "n"]).select("id", "pos", "s", "e", speaker.alias("speaker"), text.alias("part")).where("part <> ''")
     opens = ~F.col("speaker").eqNullSafe(F.lag("speaker").over(w))
     island = F.sum(F.col("opens").cast("int")).over(w)

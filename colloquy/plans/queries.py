@@ -12,6 +12,7 @@ from colloquy.operators import answer, brief, chunk, evaluate, parse, rank, sear
 from colloquy.plans.retrieve import analysed, retrieve
 from colloquy.settings import Settings
 from colloquy.sources.scratch import written
+from colloquy.sources.store import latest, newest_first, without
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -153,9 +154,12 @@ def turn_filter(spark, sf_dir):
     return load(spark, sf_dir, "conversations").where(F.contains(F.lower("text"), F.lit("the")) | F.contains(F.lower("role"), F.lit("sys"))).select("conv_id", "turn")
 
 
-@query("SELECT page_id, CAST(length(trim(regexp_replace(html, '<[^>]+>', '', 'g'))) AS BIGINT) AS n_chars, md5(trim(regexp_replace(html, '<[^>]+>', '', 'g'))) AS plain FROM pages")
+_BARE = "regexp_replace(regexp_replace(html, '<[^>]+>', '', 'g'), '^[\\s\\x{00A0}]+|[\\s\\x{00A0}]+$', '', 'g')"
+
+
+@query(f"SELECT page_id, CAST(length({_BARE}) AS BIGINT) AS n_chars, md5({_BARE}) AS plain FROM pages")
 def cue_tag_strip(spark, sf_dir):
-    plain = F.trim(F.regexp_replace("html", "<[^>]+>", ""))
+    plain = parse.strip_tags(F.col("html"))
     return load(spark, sf_dir, "pages").select("page_id", F.length(plain).cast("long").alias("n_chars"), F.md5(plain).alias("plain"))
 
 
@@ -478,8 +482,8 @@ def usage_cost(spark, sf_dir):
 
 @query("SELECT event_id, event_type, CAST(epoch_us(ts) AS BIGINT) AS us FROM events WHERE json_valid(props) ORDER BY ts DESC, event_id LIMIT 50")
 def trace_list(spark, sf_dir):
-    e = load(spark, sf_dir, "events").where(F.try_parse_json("props").isNotNull())
-    return e.orderBy(F.desc("ts"), "event_id").limit(S.trace_list_limit).select("event_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    e = load(spark, sf_dir, "events").select(F.col("event_id").alias("trace_id"), "event_type", F.col("ts").alias("created_at"), F.col("props").alias("payload"))
+    return latest(e, S.trace_list_limit).select(F.col("trace_id").alias("event_id"), "event_type", F.unix_micros(F.col("created_at").cast("timestamp")).alias("us"))
 
 
 @query("SELECT event_id, CAST(greatest(2, floor(abs(value) / greatest(sum(abs(value)) OVER (PARTITION BY user_id), 1.0) * 100 + 0.5)) AS BIGINT) AS share FROM events")
@@ -501,6 +505,31 @@ def eval_recall(spark, sf_dir):
     return evaluate.recall(cases, best).select("query_id", "recall")
 
 
+_JUDGED = """
+WITH c AS (SELECT item_id AS query_id, item_id % 2 = 0 AS found, item_id % 5 = 0 AS gated, item_id % 7 = 0 AS expected, string_split(trim(text), ' ')[1] AS word, text FROM benchmark)
+SELECT query_id, CASE WHEN found THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS recall, gated AS refused, gated = expected AS refusal_correct,
+  CASE WHEN contains(lower(text), lower(word)) THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS keywords, 0.75::DOUBLE AS coverage, CAST(query_id % 3 AS BIGINT) AS n_invalid, round(query_id / 1000.0::DOUBLE, 6) AS usd FROM c
+"""
+
+
+def _outcomes(spark, sf_dir):
+    b = load(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "query_id")
+    cases = b.select("query_id", F.array("text").alias("needles"), F.array(F.split(F.trim("text"), " ")[0], F.lit("zzyzx")).alias("mentions"), (F.col("query_id") % 7 == 0).alias("expect_refusal"))
+    some = F.slice(F.array(F.lit("S8"), F.lit("S9")), 1, (F.col("query_id") % 3).cast("int"))
+    answers = b.select("query_id", F.when(F.col("query_id") % 5 == 0, "refused").otherwise("retrieval").alias("route"), F.col("text").alias("answer"), F.lit(0.75).alias("coverage"), some.alias("invalid"), F.lit(False).alias("declined"), (F.col("query_id") / 1000).alias("usd"))
+    return evaluate.outcomes(cases, answers, b.where("query_id % 2 = 0").select("query_id", "text"))
+
+
+@query(_JUDGED)
+def eval_outcomes(spark, sf_dir):
+    return _outcomes(spark, sf_dir).withColumn("n_invalid", F.col("n_invalid").cast("long")).withColumn("usd", F.round("usd", 6)).drop("missing")
+
+
+@query(f"SELECT count(*) AS cases, round(avg(recall), 6) AS recall, round(avg(CASE WHEN refusal_correct THEN 1 ELSE 0 END), 6) AS refusals, round(avg(keywords), 6) AS keywords, round(avg(coverage) FILTER (WHERE NOT refused), 6) AS coverage, CAST(sum(n_invalid) AS BIGINT) AS invalid, round(sum(usd), 6) AS usd, avg(recall) >= 0.8 AS passed FROM ({_JUDGED})")
+def eval_summary(spark, sf_dir):
+    return evaluate.summary(_outcomes(spark, sf_dir))
+
+
 @query("WITH s AS (SELECT quality = 1 AS ok, length(text)::DOUBLE AS chars, len(string_split(text, chr(10)))::DOUBLE AS lines FROM labels JOIN documents USING (doc_id)), u AS (SELECT ok, 'chars' AS signal, chars AS v FROM s UNION ALL SELECT ok, 'lines', lines FROM s) SELECT signal, min(v) FILTER (WHERE ok) AS least_answerable, max(v) FILTER (WHERE NOT ok) AS most_refusable, coalesce(min(v) FILTER (WHERE ok) > max(v) FILTER (WHERE NOT ok), true) AS separable FROM u GROUP BY signal")
 def gate_separation(spark, sf_dir):
     d = load(spark, sf_dir, "labels").join(load(spark, sf_dir, "documents"), "doc_id").select("quality", F.length("text").alias("chars"), F.size(F.split("text", "\n")).alias("lines"))
@@ -515,16 +544,17 @@ def corpus_status(spark, sf_dir):
 @query("SELECT o_orderkey, o_custkey, CAST(row_number() OVER (ORDER BY coalesce(CASE WHEN o_orderkey % 3 > 0 THEN strftime(o_orderdate, '%Y-%m-%d') END, '1990-01-01') DESC, o_orderkey) AS BIGINT) AS place FROM orders QUALIFY place <= 100")
 def list_meetings(spark, sf_dir):
     o = load(spark, sf_dir, "orders").withColumn("date", F.when(F.col("o_orderkey") % 3 > 0, F.date_format("o_orderdate", "yyyy-MM-dd")))
-    best = o.orderBy(F.desc(F.coalesce("date", F.lit("1990-01-01"))), "o_orderkey").limit(100)
-    w = Window.orderBy(F.desc(F.coalesce("date", F.lit("1990-01-01"))), "o_orderkey")
-    return best.select("o_orderkey", "o_custkey", F.row_number().over(w).cast("long").alias("place"))
+    o = o.select(F.col("o_orderkey").alias("id"), "o_custkey", "date", F.lit("1990-01-01").alias("created_at"))
+    best = o.orderBy(*newest_first(o)).limit(100)
+    return best.select(F.col("id").alias("o_orderkey"), "o_custkey", F.row_number().over(Window.orderBy(*newest_first(o))).cast("long").alias("place"))
 
 
 @query("SELECT conv_id, turn FROM conversations WHERE conv_id NOT IN (SELECT conv_id FROM conversations WHERE turn = 0 AND contains(text, 'the'))")
 def delete_cascade(spark, sf_dir):
     c = load(spark, sf_dir, "conversations")
-    gone = c.where((F.col("turn") == 0) & F.contains("text", F.lit("the"))).select("conv_id").distinct()
-    return c.join(gone, "conv_id", "left_anti").select("conv_id", "turn")
+    c = c.withColumnRenamed("conv_id", "id")
+    gone = c.where((F.col("turn") == 0) & F.contains("text", F.lit("the"))).select("id").distinct()
+    return without(c, gone).select(F.col("id").alias("conv_id"), "turn")
 
 
 # --- briefs
@@ -556,6 +586,26 @@ def brief_merge(spark, sf_dir):
     return brief.merge_briefs(parts).select("id", F.array_join("topics", "|").alias("topics"))
 
 
+@query("""
+WITH p AS (SELECT conv_id AS id, turn AS ordinal, role AS topic, role || ' ' || (turn % 3)::VARCHAR AS decision, 'task ' || (turn % 2)::VARCHAR AS task, left(text, 20) AS question FROM conversations),
+f AS (SELECT id, 'topics' AS list, topic AS v, min(ordinal) AS first FROM p GROUP BY ALL UNION ALL SELECT id, 'decisions', decision, min(ordinal) FROM p GROUP BY ALL
+  UNION ALL SELECT id, 'actions', task, min(ordinal) FROM p GROUP BY ALL UNION ALL SELECT id, 'questions', question, min(ordinal) FROM p GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY id, list ORDER BY first) AS place FROM f)
+SELECT id, coalesce(string_agg(v, '|' ORDER BY place) FILTER (WHERE list = 'topics' AND place <= 10), '') AS topics, coalesce(string_agg(v, '|' ORDER BY place) FILTER (WHERE list = 'decisions' AND place <= 15), '') AS decisions,
+  coalesce(string_agg(v, '|' ORDER BY place) FILTER (WHERE list = 'actions' AND place <= 15), '') AS actions, coalesce(string_agg(v, '|' ORDER BY place) FILTER (WHERE list = 'questions' AND place <= 10), '') AS questions FROM r GROUP BY id
+""")
+def brief_merge_lists(spark, sf_dir):
+    c = load(spark, sf_dir, "conversations")
+    named = lambda x, k: F.array(F.struct(x.alias(k)))
+    parts = c.select(
+        F.col("conv_id").alias("id"), F.col("turn").alias("ordinal"), F.array("role").alias("topics"), named(F.concat_ws(" ", "role", (F.col("turn") % 3).cast("string")), "decision").alias("decisions"),
+        named(F.concat(F.lit("task "), (F.col("turn") % 2).cast("string")), "task").alias("actions"), F.array(F.left("text", F.lit(20))).alias("questions"),
+    )
+    m = brief.merge_briefs(parts)
+    join = lambda x, k: F.array_join(F.transform(x, lambda y: y[k]), "|").alias(x)
+    return m.select("id", F.array_join("topics", "|").alias("topics"), join("decisions", "decision"), join("actions", "task"), F.array_join("questions", "|").alias("questions"))
+
+
 @query("SELECT item_id, CASE item_id % 4 WHEN 3 THEN NULL ELSE 'a|b' END AS topics FROM benchmark")
 def brief_json_lenient(spark, sf_dir):
     good = '{"topics": ["a", "b"], "decisions": [{"decision": "d", "status": "odd"}]}'

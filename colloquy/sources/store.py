@@ -20,6 +20,24 @@ TABLES = {"meetings": "id", "turns": "id", "chunks": "id", "briefs": "id", "reje
 TRIES = 10
 
 
+def newest_first(meetings: DataFrame) -> list:
+    """The order of meetings: by date, or by creation where there is none, the newest first."""
+    made = F.col("created_at") if "created_at" in meetings.columns else F.lit(None).cast("string")
+    return [F.desc(F.coalesce(F.col("date"), made)), F.desc(made), F.col("id")]
+
+
+def latest(traces: DataFrame, limit: int) -> DataFrame:
+    """The newest ``limit`` traces, 200 at most; payloads that are no JSON are left out."""
+    if limit < 0:
+        raise ValueError("limit must not be negative")
+    return traces.where(F.try_parse_json("payload").isNotNull()).orderBy(F.desc("created_at"), "trace_id").limit(min(limit, 200))
+
+
+def without(table: DataFrame, ids: DataFrame) -> DataFrame:
+    """``table`` less the rows of ``ids`` (id)."""
+    return table.join(ids.select("id"), "id", "left_anti")
+
+
 class Store:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -94,7 +112,7 @@ class Store:
 
     def delete(self, ids: DataFrame) -> int:
         """Take meetings out of every table that has their id."""
-        return self._commit(lambda now: {n: [self._write(n, self._read(parts).join(ids.select("id"), "id", "left_anti"))] for n, parts in now.items() if TABLES[n] == "id"})
+        return self._commit(lambda now: {n: [self._write(n, without(self._read(parts), ids))] for n, parts in now.items() if TABLES[n] == "id"})
 
     def save_brief(self, briefs: DataFrame) -> int:
         """Set the briefs of meetings (id, brief columns); those of unknown meetings are left out."""
@@ -108,11 +126,10 @@ class Store:
     def meetings(self) -> DataFrame | None:
         """Newest first, without the bulky columns."""
         m = self.table("meetings")
-        return None if m is None else m.orderBy(F.desc(F.coalesce("date", "created_at")), F.desc("created_at"), "id").drop("transcript", "turns", "checksum")
+        return None if m is None else m.orderBy(*newest_first(m)).drop("transcript", "turns", "checksum")
 
     def latest_traces(self, limit: int = 25) -> DataFrame | None:
-        """Newest first, 200 at most; payloads that are no JSON are left out."""
         if limit < 0:
             raise ValueError("limit must not be negative")
         t = self.table("traces")
-        return None if t is None else t.where(F.try_parse_json("payload").isNotNull()).orderBy(F.desc("created_at"), "trace_id").limit(min(limit, 200))
+        return None if t is None else latest(t, limit)

@@ -69,3 +69,18 @@ def test_phrases_match_words_in_a_row(spark):
     q = search.query_terms(spark.createDataFrame([("a", "what was mi-412")], "query_id string, text string"))
     assert [(r.term, r.times) for r in q.collect()] == [("mi 412", 1)]
     assert {(r.id, r.tf) for r in search.phrase_postings(docs, q).collect()} == {(1, 1), (3, 2)}
+
+
+def test_evaluate(spark, tmp_path):
+    from colloquy.sources.transcripts import read_cases
+
+    engine = Engine(spark, str(tmp_path / "store"))
+    engine.ingest(spark.createDataFrame([("2026-01-15-review.txt", REVIEW), ("inc.txt", INCIDENT)], "filename string, content string"))
+    cases = [
+        {"id": "a", "question": "Why did we pick Postgres for the ledger?", "mustRetrieve": ["transactions"], "shouldMention": ["Postgres"], "note": ""},
+        {"id": "b", "question": "zzyzx qwfp?", "mustRetrieve": [], "shouldMention": [], "expectRefusal": True, "note": ""},
+    ]
+    (tmp_path / "golden.json").write_text(json.dumps({"cases": cases}))
+    s = engine.evaluate(read_cases(spark, str(tmp_path / "golden.json")), str(tmp_path / "out")).first()
+    assert (s.cases, s.recall, s.refusals, s.keywords, s.invalid, s.passed) == (2, 1.0, 1.0, 1.0, 0, True)
+    assert {json.loads(r.value)["query_id"] for r in spark.read.text(str(tmp_path / "out")).collect()} == {"a", "b"}
