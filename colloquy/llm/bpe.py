@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import bound_batches, strings
+from colloquy.llm.common import bound_batches, giving_back, strings
 
 #: Words in each of the two tables that a worker remembers; words met again move on from the older one, which goes when the newer is full.
 KNOWN_WORDS = 100_000
@@ -258,7 +258,7 @@ def bpe_round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 512), ids, pa.array([s for _, s in got], pa.string())], ["id", "ids", "decoded"])
         enc.forget()
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(work, f"id {kind}, ids array<int>, decoded string").withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(giving_back(work), f"id {kind}, ids array<int>, decoded string").withColumnRenamed("id", id_col)
 
 
 def digests(encoded: DataFrame, id_col: str = "doc_id") -> DataFrame:

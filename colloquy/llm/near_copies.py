@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import bound_batches, connected_components, materialise, packed, raw, release, row_key
+from colloquy.llm.common import bound_batches, connected_components, giving_back, materialise, packed, raw, release, row_key
 from colloquy.llm.simhash import SEED, fingerprint_of, near_links, shingle_hashes
 
 #: Least similarity as a fraction, the words of a shingle and the bits within which fingerprints give a first link.
@@ -46,7 +46,7 @@ def cell_counts(texts: DataFrame, width: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], ["cell", "n"])
 
     out = np.zeros(CELLS, np.int64)
-    found = texts.select("text").mapInArrow(work, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    found = texts.select("text").mapInArrow(giving_back(work), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     out[found["cell"].to_numpy()] = found["n"].to_numpy()
     return np.minimum(out, (1 << 31) - 1).astype(np.int32)
 
@@ -78,7 +78,7 @@ def signed(texts: DataFrame, width: int, similar: tuple[int, int]) -> DataFrame:
             longs = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), longs(s), pa.array(n, pa.int32()), longs(fp), pa.array(bits, pa.binary()), pa.array(lead, pa.binary())], ["id", "k", "s", "n", "fp", "bits", "lead"])
 
-    return texts.mapInArrow(work, f"id {kind}, k long, s long, n int, fp long, bits binary, lead binary")
+    return texts.mapInArrow(giving_back(work), f"id {kind}, k long, s long, n int, fp long, bits binary, lead binary")
 
 
 def shared_prefixes(nodes: DataFrame) -> DataFrame:
@@ -110,7 +110,7 @@ def shared_prefixes(nodes: DataFrame) -> DataFrame:
             yield held
 
     kind = "h long, n int, room int, s long"
-    return nodes.select("s", "n", "lead").mapInArrow(spread, kind).repartition("h").sortWithinPartitions("h", "n", "s").mapInArrow(shared, kind)
+    return nodes.select("s", "n", "lead").mapInArrow(spread, kind).repartition("h").sortWithinPartitions("h", "n", "s").mapInArrow(giving_back(shared), kind)
 
 
 def _fits(n: np.ndarray, room: np.ndarray, m: np.ndarray, other: np.ndarray, similar: tuple[int, int]) -> np.ndarray:
@@ -146,7 +146,7 @@ def neighbours(lead: DataFrame, similar: tuple[int, int]) -> DataFrame:
             yield _pairs(s[at], s[at + 1])
             last = [c[-1:] for c in (h, n, room, s)]
 
-    return lead.select("h", "n", "room", "s").mapInArrow(work, "u long, v long")
+    return lead.select("h", "n", "room", "s").mapInArrow(giving_back(work), "u long, v long")
 
 
 def unjoined(lead: DataFrame, nodes: DataFrame, roots: DataFrame, similar: tuple[int, int]) -> DataFrame:
@@ -197,7 +197,7 @@ def unjoined(lead: DataFrame, nodes: DataFrame, roots: DataFrame, similar: tuple
         if size:
             yield _pairs(*(np.concatenate(c) for c in zip(*out)))
 
-    return dealt.repartition("h", "a", "z").sortWithinPartitions("h", "a", "z", "n", "s").mapInArrow(work, "u long, v long")
+    return dealt.repartition("h", "a", "z").sortWithinPartitions("h", "a", "z", "n", "s").mapInArrow(giving_back(work), "u long, v long")
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, similar: tuple[int, int]) -> DataFrame:
@@ -222,12 +222,12 @@ def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, s
 
     bits = lambda k: nodes.select(F.col("s").alias(k), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"b{k}"))
     met = pairs.distinct().join(bits("u"), "u").join(bits("v"), "v").select("u", "v", "nu", "nv", "bu", "bv")
-    close = materialise(met.mapInArrow(near, "u long, v long"), "close")
+    close = materialise(met.mapInArrow(giving_back(near), "u long, v long"), "close")
     wanted = close.select(F.explode(F.array("u", "v")).alias("s")).distinct().join(nodes.select("s", F.col("least.id").alias("_i"), F.col("least.k").alias("_k")), "s")
     there = texts.join(wanted, F.col("id").eqNullSafe(F.col("_i")) & (F.col("k") == F.col("_k"))).select("s", "text")
-    sets = materialise(there.mapInArrow(sets_of, "s long, hs binary").dropDuplicates(["s"]), "sets")
+    sets = materialise(there.mapInArrow(giving_back(sets_of), "s long, hs binary").dropDuplicates(["s"]), "sets")
     own = lambda k: sets.select(F.col("s").alias(k), F.col("hs").alias(f"h{k}"))
-    return materialise(close.join(own("u"), "u").join(own("v"), "v").select("u", "v", "hu", "hv").mapInArrow(similar_sets, "u long, v long"), "similar")
+    return materialise(close.join(own("u"), "u").join(own("v"), "v").select("u", "v", "hu", "hv").mapInArrow(giving_back(similar_sets), "u long, v long"), "similar")
 
 
 def fingerprint_links(nodes: DataFrame, radius: int) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import bound_batches, flat, materialise, release, row_key
+from colloquy.llm.common import bound_batches, flat, giving_back, materialise, release, row_key
 
 LENGTH, GRAM = 50, 16
 _SPAN = LENGTH - GRAM + 1  # grams in a window
@@ -204,8 +204,8 @@ def _exchange(sent: DataFrame, buckets: int, answer: Callable[[list[tuple]], Ite
             lists = lambda v, kind: pa.ListArray.from_arrays(pa.array(ends), pa.array(v.astype(kind)))  # noqa: B023, E731
             yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in own.tolist()], pa.int64()), pa.array(keys[own]), lists(place, np.int64), lists(count, np.int32), pa.array([False] * len(own))], _REPLY)
 
-    back = sent.repartition(buckets, "bucket").mapInArrow(reduce, _ROW)
-    return back.repartition(buckets, "uid").mapInArrow(assemble, "id long, k long, place array<long>, count array<int>, split boolean")
+    back = sent.repartition(buckets, "bucket").mapInArrow(giving_back(reduce), _ROW)
+    return back.repartition(buckets, "uid").mapInArrow(giving_back(assemble), "id long, k long, place array<long>, count array<int>, split boolean")
 
 
 def _buckets(texts: DataFrame) -> int:
@@ -275,7 +275,7 @@ def shared_runs(texts: DataFrame, buckets: int) -> DataFrame:
             if len(part):
                 yield i, (text[part], h[part].view(np.int64), np.zeros(len(part), np.uint8))
 
-    return _exchange(texts.mapInArrow(send, _ROW), buckets, answer)
+    return _exchange(texts.mapInArrow(giving_back(send), _ROW), buckets, answer)
 
 
 def split_minimizers(shared: DataFrame) -> np.ndarray:
@@ -366,7 +366,7 @@ def covered_windows(texts: DataFrame, buckets: int, split: np.ndarray) -> DataFr
         for cut in np.split(np.arange(len(row)), np.flatnonzero(np.diff(of[row])) + 1):
             yield int(of[row[cut[0]]]), (text[row[cut]], start[row[cut]] + step[cut], size[cut].astype(np.int32))
 
-    return _exchange(texts.mapInArrow(send, _ROW), buckets, answer)
+    return _exchange(texts.mapInArrow(giving_back(send), _ROW), buckets, answer)
 
 
 def _ordered(docs: DataFrame, id_col: str) -> DataFrame:
