@@ -68,7 +68,7 @@ def bound_batches(spark: SparkSession) -> None:
 
 
 def giving_back(work):
-    """``work`` over Arrow batches; at the end the worker's free memory goes back to the system, as an idle worker would hold it through later stages."""
+    """``work`` over batches or frames; at the end the worker's free memory goes back to the system, as an idle worker would hold it through later stages."""
 
     def run(batches):
         yield from work(batches)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from colloquy.llm import decontam, line_dedup
+from colloquy.llm import decontam, line_dedup, ranked_search
+from colloquy.llm.alignment import alignment
 from colloquy.llm.bpe import bpe_round_trip, digests
 from colloquy.llm.common import documents
 from colloquy.llm.lm import lm_scores
+from colloquy.llm.ngram_join import jaccard_components
 from colloquy.llm.pii import find_pii, report
 from colloquy.llm.quality import quality_report
 from colloquy.llm.quality_rules import oracle as rules_oracle
@@ -55,6 +57,18 @@ def op10_robust_outliers(spark, sf_dir):
     return quality_rules(documents(spark, sf_dir))
 
 
+def op11_threshold_search(spark, sf_dir):
+    return ranked_search.ranked_search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op12_token_alignment(spark, sf_dir):
+    return alignment(documents(spark, sf_dir))
+
+
+def op13_ngram_jaccard(spark, sf_dir):
+    return jaccard_components(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_spaced_seeds": op1_spaced_seeds,
     "op2_line_spread": op2_line_spread,
@@ -66,10 +80,14 @@ QUERIES = {
     "op8_bpe_trie": op8_bpe_trie,
     "op9_url_filter": op9_url_filter,
     "op10_robust_outliers": op10_robust_outliers,
+    "op11_threshold_search": op11_threshold_search,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_ngram_jaccard": op13_ngram_jaccard,
 }
 
 ORACLES: dict[str, str] = {
     "op1_spaced_seeds": decontam.ORACLE,
     "op2_line_spread": line_dedup.ORACLE,
     "op10_robust_outliers": rules_oracle(),
+    "op11_threshold_search": ranked_search.ORACLE,
 }

@@ -3,8 +3,10 @@
 import pytest
 
 from colloquy.llm import decontam, line_dedup, near_copies, simhash
+from colloquy.llm.alignment import alignment
 from colloquy.llm.bpe import bpe_round_trip, digests
 from colloquy.llm.lm import lm_scores
+from colloquy.llm.ngram_join import jaccard_components
 from colloquy.llm.pii import find_pii, report
 from colloquy.llm.quality import keep_good, quality_report
 from colloquy.llm.quality_rules import quality_rules
@@ -44,6 +46,8 @@ OPERATORS = {
     "bpe_round_trip": lambda d, labels, bench: digests(bpe_round_trip(d)),
     "url_filter": lambda d, labels, bench: url_filter(d.withColumn("html", d.text), id_col="doc_id", url_col="text"),
     "quality_rules": lambda d, labels, bench: quality_rules(d),
+    "alignment": lambda d, labels, bench: alignment(d),
+    "jaccard_components": lambda d, labels, bench: jaccard_components(d),
 }
 
 
