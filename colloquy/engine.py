@@ -23,19 +23,36 @@ class Engine:
     def ingest(self, files: DataFrame) -> int:
         """files: filename, content, and title and date where known; those that fail the request checks are stored as rejected."""
         checked = check_requests(files.select("filename", "content", *[(F.col(c).cast("string") if c in files.columns else F.lit(None).cast("string")).alias(c) for c in ("title", "date")]))
-        return ingest(self.store, checked.where("error is null"), self.settings)
+        return ingest(self.store, checked, self.settings)
 
     def ingest_dir(self, path: str) -> int:
-        return self.ingest(read_directory(self.spark, path).where("error is null"))
+        """The transcript files of a folder; those that can't be read or hold no dialogue are stored as rejected."""
+        return ingest(self.store, read_directory(self.spark, path), self.settings)
+
+    def rejected(self) -> DataFrame | None:
+        """(id, filename, error) of the files that were not stored."""
+        return self.store.table("rejected")
 
     def meetings(self) -> DataFrame | None:
         return self.store.meetings()
 
     def meeting(self, meeting_id: str) -> DataFrame:
-        m = self.store.table("meetings")
-        if m is None or not (found := m.where(F.col("id") == meeting_id)).take(1):
-            raise KeyError(meeting_id)
-        briefs = self.store.table("briefs")
+        return self._one("meetings", "id", meeting_id)
+
+    def trace(self, trace_id: str) -> DataFrame:
+        return self._one("traces", "trace_id", trace_id)
+
+    def transcript(self, meeting_id: str) -> DataFrame:
+        """The turns of a meeting in their order."""
+        self._one("meetings", "id", meeting_id)
+        return self.store.find("turns", self.spark.createDataFrame([(meeting_id,)], "id string")).orderBy("index")
+
+    def _one(self, table: str, key: str, value: str) -> DataFrame:
+        ids = self.spark.createDataFrame([(value,)], f"{key} string")
+        found = self.store.find(table, ids)
+        if found is None or not found.take(1):
+            raise KeyError(value)
+        briefs = self.store.find("briefs", ids) if table == "meetings" else None
         return found if briefs is None else found.join(briefs, "id", "left")
 
     def write_briefs(self, ids: DataFrame | None = None) -> int:
@@ -60,7 +77,7 @@ class Engine:
     def retrieve(self, questions: DataFrame, scope: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
         chunks = self.store.table("chunks").withColumnRenamed("id", "meeting_id").withColumn("chunk_id", F.concat_ws(":", "meeting_id", F.col("ordinal").cast("string")))
         meetings = self.store.table("meetings").select(F.col("id").alias("meeting_id"), "title", "date")
-        return retrieve(chunks, meetings, questions, self.settings, scope)
+        return retrieve(chunks, meetings, questions, self.settings, scope, self.store.table("postings").withColumnRenamed("id", "part"))
 
     def ask(self, questions: DataFrame, scope: DataFrame | None = None) -> DataFrame:
         """(query_id, question, standalone, route, answer, coverage, invalid, declined, flags, model, tokens_in, tokens_out, usd), one row per question; each leaves a trace.

@@ -67,7 +67,7 @@ def mmr_select(candidates: DataFrame, limit: int, lam: float = Settings.mmr_lamb
                 values = [round(lam * relevance[i] - (1 - lam) * nearest[i], 12) for i in left]
                 best = left.pop(values.index(max(values)))
                 sims = vectors @ vectors[best]
-                nearest = sims if not order else np.maximum(nearest, sims)
+                nearest = np.maximum(nearest, sims)  # from zero on: unlike texts earn nothing
                 order.append(best)
             pdf = pdf.iloc[order]
         pdf = pdf.head(limit)

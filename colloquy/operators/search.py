@@ -1,37 +1,27 @@
-"""Lexical and dense retrieval over tables of queries: postings and BM25, exact k-nearest neighbours, hashed embeddings."""
+"""Terms of questions, exact k-nearest neighbours, hashed embeddings and the stemming analyzer."""
 
 from __future__ import annotations
 
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from colloquy.functions.text import content_terms, simple_terms, tokenize_words
+from colloquy.operators.postings import top
 
-K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
-#: Queries up to which their vectors are broadcast, more are scored in blocks; parts of phrases up to which these are.
-BROADCAST_QUERIES, BROADCAST_PARTS = 8_000, 100_000
+#: Questions whose vectors go to the workers at a time, and cells of a product of questions and vectors.
+BROADCAST_QUERIES, CELLS = 8_000, 1 << 22
 DIMENSIONS = 512
 
 
-def postings(chunks: DataFrame, id_col: str = "id", text_col: str = "text", terms=simple_terms) -> DataFrame:
-    """(id, term, tf, dl) of the analyzer ``terms``."""
-    words = chunks.select(F.col(id_col).alias("id"), terms(F.col(text_col)).alias("w"))
-    return words.select("id", F.size("w").alias("dl"), F.explode("w").alias("term")).groupBy("id", "term", "dl").agg(F.count("*").alias("tf"))
-
-
-def document_frequencies(index: DataFrame) -> DataFrame:
-    return index.groupBy("term").agg(F.count("*").alias("df"))
-
-
 def phrases(terms, analyzer=simple_terms):
     """Each term as the words that the analyzer makes of it, joined by blanks; terms without a word are left out."""
     return F.filter(F.transform(terms, lambda t: F.array_join(analyzer(t), " ")), lambda t: t != "")
@@ -43,46 +33,10 @@ def query_terms(queries: DataFrame, id_col: str = "query_id", text_col: str = "t
     return queries.select(F.col(id_col).alias("query_id"), F.explode(pick(F.col(text_col))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
 
 
-def phrase_postings(chunks: DataFrame, queries: DataFrame, id_col: str = "id", text_col: str = "text", terms=simple_terms) -> DataFrame:
-    """(id, term, dl, tf) of the phrases among ``queries.term``: places where their words follow each other."""
-    words = F.split("term", " ")
-    parts = queries.where(F.contains("term", F.lit(" "))).select("term").distinct().select("term", F.size(words).alias("n"), F.posexplode(words).alias("j", "word"))
-    small = parts.limit(BROADCAST_PARTS + 1).count() <= BROADCAST_PARTS
-    at = chunks.select(F.col(id_col).alias("id"), terms(F.col(text_col)).alias("w")).select("id", F.size("w").alias("dl"), F.posexplode("w").alias("pos", "word"))
-    met = at.join(F.broadcast(parts) if small else parts, "word").groupBy("term", "n", "id", "dl", (F.col("pos") - F.col("j")).alias("start")).agg(F.count("*").alias("c")).where("c = n")
-    return met.groupBy("id", "term", "dl").agg(F.count("*").alias("tf"))
-
-
-def matched(chunks: DataFrame, queries: DataFrame, id_col: str = "id", text_col: str = "text", terms=simple_terms) -> DataFrame:
-    """Postings of words and, where ``queries`` has any, of phrases."""
-    index = postings(chunks, id_col, text_col, terms)
-    return index.unionByName(phrase_postings(chunks, queries, id_col, text_col, terms)) if queries.where(F.contains("term", F.lit(" "))).take(1) else index
-
-
-def bm25_scores(index: DataFrame, n: int, avgdl: float, queries: DataFrame) -> DataFrame:
-    """(query_id, id, score). Only postings of query terms are read into the join."""
-    wanted = queries.select("term").distinct()
-    hits = index.join(wanted, "term", "left_semi")
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.greatest(F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / avgdl))
-    scored = hits.join(df, "term").join(queries, "term").groupBy("query_id", "id").agg(F.sum(weight * F.col("times")).alias("score"))
-    return scored.withColumn("score", F.round("score", 9))
-
-
-def bm25(index: DataFrame, n: int, avgdl: float, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, id, score, rank): best ``k`` per query."""
-    return top(bm25_scores(index, n, avgdl, queries), k)
-
-
-def corpus_statistics(chunks: DataFrame, text_col: str = "text", terms=simple_terms) -> tuple[int, float]:
-    r = chunks.agg(F.count("*").alias("n"), F.avg(F.size(terms(F.col(text_col)))).alias("a")).first()
-    return r.n, r.a or 1.0
-
-
-def top(scored: DataFrame, k: int, by: str = "score") -> DataFrame:
-    w = Window.partitionBy("query_id").orderBy(F.desc(by), "id")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+def coverage_terms(queries: DataFrame, terms=simple_terms, text_col: str = "text") -> DataFrame:
+    """(query_id, term, phrase): the content terms of each question as they are, and as the analyzer's words; its id column is query_id."""
+    each = queries.select("query_id", F.explode(content_terms(F.col(text_col))).alias("term"))
+    return each.withColumn("phrase", F.array_join(terms(F.col("term")), " "))
 
 
 def dot(a, b):
@@ -92,39 +46,61 @@ def dot(a, b):
 def dense_search(vectors: DataFrame, queries: DataFrame, k: int, least: float) -> DataFrame:
     """(query_id, id, score, rank): exact nearest neighbours by dot product. vectors: (id, vec); queries: (query_id, vec).
 
-    A bounded set of queries is stacked once per worker; each Arrow batch of vectors is one matrix product and keeps its best ``k`` per query, so
-    the rows that leave a batch don't grow with it.
+    Questions are asked in parts of about BROADCAST_QUERIES, numbered once by hash; each part is stacked once per worker. A task multiplies a bounded
+    slice of vectors at a time and keeps a running best ``k`` per question, so what leaves a task doesn't grow with what it reads.
     """
-    rows = queries.select("query_id", "vec").where("vec is not null").limit(BROADCAST_QUERIES + 1).toArrow()
-    if rows.num_rows > BROADCAST_QUERIES:
-        halves = [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(2)) == h) for h in (0, 1)]
-        return dense_search(vectors, halves[0], k, least).unionByName(dense_search(vectors, halves[1], k, least))
+    rows = queries.select("query_id", "vec").where("vec is not null")
+    parts = max(1, -(-rows.count() // BROADCAST_QUERIES))
+    own = lambda part: rows.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part)
+    found = [_nearest(vectors, own(part), k, least) for part in range(parts)]
+    return top(reduce(DataFrame.unionByName, found), k)
+
+
+def stacked(queries: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By dimension the ids and the matrix of a bounded set of questions."""
+    rows = queries.toArrow()
     names, column = rows["query_id"].to_numpy(zero_copy_only=False), rows["vec"].combine_chunks()
     sizes = column.value_lengths().to_numpy(zero_copy_only=False)
-    by_size = {}
+    out = {}
     for size in set(sizes.tolist()):
         own = np.flatnonzero(sizes == size)
-        by_size[size] = (names[own], column.take(pa.array(own)).flatten().to_numpy(zero_copy_only=False).astype(np.float32).astype(np.float64).reshape(len(own), size))
+        out[size] = (names[own], column.take(pa.array(own)).flatten().to_numpy(zero_copy_only=False).astype(np.float32).astype(np.float64).reshape(len(own), size))
+    return out
+
+
+def _nearest(vectors: DataFrame, queries: DataFrame, k: int, least: float) -> DataFrame:
+    """(query_id, id, score): the best ``k`` of each task for each question."""
+    by_size = stacked(queries)
+
+    def leading(rows: pd.DataFrame) -> pd.DataFrame:
+        return rows.sort_values(["at", "score", "id"], ascending=[True, False, True]).groupby("at", sort=False).head(k)
 
     def score(batches):
+        kept = {size: [] for size in by_size}
+        held = dict.fromkeys(by_size, 0)
         for pdf in batches:
-            lengths = pdf["vec"].map(lambda v: -1 if v is None else len(v))
+            lengths = pdf["vec"].map(lambda v: -1 if v is None else len(v)).to_numpy()
             for size, (names, matrix) in by_size.items():
-                own = pdf[lengths == size]
-                if own.empty:
-                    continue
-                ids = own["id"].to_numpy()
-                s = np.round(matrix @ np.stack(own["vec"].to_list()).astype(np.float32).astype(np.float64).T, 9)
-                kept = []
-                for line in s:
-                    keep = np.flatnonzero(line >= least)
-                    kept.append(keep[np.lexsort((ids[keep], -line[keep]))[:k]])
-                row, at = np.repeat(np.arange(len(kept)), [len(x) for x in kept]), np.concatenate(kept)
-                yield pd.DataFrame({"query_id": names[row], "id": ids[at], "score": s[row, at]})
+                same = np.flatnonzero(lengths == size)
+                step = max(1, CELLS // len(names))
+                for a in range(0, len(same), step):
+                    part = pdf.iloc[same[a : a + step]]
+                    ids = part["id"].to_numpy()
+                    s = np.round(matrix @ np.stack(part["vec"].to_list()).astype(np.float32).astype(np.float64).T, 9)
+                    floor = np.maximum(least, np.partition(s, -k, axis=1)[:, -k]) if s.shape[1] > k else np.full(len(names), least)
+                    at, where = np.nonzero(s >= floor[:, None])
+                    kept[size].append(pd.DataFrame({"at": at, "id": ids[where], "score": s[at, where]}))
+                    held[size] += len(at)
+                    if held[size] > 4 * k * len(names) + CELLS:
+                        kept[size] = [leading(pd.concat(kept[size]))]
+                        held[size] = len(kept[size][0])
+        for size, (names, _) in by_size.items():
+            if kept[size]:
+                rows = leading(pd.concat(kept[size]))
+                yield pd.DataFrame({"query_id": names[rows["at"].to_numpy(np.int64)], "id": rows["id"].to_numpy(), "score": rows["score"].to_numpy(float)})
 
     kinds = {f.name: f.dataType.simpleString() for f in [*vectors.schema, *queries.schema]}
-    best = vectors.select("id", "vec").mapInPandas(score, f"query_id {kinds['query_id']}, id {kinds['id']}, score double")
-    return top(best, k)
+    return vectors.select("id", "vec").mapInPandas(score, f"query_id {kinds['query_id']}, id {kinds['id']}, score double")
 
 
 def fnv1a_of(texts: list[str]) -> np.ndarray:

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from colloquy.functions import guardrails as guard
 from colloquy.functions import text as t
 from colloquy.functions import timecode as tc
-from colloquy.operators import answer, brief, chunk, evaluate, parse, rank, search
-from colloquy.plans.retrieve import analysed, retrieve
+from colloquy.operators import answer, brief, chunk, evaluate, parse, postings, rank, search
+from colloquy.plans.retrieve import analysed, indexed, retrieve
 from colloquy.settings import Settings
 from colloquy.sources.scratch import written
 from colloquy.sources.store import latest, newest_first, without
@@ -103,14 +103,37 @@ def _windows(spark, sf_dir):
     return chunk.chunk_windows(_rendered_turns(spark, sf_dir), S.chunk_target_tokens, S.chunk_overlap_tokens)
 
 
-def _lists(spark, sf_dir):
+def _spread(df: DataFrame) -> DataFrame:
+    """A table in fewer pieces than there are cores is dealt out before work on its texts."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def _index(spark, sf_dir, terms=t.simple_terms):
+    """The inverted index of the documents, written."""
     docs = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    q = search.query_terms(load(spark, sf_dir, "benchmark"), "item_id")
-    ix = search.matched(docs, q)
-    n, avgdl = search.corpus_statistics(docs)
-    lexical = search.bm25(ix, n, avgdl, q, S.lexical_k)
-    overlap = ix.join(q, "term").groupBy("query_id", "id").agg(F.round(F.count("*") / F.sqrt(F.min("dl")), 9).alias("score"))
-    return search.top(overlap, S.dense_k), lexical
+    return written(postings.blocks(postings.by_hash(_spread(docs).select("id", terms(F.col("text")).alias("w")), docs.count())), "index")
+
+
+def _searched(spark, sf_dir, terms=t.simple_terms, pick=None):
+    """The index of the documents, the terms of the benchmark items and their blocks."""
+    index = _index(spark, sf_dir, terms)
+    q = written(search.query_terms(load(spark, sf_dir, "benchmark"), "item_id", terms=pick), "terms")
+    return index, q, written(postings.opened(index, q), "opened")
+
+
+def _lists(spark, sf_dir, found=None):
+    """A dense-like and the lexical list of the benchmark items."""
+    index, q, held = found or _searched(spark, sf_dir)
+    n, avgdl = postings.statistics(index)
+    overlap = postings.entries_of(held).join(q, "term").groupBy("query_id", "id").agg(F.round(F.count("*") / F.sqrt(F.min("dl")), 9).alias("score"))
+    return search.top(overlap, S.dense_k), postings.best(held, q, n, avgdl, S.lexical_k)
+
+
+def _term_frequencies(spark, sf_dir, held):
+    """(query_id, term, df): the content terms of the benchmark items with the number of documents that hold them, as phrases where they have several words."""
+    q = search.coverage_terms(load(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "query_id"))
+    return q.join(postings.frequencies(held).withColumnRenamed("term", "phrase"), "phrase", "left").select("query_id", "term", "df")
 
 
 # --- text
@@ -125,11 +148,9 @@ def tokenize_terms(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", F.size(t.tokenize_words(F.col("text"))).cast("long").alias("n_words"), F.array_join(t.content_terms(F.col("text")), "|").alias("terms"))
 
 
-@query(f"SELECT item_id, term, CAST(coalesce(df, 0) AS BIGINT) AS df FROM (SELECT query_id AS item_id, term FROM ({_QUERY_TERMS})) LEFT JOIN (SELECT term, count(DISTINCT id) AS df FROM ({_INDEX}) GROUP BY term) USING (term)")
+@query(f"WITH {_BM25} SELECT query_id AS item_id, qt.term, CAST(coalesce(df, 0) AS BIGINT) AS df FROM ({_QUERY_TERMS}) qt LEFT JOIN df ON df.term = array_to_string({_simple('qt.term')}, ' ')")
 def doc_frequencies(spark, sf_dir):
-    df = search.document_frequencies(search.postings(load(spark, sf_dir, "documents"), "doc_id"))
-    q = search.query_terms(load(spark, sf_dir, "benchmark"), "item_id", terms=t.content_terms)
-    return q.join(df, "term", "left").select(F.col("query_id").alias("item_id"), "term", F.coalesce("df", F.lit(0)).cast("long").alias("df"))
+    return _term_frequencies(spark, sf_dir, _searched(spark, sf_dir)[2]).select(F.col("query_id").alias("item_id"), "term", F.coalesce("df", F.lit(0)).cast("long").alias("df"))
 
 
 @query("SELECT item_id, i AS place, s AS sentence FROM (SELECT item_id, unnest(range(0, len(l))) AS i, unnest(l) AS s FROM (SELECT item_id, list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '\\n+', ' ', 'g'), '([.!?])\\s+([A-Z\"''(\\p{Lu}])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS l FROM benchmark))")
@@ -302,13 +323,13 @@ def chrono_labels(spark, sf_dir):
     return rank.chronological(s).select("query_id", "meeting_id", "ordinal", "label")
 
 
-@query(f"WITH {_BM25}, qt AS ({_QUERY_TERMS}), best AS (SELECT query_id, string_agg(lower(text), ' ' ORDER BY rank) AS h FROM lexical JOIN documents ON id = doc_id WHERE rank <= 3 GROUP BY query_id), w AS (SELECT query_id, contains(h, term) AS hit, ln(1 + (SELECT n FROM st) / (1 + coalesce(df, 0))) AS w FROM qt LEFT JOIN df USING (term) LEFT JOIN best USING (query_id)) SELECT query_id, round(sum(CASE WHEN hit THEN w ELSE 0 END) / sum(w), 6) AS coverage FROM w GROUP BY query_id")
+@query(f"WITH {_BM25}, qt AS ({_QUERY_TERMS}), best AS (SELECT query_id, string_agg(lower(text), ' ' ORDER BY rank) AS h FROM lexical JOIN documents ON id = doc_id WHERE rank <= 3 GROUP BY query_id), w AS (SELECT query_id, contains(h, qt.term) AS hit, ln(1 + (SELECT n FROM st) / (1 + coalesce(df, 0))) AS w FROM qt LEFT JOIN df ON df.term = array_to_string({_simple('qt.term')}, ' ') LEFT JOIN best USING (query_id)) SELECT query_id, round(sum(CASE WHEN hit THEN w ELSE 0 END) / sum(w), 6) AS coverage FROM w GROUP BY query_id")
 def weighted_coverage(spark, sf_dir):
     docs = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    best = _lists(spark, sf_dir)[1].where("rank <= 3").join(docs, "id").groupBy("query_id").agg(F.array_join(F.collect_list("text"), " ").alias("text"))
-    q = search.query_terms(load(spark, sf_dir, "benchmark"), "item_id", terms=t.content_terms)
-    df = search.document_frequencies(search.postings(docs))
-    return rank.weighted_coverage(q, df, best, docs.count()).select("query_id", F.round("coverage", 6).alias("coverage"))
+    found = _searched(spark, sf_dir)
+    best = _lists(spark, sf_dir, found)[1].where("rank <= 3").join(docs, "id").groupBy("query_id").agg(F.array_join(F.collect_list("text"), " ").alias("text"))
+    terms = written(_term_frequencies(spark, sf_dir, found[2]), "frequencies")
+    return rank.weighted_coverage(terms.select("query_id", "term"), terms.where("df is not null").select("term", "df").distinct(), best, docs.count()).select("query_id", F.round("coverage", 6).alias("coverage"))
 
 
 @query(f"WITH {_BM25} SELECT b.item_id AS query_id, coalesce(round(max(score), 4), 0) AS max_dense, count(score) = 0 AS gated FROM benchmark b LEFT JOIN dense d ON d.query_id = b.item_id GROUP BY b.item_id")
@@ -345,10 +366,9 @@ def hybrid_retrieve(spark, sf_dir):
 
 @query()
 def bm25_porter(spark, sf_dir):
-    docs = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    q = search.query_terms(load(spark, sf_dir, "benchmark"), "item_id", terms=lambda c: search.stemmed_phrases(t.content_terms(c)))
-    n, avgdl = search.corpus_statistics(docs, terms=search.stemmed_terms)
-    return search.bm25(search.matched(docs, q, terms=search.stemmed_terms), n, avgdl, q, S.lexical_k)
+    index, q, held = _searched(spark, sf_dir, search.stemmed_terms, lambda c: search.stemmed_phrases(t.content_terms(c)))
+    n, avgdl = postings.statistics(index)
+    return postings.best(held, q, n, avgdl, S.lexical_k)
 
 
 @query()

@@ -5,56 +5,62 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from colloquy.functions.text import content_terms, estimate_tokens, simple_terms
-from colloquy.operators import rank, search
+from colloquy.functions.text import content_terms, estimate_tokens
+from colloquy.operators import postings, rank, search
 from colloquy.operators.chunk import header
 from colloquy.settings import Settings
 from colloquy.sources.scratch import written
 
-#: Columns that ``analysed`` adds to chunks; stored with them, no question reads the texts again.
-ANALYSED = ("vec", "stems", "words")
+#: Columns that ``analysed`` adds to chunks; stored with them, no question embeds the texts again.
+ANALYSED = ("vec",)
 
 
 def analysed(chunks: DataFrame, meetings: DataFrame) -> DataFrame:
-    """``chunks`` with the embedding of header and text, and the words of both analyzers. chunks: meeting_id, text, speakers; meetings: meeting_id, title, date."""
+    """``chunks`` with the embedding of header and text. chunks: meeting_id, text, speakers; meetings: meeting_id, title, date."""
     named = chunks.join(meetings.select("meeting_id", "title", "date"), "meeting_id", "left")
     full = F.concat_ws("\n", header(F.coalesce("title", F.lit("Unknown meeting")), F.col("date"), F.col("speakers")), "text")
-    rows = search.hash_vectors(named.withColumn("_full", full), text_col="_full")
-    return rows.withColumn("stems", search.stemmed_terms(F.col("text"))).withColumn("words", simple_terms(F.col("text"))).drop("_full", "title", "date")
+    return search.hash_vectors(named.withColumn("_full", full), text_col="_full").drop("_full", "title", "date")
 
 
-def retrieve(chunks: DataFrame, meetings: DataFrame, questions: DataFrame, settings: Settings = Settings(), scope: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def indexed(chunks: DataFrame) -> DataFrame:
+    """The stemmed inverted index of chunks (meeting_id, ordinal, chunk_id, text): a meeting's chunks in slabs of their own, so a scope names whole slabs."""
+    words = chunks.select(F.col("meeting_id").alias("part"), F.floor(F.col("ordinal") / postings.SLAB).cast("int").alias("slab"), F.col("chunk_id").alias("id"), search.stemmed_terms(F.col("text")).alias("w"))
+    return postings.blocks(words)
+
+
+def retrieve(chunks: DataFrame, meetings: DataFrame, questions: DataFrame, settings: Settings = Settings(), scope: DataFrame | None = None, index: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Sources and gate of each question.
 
-    chunks: chunk_id, meeting_id, ordinal, text, speakers, start_ms, end_ms, token_count, and the ANALYSED columns where they are stored; meetings: meeting_id, title, date;
-    questions: query_id, text; scope: (query_id, meeting_id), for questions about some meetings only. Word statistics are those of the whole corpus either way.
+    chunks: chunk_id, meeting_id, ordinal, text, speakers, start_ms, end_ms, token_count, and vec where it is stored; meetings: meeting_id, title, date;
+    questions: query_id, text; scope: (query_id, meeting_id), for questions about some meetings only, while those without a row ask all; index: as ``indexed`` gives
+    it, where it is stored. Word statistics are those of the whole corpus either way.
     Gives (query_id, label, chunk_id, via_neighbour, dense_rank, lexical_rank, fused, meeting columns, chunk columns) and (query_id, max_dense, coverage, gated).
     """
     asked = written(search.hash_vectors(questions.select("query_id", "text")), "asked")
     held = (chunks if set(ANALYSED) <= set(chunks.columns) else written(analysed(chunks, meetings), "analysed")).withColumnRenamed("chunk_id", "id").select("id", "meeting_id", *ANALYSED)
     chunks = chunks.drop(*ANALYSED)
+    index = written(indexed(chunks), "index") if index is None else index
 
-    def scoped(hits: DataFrame) -> DataFrame:
-        return hits if scope is None else hits.join(held.select("id", "meeting_id"), "id").join(scope, ["query_id", "meeting_id"], "left_semi").drop("meeting_id")
-
-    if scope is None:
-        dense = search.dense_search(held.select("id", "vec"), asked, settings.dense_k, settings.min_dense_similarity)
-    else:  # the scoped chunks of each question are its candidates
-        own = scope.join(held.select("id", "meeting_id", "vec"), "meeting_id").join(asked.select("query_id", F.col("vec").alias("q")), "query_id")
+    free = asked if scope is None else asked.join(scope.select("query_id").distinct(), "query_id", "left_anti")
+    dense = search.dense_search(held.select("id", "vec"), free, settings.dense_k, settings.min_dense_similarity)
+    if scope is not None:  # the scoped chunks of each question are its candidates
+        own = scope.distinct().join(held.select("id", "meeting_id", "vec"), "meeting_id").join(asked.select("query_id", F.col("vec").alias("q")), "query_id")
         own = own.select("query_id", "id", F.round(search.dot(F.col("vec"), F.col("q")), 9).alias("score"))
-        dense = search.top(own.where(F.col("score") >= settings.min_dense_similarity), settings.dense_k)
+        dense = dense.unionByName(search.top(own.where(F.col("score") >= settings.min_dense_similarity), settings.dense_k))
     dense = written(dense, "dense")
 
-    n, avgdl = search.corpus_statistics(held, terms=lambda _: F.col("stems"), text_col="stems")
-    terms = search.query_terms(asked, terms=lambda c: search.stemmed_phrases(content_terms(c)))
-    index = search.matched(held, terms, text_col="stems", terms=lambda c: c)
-    lexical = search.top(scoped(search.bm25_scores(index, n, avgdl, terms)), settings.lexical_k)
+    n, avgdl = postings.statistics(index)
+    terms = written(search.query_terms(asked, terms=lambda c: search.stemmed_phrases(content_terms(c))), "terms")
+    words = written(postings.opened(index, terms), "opened")
+    lexical = postings.best(words, terms, n, avgdl, settings.lexical_k, None if scope is None else scope.select("query_id", F.col("meeting_id").alias("part")).distinct())
 
     fused = written(rank.fuse_ranks(dense, lexical, settings.rrf_k).where(F.col("fused") >= settings.min_fused_score), "fused")
     sure = rank.guaranteed(fused, settings.final_k, settings.retriever_floor)
     sure = sure.withColumn("first", F.row_number().over(Window.partitionBy("query_id").orderBy("turn")))
     rest = fused.join(sure.select("query_id", "id"), ["query_id", "id"], "left_anti")
-    pool = rest.join(held.select("id", "vec"), "id").join(asked.select("query_id", F.col("vec").alias("q")), "query_id")
+    # texts are told apart by their own words, not by the header that chunks of a meeting share
+    plain = search.hash_vectors(chunks.withColumnRenamed("chunk_id", "id").select("id", "text").join(rest.select("id").distinct(), "id", "left_semi")).select("id", "vec")
+    pool = rest.join(plain, "id").join(asked.select("query_id", F.col("vec").alias("q")), "query_id")
     pool = pool.select("query_id", "id", "place", "fused", "vec", F.round(search.dot(F.col("vec"), F.col("q")), 9).alias("affinity"))
     more = rank.mmr_select(pool, settings.final_k, settings.mmr_lambda)
     counts = sure.groupBy("query_id").agg(F.max("first").alias("n"))
@@ -64,9 +70,8 @@ def retrieve(chunks: DataFrame, meetings: DataFrame, questions: DataFrame, setti
     gate = rank.relevance_gate(asked, dense, chosen)
     best = written(chosen.join(fused, ["query_id", "id"]).join(chunks.withColumnRenamed("chunk_id", "id"), "id"), "best")
     texts = best.groupBy("query_id").agg(F.array_join(F.collect_list("text"), " ").alias("text"))
-    wanted = search.query_terms(asked, terms=content_terms)
-    words = held.select("id", F.explode(F.array_distinct("words")).alias("term")).join(wanted.select("term").distinct(), "term", "left_semi")
-    df = words.groupBy("term").agg(F.count("*").alias("df"))
+    wanted = written(search.coverage_terms(asked, search.stemmed_terms), "wanted")
+    df = wanted.select("term", "phrase").distinct().join(postings.frequencies(words).withColumnRenamed("term", "phrase"), "phrase").select("term", "df")
     coverage = rank.weighted_coverage(wanted, df, texts, n)
     gate = written(gate.join(coverage, "query_id", "left").withColumn("coverage", F.round(F.coalesce("coverage", F.lit(1.0)), 3)), "gate")
 

@@ -10,7 +10,7 @@ from colloquy.functions.guardrails import injection_hits
 from colloquy.functions.text import checksum, estimate_tokens
 from colloquy.operators.chunk import chunk_transcript
 from colloquy.operators.parse import date_from_filename, normalise_date, parse_turns, participants, read_headers, title_from_filename, warnings
-from colloquy.plans.retrieve import analysed
+from colloquy.plans.retrieve import analysed, indexed
 from colloquy.settings import Settings
 from colloquy.sources.scratch import written
 from colloquy.sources.store import Store
@@ -22,19 +22,24 @@ INJECTED = "This transcript contains text that resembles prompt instructions. It
 
 
 def ingest(store: Store, files: DataFrame, settings: Settings = Settings()) -> int:
-    """Store the files (filename, content, and title and date where a request gives them) that are not stored yet; gives the store's version.
+    """Store the files (filename, content, and title, date and error where a request gives them) that are not stored yet; gives the store's version.
 
-    Title, date and participants come from the request, the transcript's header, its body or the file's name, in this order. A file
-    without a turn goes to ``rejected`` with its error; chunks are stored as retrieval reads them.
+    Title, date and participants come from the request, the transcript's header, its body or the file's name, in this order. A file that comes with
+    an error, or without a turn, goes to ``rejected``; chunks are stored with their embedding, and their words as an inverted index.
     """
     given = lambda c: F.col(c).cast("string") if c in files.columns else F.lit(None).cast("string")
-    files = files.select("filename", "content", given("title").alias("title"), given("date").alias("date")).where("content is not null").withColumn("id", checksum(F.col("content")))
-    fresh = written(store.new_only(files), "files")
+    files = files.select("filename", "content", given("title").alias("title"), given("date").alias("date"), given("error").alias("error"))
+    # a file whose content can't be kept goes by its name
+    files = written(files.withColumn("error", F.when(F.col("error").isNull() & F.col("content").isNull(), "content").otherwise(F.col("error"))).withColumn("id", checksum(F.coalesce("content", "filename", F.lit("")))), "received")
+    fresh = written(store.new_only(files.where("error is null").drop("error")), "files")
+    failed = files.where("error is not null").select("id", "filename", "error").dropDuplicates(["id"])
+    if not fresh.take(1):
+        return store.save(rejected=failed)
     turns = written(parse_turns(fresh.select("id", "content")), "turns")
     head = read_headers(fresh.select("id", "content")).withColumnsRenamed({"title": "said", "date": "dated"})
     counts = turns.groupBy("id").agg(F.first("format").alias("format"), F.count("*").cast("int").alias("turn_count"), F.max_by("end_ms", "index").alias("duration_ms"))
     people = participants(turns, head.where("participants is not null").select("id", "participants"))
-    chunks = chunk_transcript(turns, settings)
+    chunks = written(chunk_transcript(turns, settings), "chunks")
     n_chunks = chunks.groupBy("id").agg(F.count("*").cast("int").alias("chunk_count"))
     injected = F.when(F.size(injection_hits(F.col("content"))) > 0, F.array(F.lit(INJECTED))).otherwise(F.array().cast("array<string>"))
     full = fresh.join(counts, "id").join(head.select("id", "said", "dated"), "id", "left").join(people, "id", "left").join(warnings(turns), "id", "left").join(n_chunks, "id", "left")
@@ -48,7 +53,12 @@ def ingest(store: Store, files: DataFrame, settings: Settings = Settings()) -> i
     meetings = written(meetings, "meetings")
     named = meetings.select(F.col("id").alias("meeting_id"), "title", "date")
     rejected = fresh.join(counts.select("id"), "id", "left_anti").select("id", "filename", F.lit("No dialogue found.").alias("error"))
-    return store.save(meetings=meetings, turns=turns, chunks=analysed(chunks.withColumnRenamed("id", "meeting_id"), named).withColumnRenamed("meeting_id", "id"), rejected=rejected)
+    rejected = rejected.unionByName(failed)
+    own = chunks.withColumnRenamed("id", "meeting_id").withColumn("chunk_id", F.concat_ws(":", "meeting_id", F.col("ordinal").cast("string")))
+    return store.save(
+        meetings=meetings, turns=turns, chunks=analysed(own.drop("chunk_id"), named).withColumnRenamed("meeting_id", "id"),
+        postings=indexed(own).withColumnRenamed("part", "id"), rejected=rejected,
+    )
 
 
 def ingest_stream(spark: SparkSession, path: str, store: Store, checkpoint: str, settings: Settings = Settings()) -> StreamingQuery:

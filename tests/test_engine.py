@@ -51,24 +51,45 @@ def test_ask(spark, tmp_path):
     assert [r.filename for r in engine.store.table("rejected").collect()] == ["y.txt"]
 
 
-def test_writers_lose_no_update(spark, tmp_path):
-    from concurrent.futures import ThreadPoolExecutor
-
-    from colloquy.sources.store import Store
-
-    row = lambda i: spark.createDataFrame([(f"t{i}", str(i), "q", "{}")], "trace_id string, created_at string, question string, payload string")
-    with ThreadPoolExecutor(3) as pool:
-        list(pool.map(lambda i: Store(spark, str(tmp_path / "s")).save_traces(row(i)), range(5)))
-    assert sorted(r.trace_id for r in Store(spark, str(tmp_path / "s")).table("traces").collect()) == [f"t{i}" for i in range(5)]
+def test_failing_files_are_told(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path / "store"))
+    files = [("a.txt", "Ann: hello there"), ("", "Bo: no name"), ("empty.txt", ""), ("none.txt", None), ("big.txt", "x" * (4 * 1024 * 1024 + 1))]
+    engine.ingest(spark.createDataFrame(files, "filename string, content string"))
+    assert {(r.filename, r.error) for r in engine.rejected().collect()} == {("", "filename"), ("empty.txt", "content"), ("none.txt", "content"), ("big.txt", "too large")}
+    assert [r.source for r in engine.meetings().collect()] == ["a.txt"]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "bad.md").write_bytes(b"\xff\xfe\xff")
+    (tmp_path / "in" / "good.md").write_text("Cy: good day")
+    engine.ingest_dir(str(tmp_path / "in"))
+    assert ("bad.md", "file is not UTF-8") in {(r.filename, r.error) for r in engine.rejected().collect()}
+    assert {r.source for r in engine.meetings().collect()} == {"a.txt", "good.md"}
+
+
+def test_scoped_and_free_questions_together(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path / "store"))
+    engine.ingest(spark.createDataFrame([("2026-01-15-review.txt", REVIEW), ("inc.txt", INCIDENT)], "filename string, content string"))
+    ids = {r.source: r.id for r in engine.meetings().collect()}
+    asked = spark.createDataFrame([("q1", "Why did we pick Postgres for the ledger?"), ("q2", "What caused incident MI-412?"), ("q3", "What caused incident MI-412?")], "query_id string, text string")
+    scope = spark.createDataFrame([("q1", ids["2026-01-15-review.txt"]), ("q3", ids["2026-01-15-review.txt"])], "query_id string, meeting_id string")
+    sources, gate = engine.retrieve(asked, scope)
+    found = {}
+    for r in sources.collect():
+        found.setdefault(r.query_id, set()).add(r.meeting_id)
+    assert ids["inc.txt"] in found["q2"]  # a question without a scope asks all meetings
+    assert found["q1"] == {ids["2026-01-15-review.txt"]} and ids["inc.txt"] not in found.get("q3", set())
+    assert engine.transcript(ids["inc.txt"]).count() == 2
+    assert engine.meeting(ids["inc.txt"]).first().source == "inc.txt"
 
 
 def test_phrases_match_words_in_a_row(spark):
-    from colloquy.operators import search
+    from colloquy.operators import postings, search
+    from colloquy.functions.text import simple_terms
 
     docs = spark.createDataFrame([(1, "the mi-412 incident"), (2, "412 mi incident"), (3, "MI 412, MI-412!"), (4, "mi other 412")], "id int, text string")
     q = search.query_terms(spark.createDataFrame([("a", "what was mi-412")], "query_id string, text string"))
     assert [(r.term, r.times) for r in q.collect()] == [("mi 412", 1)]
-    assert {(r.id, r.tf) for r in search.phrase_postings(docs, q).collect()} == {(1, 1), (3, 2)}
+    index = postings.blocks(postings.by_hash(docs.select("id", simple_terms("text").alias("w")), 4)).persist()
+    assert {(r.id, r.tf, r.dl) for r in postings.entries_of(postings.opened(index, q)).collect()} == {(1, 1, 4), (3, 2, 4)}
 
 
 def test_evaluate(spark, tmp_path):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from colloquy.functions import guardrails as g
 from colloquy.functions import text as t
 from colloquy.functions import timecode as tc
-from colloquy.operators import answer, chunk, parse, rank, search
+from colloquy.operators import answer, chunk, parse, postings, rank, search
 from colloquy.settings import Settings
 
 
@@ -135,8 +135,9 @@ def test_bm25_matches_the_full_text_index_of_sqlite(spark, sf_dir):
     asked = {"a": "running relational pony", "b": "motoring happiness hopping", "c": "etude generalizations oscillating agreement", "d": docs[0][1][:80].replace('"', "")}
     df = spark.createDataFrame(docs, "id long, text string")
     q = spark.createDataFrame(list(asked.items()), "query_id string, text string")
-    n, avgdl = search.corpus_statistics(df, terms=search.stemmed_terms)
-    got = search.bm25(search.postings(df, terms=search.stemmed_terms), n, avgdl, search.query_terms(q, terms=search.stemmed_terms), 100)
+    index = postings.blocks(postings.by_hash(df.select("id", search.stemmed_terms("text").alias("w")), len(docs))).persist()
+    terms = search.query_terms(q, terms=search.stemmed_terms)
+    got = postings.best(postings.opened(index, terms), terms, *postings.statistics(index), 100)
     got = {(r.query_id, r.id): r.score for r in got.collect()}
     for name, text in asked.items():
         words = " OR ".join(f'"{w}"' for w in "".join(c if c.isalnum() else " " for c in text).split())
