@@ -30,13 +30,17 @@ def by_hash(words: DataFrame, n: int) -> DataFrame:
     return words.select(F.pmod(F.xxhash64("id"), F.lit(max(1, -(-n // SLAB)))).alias("part"), F.lit(0).alias("slab"), "id", "w")
 
 
-def blocks(words: DataFrame) -> DataFrame:
+def blocks(words: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """(part, slab, bucket, term, n, most_tf, least_dl, entries): entries hold (id, dl, tf, at). words: part, slab, id and the words w of each text.
 
+    terms: for an index that serves these terms only, with their words.
+
     Texts are dealt once, by slab; what follows needs no further shuffle. Under the empty term every text has a posting, so the index holds its own statistics.
     """
     w = F.coalesce("w", F.array().cast("array<string>"))
     each = words.repartition("part", "slab").select("part", "slab", "id", F.size(w).alias("dl"), F.posexplode(F.array_append(w, F.lit(""))).alias("pos", "term"))
+    if terms is not None:
+        each = each.join(terms.select(F.explode(F.split("term", " ")).alias("term")).union(terms.sparkSession.createDataFrame([("",)], "term string")).distinct(), "term", "left_semi")
     one = each.groupBy("part", "slab", "term", "id", "dl").agg(F.array_sort(F.collect_list("pos")).alias("at"))
     return _blocks(one)
 

@@ -109,16 +109,12 @@ def _spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def _index(spark, sf_dir, terms=t.simple_terms):
-    """The inverted index of the documents, written."""
-    docs = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    return written(postings.blocks(postings.by_hash(_spread(docs).select("id", terms(F.col("text")).alias("w")), docs.count())), "index")
-
-
 def _searched(spark, sf_dir, terms=t.simple_terms, pick=None):
-    """The index of the documents, the terms of the benchmark items and their blocks."""
-    index = _index(spark, sf_dir, terms)
+    """The index of the documents for the terms of the benchmark items, these terms and their blocks."""
+    docs = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     q = written(search.query_terms(load(spark, sf_dir, "benchmark"), "item_id", terms=pick), "terms")
+    words = postings.by_hash(_spread(docs).select("id", terms(F.col("text")).alias("w")), docs.count())
+    index = written(postings.blocks(words, q), "index")
     return index, q, written(postings.opened(index, q), "opened")
 
 
