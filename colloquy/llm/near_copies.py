@@ -34,14 +34,14 @@ SIMILAR, WIDTH, RADIUS = (4, 5), 5, 3
 CELLS, BITS, SLAB, TILE = 1 << 20, 512, 256, 4096
 
 
-def cell_counts(texts: DataFrame, width: int) -> np.ndarray:
+def cell_counts(texts: DataFrame, width: int, hashes=shingle_hashes) -> np.ndarray:
     """How many distinct shingles of ``texts.text`` fall into each cell; a table of CELLS numbers whatever the input."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(CELLS, np.int64)
         for b in batches:
             for t in raw(b.column(0)):
-                np.add.at(n, (np.unique(shingle_hashes(t, width)) % np.uint64(CELLS)).astype(np.int64), 1)
+                np.add.at(n, (np.unique(hashes(t, width)) % np.uint64(CELLS)).astype(np.int64), 1)
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], ["cell", "n"])
 
@@ -56,10 +56,10 @@ def parity(hs: np.ndarray) -> bytes:
     return np.packbits((np.bincount((hs >> np.uint64(40)).astype(np.int64) % BITS, minlength=BITS) & 1).astype(np.uint8)).tobytes()
 
 
-def signed(texts: DataFrame, width: int, similar: tuple[int, int]) -> DataFrame:
+def signed(texts: DataFrame, width: int, similar: tuple[int, int], hashes=shingle_hashes) -> DataFrame:
     """(id, k, s, n, fp, bits, lead) per row: s stands for the set of n shingles, ``lead`` holds its prefix in the common order. texts: (id, k, text)."""
     p, q = similar
-    sent = texts.sparkSession.sparkContext.broadcast(cell_counts(texts, width))
+    sent = texts.sparkSession.sparkContext.broadcast(cell_counts(texts, width, hashes))
     kind = texts.schema["id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,7 +67,7 @@ def signed(texts: DataFrame, width: int, similar: tuple[int, int]) -> DataFrame:
         for b in batches:
             s, n, fp, bits, lead = [], [], [], [], []
             for t in raw(b.column(2)):
-                h = shingle_hashes(t, width)
+                h = hashes(t, width)
                 u = np.unique(h)
                 s.append(xxhash.xxh64_intdigest(u.tobytes(), SEED))
                 n.append(len(u))
@@ -200,7 +200,7 @@ def unjoined(lead: DataFrame, nodes: DataFrame, roots: DataFrame, similar: tuple
     return dealt.repartition("h", "a", "z").sortWithinPartitions("h", "a", "z", "n", "s").mapInArrow(giving_back(work), "u long, v long")
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, similar: tuple[int, int]) -> DataFrame:
+def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, similar: tuple[int, int], hashes=shingle_hashes) -> DataFrame:
     """The pairs (u, v) whose whole sets are similar, materialised: those that parity bits don't part, by the sets of their texts."""
     p, q = similar
 
@@ -212,7 +212,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, s
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.unique(shingle_hashes(t, width)).tobytes() for t in raw(b.column(1))], pa.binary())], ["s", "hs"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.unique(hashes(t, width)).tobytes() for t in raw(b.column(1))], pa.binary())], ["s", "hs"])
 
     def similar_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

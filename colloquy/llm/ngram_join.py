@@ -7,7 +7,7 @@ that enter the matrix. A block takes the postings of its n-grams, cut into slabs
 or parity bits of the whole sets bound its overlap below what is needed. The blocks' partial overlaps are summed, pairs
 below the size-derived bound go, and the others are multiplied over their whole rows.
 
-Before the product a band of it is verified: sets next to each other in size under the same n-gram. What this joins already counts as
+Before the product a band of it is verified: sets next to each other in size under the same n-gram, those of equal size in an order of the n-gram's own. What this joins already counts as
 one component, and the product skips pairs within components, so a large group of near copies costs no square. A posting list over TILE
 sets is dealt out as pairs of tiles.
 
@@ -23,16 +23,42 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.llm.common import bound_batches, connected_components, giving_back, materialise, release, row_key
 from colloquy.llm.near_copies import SLAB, TILE, _close, _words, neighbours, shared_prefixes, signed, verified
+from colloquy.llm.simhash import SEED
 
 #: Least similarity as a fraction, and the words of a shingle.
 SIMILAR, WIDTH = (9, 10), 3
 #: Overlaps that a task sums up before it hands them on.
 SUMMED = 1 << 18
+#: Words whose hashes a worker remembers.
+KNOWN_WORDS = 200_000
+
+
+#: Hashes of words met before, of one worker.
+_WORDS: dict[bytes, int] = {}
+
+
+def ngram_hashes(text: bytes, width: int) -> np.ndarray:
+    """A 64-bit hash of each n-gram of ``width`` words, lower-cased in A-Z, repeats included: the hashes of its words mixed in order. Fewer words make one n-gram."""
+    words = text.lower().split()  # of bytes: A-Z and ASCII white space only
+    if not words:
+        return np.empty(0, np.uint64)
+    if len(_WORDS) > KNOWN_WORDS:
+        _WORDS.clear()
+    for w in set(words).difference(_WORDS):
+        _WORDS[w] = xxhash.xxh64_intdigest(w, SEED)
+    each = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    size = min(width, len(words))
+    h = np.full(len(words) - size + 1, size, np.uint64)
+    for k in range(size):
+        h = (h ^ each[k : len(words) - size + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(32)
+    return h
 
 
 def prefix_size(n, similar: tuple[int, int]):
@@ -62,12 +88,15 @@ def _overlaps(u: np.ndarray, v: np.ndarray, n: np.ndarray, m: np.ndarray, c: np.
 
 
 def product(lead: DataFrame, nodes: DataFrame, roots: DataFrame, similar: tuple[int, int]) -> DataFrame:
-    """(u, v, n, m, c): c prefix n-grams that the sets u and v of n and m n-grams share, for pairs of different roots, less those that their bounds rule out."""
+    """(u, v, n, m, c): c prefix n-grams that the sets u and v of n and m n-grams share, for pairs of different roots, less those that their bounds rule out.
+
+    A block takes the n-grams whose least set is the same: those of one family of texts, whose overlaps so sum up in one task.
+    """
     rooted = materialise(lead.join(roots, "s", "left").withColumn("root", F.coalesce("root", "s")), "rooted")
-    mixed = rooted.groupBy("h").agg(F.count("*").alias("c"), F.min("root").alias("a"), F.max("root").alias("z")).where("a <> z").select("h", F.ceil(F.col("c") / TILE).cast("int").alias("tiles"))
+    mixed = rooted.groupBy("h").agg(F.count("*").alias("c"), F.min("root").alias("a"), F.max("root").alias("z"), F.min("s").alias("block")).where("a <> z").select("h", "block", F.ceil(F.col("c") / TILE).cast("int").alias("tiles"))
     own = F.pmod(F.xxhash64("s"), F.col("tiles")).cast("int")
     dealt = rooted.join(mixed, "h").join(nodes.select("s", "bits"), "s").withColumn("t", own).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    dealt = dealt.select("h", F.least("t", "o").alias("a"), F.greatest("t", "o").alias("z"), "t", "n", "s", "root", "bits")
+    dealt = dealt.select("block", "h", F.least("t", "o").alias("a"), F.greatest("t", "o").alias("z"), "t", "n", "s", "root", "bits")
 
     def block(cols: list[np.ndarray], cross: bool) -> Iterator[list[np.ndarray]]:
         """One posting list's part of the product, slab by slab."""
@@ -97,7 +126,7 @@ def product(lead: DataFrame, nodes: DataFrame, roots: DataFrame, similar: tuple[
         for b in itertools.chain(batches, [None]):  # None: the last list is whole
             cols = held
             if b is not None:
-                new = [*(c.to_numpy().astype(np.int64) for c in b.columns[:-1]), _words(b.columns[-1])]
+                new = [*(c.to_numpy().astype(np.int64) for c in b.columns[1:-1]), _words(b.columns[-1])]
                 cols = new if held is None else [np.concatenate(c) for c in zip(held, new)]
             if cols is None or not len(cols[0]):
                 continue
@@ -119,7 +148,7 @@ def product(lead: DataFrame, nodes: DataFrame, roots: DataFrame, similar: tuple[
         if sums:
             yield named(summed())
 
-    return dealt.repartition("h", "a", "z").sortWithinPartitions("h", "a", "z", "n", "s").mapInArrow(giving_back(work), "u long, v long, n long, m long, c long")
+    return dealt.repartition("block", "a", "z").sortWithinPartitions("block", "h", "a", "z", "n", "s").mapInArrow(giving_back(work), "u long, v long, n long, m long, c long")
 
 
 def overlapping(parts: DataFrame, similar: tuple[int, int]) -> DataFrame:
@@ -139,17 +168,19 @@ def jaccard_links(nodes: DataFrame, texts: DataFrame, width: int = WIDTH, simila
     spark = nodes.sparkSession
     lead = materialise(shared_prefixes(nodes), "lead")
     release(spark)
-    band = verified(neighbours(lead, similar), nodes, texts, width, similar)
+    # next to each other in an order of its own under each n-gram, so that a group of near copies meets in many pairs
+    mixed = lead.repartition("h").sortWithinPartitions("h", "n", F.xxhash64("h", "s"))
+    band = verified(neighbours(mixed, similar), nodes, texts, width, similar, ngram_hashes)
     roots = connected_components(band).withColumnRenamed("node", "s")
     rest = overlapping(product(lead, nodes, roots, similar), similar)
-    return band.union(verified(rest, nodes, texts, width, similar))
+    return band.union(verified(rest, nodes, texts, width, similar, ngram_hashes))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, similar: tuple[int, int] = SIMILAR) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row per row of ``docs``."""
     bound_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("id"), row_key(text_col).alias("k"), F.col(text_col).cast("string").alias("text"))
-    rows = materialise(signed(texts, width, similar), "ngram-rows")
+    rows = materialise(signed(texts, width, similar, ngram_hashes), "ngram-rows")
     least = F.struct(F.col("id").isNull().alias("last"), "id", "k")
     nodes = materialise(rows.where("n > 0").groupBy("s").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("lead").alias("lead"), F.min(least).alias("least")), "ngram-nodes")
     roots = connected_components(jaccard_links(nodes, texts, width, similar)).withColumnRenamed("node", "s")

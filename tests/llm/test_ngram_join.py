@@ -45,6 +45,15 @@ def edited(seed=5):
     return rows
 
 
+def test_hashes_tell_word_sequences_apart():
+    texts = ["a b c d", "A  b\tc d", "a b", "b a", "a", "a b c", "b c a", "é É x", "", " \n"]
+    h = [J.ngram_hashes(t.encode(), 3).tolist() for t in texts]
+    assert h[0] == h[1] and len(h[0]) == 2 and h[0][0] == h[5][0] and h[8] == h[9] == []
+    assert len({x for y in h for x in y}) == 7
+    many = J.ngram_hashes(" ".join(f"w{i % 211}x{i % 97}" for i in range(20_000)).encode(), 3)
+    assert len(set(many.tolist())) == len({tuple(f"w{j % 211}x{j % 97}" for j in (i, i + 1, i + 2)) for i in range(19_998)})
+
+
 def test_links_on_both_sides_of_the_bound(spark):
     rows = edited()
     rows += [(None, rows[0][1]), (900, None), (901, ""), (902, "one two"), (903, "ONE two"), (903, "ONE two"), (904, "x y z"), (905, "X  y\tz"), (906, "\n"), (None, "only nulls here"), (907, "é É"), (908, "é é")]
