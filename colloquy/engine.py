@@ -10,7 +10,7 @@ from colloquy.functions.text import estimate_tokens, trim
 from colloquy.operators import answer, brief, chunk, evaluate
 from colloquy.plans.retrieve import retrieve
 from colloquy.settings import Settings
-from colloquy.sources.scratch import written
+from colloquy.sources.scratch import Stages, written
 from colloquy.sources.store import Store
 from colloquy.sources.transcripts import check_requests, read_directory, write_events
 from colloquy.streaming.ingest import ingest
@@ -71,20 +71,27 @@ class Engine:
     def status(self) -> DataFrame:
         turns = self.store.table("turns")
         if turns is None:
-            return self.spark.createDataFrame([(0, 0, 0)], "meetings long, turns long, tokens long")
-        return evaluate.corpus_status(turns, estimate_tokens(F.col("text")))
+            return self.spark.createDataFrame([(0, 0, 0, 0)], "meetings long, turns long, tokens long, chunks long")
+        chunks = self.store.table("chunks")
+        return evaluate.corpus_status(turns, estimate_tokens(F.col("text"))).withColumn("chunks", F.lit(0 if chunks is None else chunks.count()).cast("long"))
 
-    def retrieve(self, questions: DataFrame, scope: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    def latency(self) -> DataFrame | None:
+        """(trace_id, stage, ms, detail, share): the steps of stored traces and their part of the whole in percent."""
+        t = self.store.table("traces")
+        return None if t is None else evaluate.latency_share(answer.trace_stages(t), ["trace_id"])
+
+    def retrieve(self, questions: DataFrame, scope: DataFrame | None = None, stages: Stages | None = None) -> tuple[DataFrame, DataFrame]:
         chunks = self.store.table("chunks").withColumnRenamed("id", "meeting_id").withColumn("chunk_id", F.concat_ws(":", "meeting_id", F.col("ordinal").cast("string")))
         meetings = self.store.table("meetings").select(F.col("id").alias("meeting_id"), "title", "date")
-        return retrieve(chunks, meetings, questions, self.settings, scope, self.store.table("postings").withColumnRenamed("id", "part"))
+        return retrieve(chunks, meetings, questions, self.settings, scope, self.store.table("postings").withColumnRenamed("id", "part"), stages)
 
     def ask(self, questions: DataFrame, scope: DataFrame | None = None) -> DataFrame:
-        """(query_id, question, standalone, route, answer, coverage, invalid, declined, flags, model, tokens_in, tokens_out, usd), one row per question; each leaves a trace.
+        """(query_id, trace_id, question, standalone, route, answer, coverage, invalid, declined, flags, model, tokens_in, tokens_out, usd), one row per question; each leaves a trace.
 
         questions: query_id, text, and history, an array of (role, content), where there is one. scope: (query_id, meeting_id). Refused questions (empty, too
         long, no evidence) get their refusal and no search; up to three meetings that fit are read whole where the question asks for it.
         """
+        stages = Stages()
         history = F.col("history") if "history" in questions.columns else F.array().cast("array<struct<role:string,content:string>>")
         asked = questions.select("query_id", F.col("text").alias("question"), F.coalesce(history, F.array().cast("array<struct<role:string,content:string>>")).alias("history"))
         past = answer.history_lines(F.col("history"), 6, 300)
@@ -98,26 +105,26 @@ class Engine:
             fit = scope.join(meetings.select(F.col("id").alias("meeting_id"), "token_count"), "meeting_id").groupBy("query_id").agg(F.count("*").alias("n"), F.sum("token_count").alias("tokens"))
             way = answer.route(F.col("question"), F.coalesce("n", F.lit(0)), F.coalesce("tokens", F.lit(0)), self.settings.whole_meeting_tokens)
             asked = asked.join(fit, "query_id", "left").withColumn("route", way).drop("n", "tokens")
-        asked = written(asked, "asked")
+        asked = stages.written(asked, "understand")
         fair = asked.where("refusal is null")
         refused = asked.where("refusal is not null").select("query_id", F.col("refusal").alias("answer"))
         if empty:
             none = fair.select("query_id", guardrails.no_evidence(F.col("question"), F.lit(True)).alias("answer"))
-            return self._judged(asked, refused.unionByName(none).withColumn("refused", F.lit(True)), None)
+            return self._judged(asked, refused.unionByName(none).withColumn("refused", F.lit(True)), None, stages)
         searched = fair.where("route = 'retrieval'").select("query_id", F.col("standalone").alias("text"))
-        sources, gate = self.retrieve(searched, scope)
+        sources, gate = self.retrieve(searched, scope, stages)
         shown = ["query_id", "label", "chunk_id", "title", "date", "start_ms", "end_ms", "speakers", "text", "fused", "via_neighbour"]
         sources = sources.select(*shown)
         if scope is not None:
             read = scope.join(fair.where("route = 'whole-meeting'").select("query_id"), "query_id", "left_semi").join(meetings.withColumnRenamed("id", "meeting_id"), "meeting_id")
             sources = sources.unionByName(answer.whole_sources(read).select(*shown))
-        sources = written(sources, "sources")
+        sources = stages.written(sources, "sources")
         shut = gate.where("gated").join(fair, "query_id").select("query_id", guardrails.no_evidence(F.col("question"), F.lit(False)).alias("answer"))
         open_ = fair.join(shut, "query_id", "left_anti").select("query_id", trim(F.col("standalone")).alias("question"))
         told = answer.extractive_answer(sources.select("query_id", "label", "text"), open_)
-        return self._judged(asked, refused.unionByName(shut).withColumn("refused", F.lit(True)).unionByName(told.withColumn("refused", F.lit(False))), sources)
+        return self._judged(asked, refused.unionByName(shut).withColumn("refused", F.lit(True)).unionByName(told.withColumn("refused", F.lit(False))), sources, stages)
 
-    def _judged(self, asked: DataFrame, answers: DataFrame, sources: DataFrame | None) -> DataFrame:
+    def _judged(self, asked: DataFrame, answers: DataFrame, sources: DataFrame | None, stages: Stages) -> DataFrame:
         none = F.array().cast("array<string>")
         rows = asked.drop("refusal").join(answers, "query_id").withColumn("route", F.when(F.col("refused"), "refused").otherwise(F.col("route")))
         if sources is None:
@@ -129,9 +136,10 @@ class Engine:
         count = lambda c: F.when(F.col("refused"), 0).otherwise(estimate_tokens(F.col(c))).cast("long")
         rows = rows.withColumn("model", F.lit("deterministic-extractive")).withColumn("tokens_in", count("prompt")).withColumn("tokens_out", count("answer"))
         rows = rows.withColumn("usd", answer.cost_usd(F.col("model"), F.col("tokens_in"), F.col("tokens_out")))
-        out = written(rows.select("query_id", "question", "standalone", "route", "answer", "v.*", "model", "tokens_in", "tokens_out", "usd"), "answers")
+        trace = F.substring(F.sha2(F.concat_ws("|", F.col("query_id").cast("string"), "question", answer.now()), 256), 1, 32)
+        out = stages.written(rows.select("query_id", trace.alias("trace_id"), "question", "standalone", "route", "answer", "v.*", "model", "tokens_in", "tokens_out", "usd"), "answer")
         shown = sources if sources is not None else asked.select("query_id", *[F.lit(None).cast("string").alias(c) for c in ("label", "chunk_id", "title", "date", "text")], F.lit(0.0).alias("fused"), F.lit(False).alias("via_neighbour")).limit(0)
-        self.store.save_traces(answer.traces(out, shown))
+        self.store.save_traces(answer.traces(out, shown, stages.rows, {"embedding": "hashed-ngrams"}))
         return out
 
     def evaluate(self, cases: DataFrame, path: str | None = None) -> DataFrame:
@@ -145,5 +153,15 @@ class Engine:
         return evaluate.summary(judged)
 
     def ask_events(self, questions: DataFrame, path: str, scope: DataFrame | None = None) -> None:
-        """Answer and write the events of each answer as JSON lines."""
-        write_events(answer.answer_events(self.ask(questions, scope).withColumn("error", F.lit(None).cast("string"))), path)
+        """Answer and write the events of each answer as JSON lines; where answering fails, each question gets an event that says so."""
+        write_events(self.events(questions, scope), path)
+
+    def events(self, questions: DataFrame, scope: DataFrame | None = None) -> DataFrame:
+        """(query_id, seq, event) of the answers, or of the error that kept the questions from one."""
+        try:
+            answers = self.ask(questions, scope).withColumn("error", F.lit(None).cast("string"))
+        except Exception as e:
+            none = F.lit(None).cast("string")
+            message = (str(e).splitlines() or [type(e).__name__])[0][:500] or type(e).__name__
+            answers = questions.select("query_id", none.alias("trace_id"), none.alias("route"), none.alias("standalone"), none.alias("answer"), F.lit(message).alias("error"))
+        return answer.answer_events(answers)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -119,17 +121,29 @@ def prompts(questions: DataFrame, sources: DataFrame) -> DataFrame:
     return joined.select("query_id", F.concat(said, F.coalesce("block", F.lit("<sources>\n\n</sources>")), F.lit("\n\nQuestion: "), trim(F.col("question"))).alias("prompt"))
 
 
-def traces(answers: DataFrame, sources: DataFrame) -> DataFrame:
+def traces(answers: DataFrame, sources: DataFrame, stages: list[tuple[str, int, dict]] = (), models: dict[str, str] | None = None) -> DataFrame:
     """(trace_id, created_at, question, payload): what is stored of each answer, source texts cut to 4000 characters.
 
-    answers: query_id, question, standalone, route, answer, model, tokens_in, tokens_out, usd and the verdict columns.
+    answers: query_id, trace_id, question, standalone, route, answer, model, tokens_in, tokens_out, usd and the verdict columns; stages: (stage, ms, detail) of the
+    steps that the questions took together.
     """
     each = F.struct("label", "chunk_id", "title", "date", F.round("fused", 5).alias("fused"), "via_neighbour", capped(F.col("text"), 4000).alias("text"))
     shown = sources.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct(F.substr("label", F.lit(2)).cast("int").alias("n"), each.alias("s")))).alias("s"))
     rows = answers.join(shown, "query_id", "left")
-    payload = F.to_json(F.struct("standalone", "route", "answer", "coverage", "invalid", "declined", "flags", F.struct("model", "tokens_in", "tokens_out", "usd").alias("usage"), F.coalesce(F.transform("s", lambda x: x["s"]), F.array()).alias("sources")))
-    now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
-    return rows.select(F.substring(F.sha2(F.concat_ws("|", F.col("query_id").cast("string"), "question", now), 256), 1, 32).alias("trace_id"), now.alias("created_at"), "question", payload.alias("payload"))
+    steps = F.parse_json(F.lit(json.dumps([{"stage": s, "ms": ms, "detail": detail} for s, ms, detail in stages])))
+    used = F.struct(F.col("model").alias("chat"), *[F.lit(v).alias(k) for k, v in (models or {}).items()])
+    payload = F.to_json(F.struct("standalone", "route", "answer", "coverage", "invalid", "declined", "flags", F.struct("model", "tokens_in", "tokens_out", "usd").alias("usage"), used.alias("models"), steps.alias("stages"), F.coalesce(F.transform("s", lambda x: x["s"]), F.array()).alias("sources")))
+    return rows.select("trace_id", now().alias("created_at"), "question", payload.alias("payload"))
+
+
+def now() -> Column:
+    return F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
+def trace_stages(traces: DataFrame) -> DataFrame:
+    """(trace_id, stage, ms, detail): the steps of stored traces; detail is a variant."""
+    steps = F.variant_get(F.try_parse_json("payload"), "$.stages", "array<struct<stage:string,ms:long,detail:variant>>")
+    return traces.select("trace_id", F.explode(steps).alias("x")).select("trace_id", "x.stage", "x.ms", "x.detail")
 
 
 def answer_events(answers: DataFrame) -> DataFrame:
@@ -138,6 +152,6 @@ def answer_events(answers: DataFrame) -> DataFrame:
     pieces = F.regexp_extract_all("answer", F.lit(r"(\S+\s*)"), 1)
     meta = F.array(line("meta", F.struct("route", "standalone")))
     each = F.transform(pieces, lambda p: line("delta", F.struct(p.alias("text"))))
-    done = F.array(line("done", F.struct("answer")))
+    done = F.array(line("done", F.struct("answer", *([F.col("trace_id").alias("traceId")] if "trace_id" in answers.columns else []))))
     failed = F.array(line("error", F.struct(F.col("error").alias("message"))))
     return answers.select("query_id", F.posexplode(F.when(F.col("error").isNotNull(), failed).otherwise(F.concat(meta, each, done))).alias("seq", "event"))

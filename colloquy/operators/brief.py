@@ -27,6 +27,12 @@ DUE = r"(?<![A-Za-z0-9_])by (?:the )?(?:end of |next )?[\w\s]{2,20}(?![A-Za-z0-9
 BRIEF = "summary string, topics array<string>, decisions array<struct<decision:string,rationale:string,owner:string,status:string,atMs:bigint>>, actionItems array<struct<task:string,owner:string,due:string,atMs:bigint>>, openQuestions array<string>"
 
 
+#: Most topics, decisions, actions and questions of a merged brief.
+CAPS = {"topics": 10, "decisions": 15, "actions": 15, "questions": 10}
+#: Fixed value: what made a brief.
+MADE_BY = "offline heuristics (no LLM)"
+
+
 def has_cue(c: Column, cues) -> Column:
     out = F.lit(False)
     for cue in cues:
@@ -58,7 +64,7 @@ def topics(texts: DataFrame, k: int = 8, id_col: str = "id", text_col: str = "te
 
 
 def brief(texts: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """(id, topics, decisions, actions, questions) with at most 8, 12, 12 and 8 entries; actions and questions once each."""
+    """(id, summary, topics, decisions, actions, questions) with at most 8, 12, 12 and 8 entries; actions and questions once each. The summary counts what was found before any cut."""
     rows = cue_sentences(texts, id_col, text_col)
     order = lambda c: F.transform(F.array_sort(F.collect_list(F.when(F.col("keep"), F.struct("line", "pos", c.alias("v"))))), lambda x: x["v"])
 
@@ -66,16 +72,20 @@ def brief(texts: DataFrame, id_col: str = "id", text_col: str = "text") -> DataF
         own = rows.where(flag)
         first = F.row_number().over(Window.partitionBy("id", "sentence").orderBy("line", "pos")) == 1
         own = own.withColumn("keep", first if once else F.lit(True))
-        return own.groupBy("id").agg(F.slice(order(value), 1, cap).alias(name))
+        return own.groupBy("id").agg(F.slice(order(value), 1, cap).alias(name), F.count("*").alias(f"n_{name}"))
 
     d = listed("decision", F.struct(F.col("sentence").alias("decision"), F.col("speaker").alias("owner"), "status", F.col("at_ms").alias("atMs")), "decisions", 12, False)
     a = listed("action", F.struct(F.col("sentence").alias("task"), F.col("speaker").alias("owner"), "due", F.col("at_ms").alias("atMs")), "actions", 12, True)
     q = listed("question", F.col("sentence"), "questions", 8, True)
     t = topics(texts, 8, id_col, text_col).groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "term"))), lambda x: x["term"]).alias("topics"))
-    out = texts.select(F.col(id_col).alias("id")).distinct()
+    lines = texts.select(F.col(id_col).alias("id"), F.explode(F.split(text_col, "\n")).alias("x")).withColumn("x", trim(F.col("x")))
+    out = lines.groupBy("id").agg(F.count("*").alias("n_lines"), F.countDistinct(F.when(F.col("x").rlike(LINE), F.regexp_extract("x", LINE, 2))).alias("n_speakers"))
     for part in (t, d, a, q):
         out = out.join(part, "id", "left")
-    return out
+    n = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("string")
+    terms = F.array_join(F.slice(F.coalesce("topics", F.array().cast("array<string>")), 1, 5), ", ")
+    summary = F.concat(n("n_lines"), F.lit(" lines from "), n("n_speakers"), F.lit(" speaker(s). Recurring terms: "), terms, F.lit(". Cue phrases found "), n("n_decisions"), F.lit(" decision(s) and "), n("n_actions"), F.lit(" commitment(s)."))
+    return out.select("id", summary.alias("summary"), *CAPS)
 
 
 def read_brief(c: Column) -> Column:
@@ -97,17 +107,15 @@ def read_brief(c: Column) -> Column:
     return F.coalesce(read(fenced), read(braces), read(c))
 
 
-#: Most topics, decisions, actions and questions of a merged brief.
-CAPS = {"topics": 10, "decisions": 15, "actions": 15, "questions": 10}
-
-
-def merge_briefs(parts: DataFrame) -> DataFrame:
-    """One brief per id from those of its segments in order: each list without repeats (decisions and actions by their text) and cut to its cap.
+def merge_briefs(parts: DataFrame, local: bool = False) -> DataFrame:
+    """One brief per id from those of its segments in order: summaries one after another, each list without repeats (decisions and actions by their text) and cut to its cap.
 
-    parts: id, ordinal, and of topics, decisions, actions and questions those that there are.
+    local: the plain merge that stands in where a reply can't be read: decisions and actions as they come, only topics are cut.
+    parts: id, ordinal, and of summary, topics, decisions, actions and questions those that there are.
     """
     lists = [c for c in CAPS if c in parts.columns]
-    rows = F.array_sort(F.collect_list(F.struct("ordinal", *lists)))
+    said = ["summary"] if "summary" in parts.columns else []
+    rows = F.array_sort(F.collect_list(F.struct("ordinal", *said, *lists)))
     out = parts.groupBy("id").agg(rows.alias("r"))
     key = {"decisions": "decision", "actions": "task"}
 
@@ -116,15 +124,17 @@ def merge_briefs(parts: DataFrame) -> DataFrame:
         if c not in key:
             return F.array_distinct(all_)
         names = F.transform(all_, lambda x: x[key[c]])
-        return F.filter(all_, lambda x, i: F.array_position(names, x[key[c]]) == i + 1)
+        return all_ if local else F.filter(all_, lambda x, i: F.array_position(names, x[key[c]]) == i + 1)
 
-    return out.select("id", *[F.slice(once(c), 1, CAPS[c]).alias(c) for c in lists])
+    cut = lambda c: once(c) if local and c != "topics" else F.slice(once(c), 1, CAPS[c])
+    whole = F.array_join(F.filter(F.transform("r", lambda r: r["summary"]), lambda x: x != ""), " ") if said else None
+    return out.select("id", *([F.when(whole == "", F.lit("" if local else "No content extracted.")).otherwise(whole).alias("summary")] if said else []), *[cut(c).alias(c) for c in lists])
 
 
 def meeting_briefs(texts: DataFrame, budget: int = 3000, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """(id, segments, topics, decisions, actions, questions): the text in segments of ``budget`` tokens, a brief of each, and their merge."""
+    """(id, segments, generated_by, summary, topics, decisions, actions, questions): the text in segments of ``budget`` tokens, a brief of each, and their merge."""
     segments = segment_lines(texts, budget, id_col, text_col)
     named = segments.select(F.struct("id", "ordinal").alias("id"), "text")
-    parts = brief(named).select("id.id", "id.ordinal", *CAPS)
+    parts = brief(named).select("id.id", "id.ordinal", "summary", *CAPS)
     counts = segments.groupBy("id").agg(F.count("*").cast("int").alias("segments"))
-    return counts.join(merge_briefs(parts), "id")
+    return counts.withColumn("generated_by", F.lit(MADE_BY)).join(merge_briefs(parts), "id")

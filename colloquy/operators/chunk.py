@@ -1,4 +1,4 @@
-"""Turns to overlapping chunks of a token budget, as one fold per meeting inside Catalyst."""
+"""Turns to overlapping chunks of a token budget: one fold per meeting inside Catalyst, or pointer jumping for meetings of very many turns."""
 
 from __future__ import annotations
 
@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from colloquy.functions.text import distinct, estimate_tokens, plain_sentences
 from colloquy.functions.timecode import format_timecode
 from colloquy.settings import Settings
+from colloquy.sources.scratch import written
+
+#: Turns up to which a meeting's windows are one fold, which copies its state each turn.
+FOLDED = 2000
 
 
 def rendered(hours: bool = True):
@@ -35,8 +39,18 @@ def chunk_windows(turns: DataFrame, target: int = Settings.chunk_target_tokens,
     """(id, ordinal, first, last): windows over the ``n``-th costs of each meeting. turns: (id, n, cost), n from 0 without gaps.
 
     A window closes before the turn that would exceed ``target``; the next one carries the trailing turns that fit ``overlap``, unless
-    that is the whole window. The fold's state is the window's start; prefix sums give the costs.
+    that is the whole window. Meetings of over FOLDED turns take ``jumped_windows``, which gives the same.
     """
+    long = turns.groupBy("id").agg(F.count("*").alias("c")).where(F.col("c") > FOLDED).select("id")
+    if not long.take(1):
+        return folded_windows(turns, target, overlap)
+    long = written(long, "long")
+    many = jumped_windows(turns.join(long, "id", "left_semi"), target, overlap)
+    return folded_windows(turns.join(long, "id", "left_anti"), target, overlap).unionByName(many)
+
+
+def folded_windows(turns: DataFrame, target: int, overlap: int) -> DataFrame:
+    """The windows as one fold per meeting. Its state is the window's start; prefix sums give the costs."""
     costs = F.transform(F.array_sort(F.collect_list(F.struct("n", "cost"))), lambda x: x["cost"])
     meetings = turns.groupBy("id").agg(costs.alias("c"))
     sums = F.aggregate("c", F.array(F.lit(0).cast("long")), lambda a, x: F.array_append(a, F.element_at(a, -1) + x))
@@ -47,7 +61,7 @@ def chunk_windows(turns: DataFrame, target: int = Settings.chunk_target_tokens,
         s, pre = state["s"], F.col("pre")
         full = (i > s) & (F.get(pre, i + 1) - F.get(pre, s) > target)
         fits = F.filter(F.sequence(s, i), lambda k: F.get(pre, i) - F.get(pre, k) <= overlap)
-        first = F.get(fits, F.lit(0))
+        first = F.coalesce(F.get(fits, F.lit(0)), i)
         carry = F.when(first == s, i).otherwise(first)
         return F.when(full, F.struct(carry.alias("s"), F.array_append(state["done"], F.struct(s.alias("first"), (i - 1).alias("last"))).alias("done"))).otherwise(state)
 
@@ -56,6 +70,43 @@ def chunk_windows(turns: DataFrame, target: int = Settings.chunk_target_tokens,
     return meetings.select("id", F.posexplode(folded).alias("ordinal", "w")).select("id", "ordinal", "w.first", "w.last")
 
 
+def window_steps(turns: DataFrame, target: int, overlap: int) -> DataFrame:
+    """(id, node, first, last, next): the windows that may be, and which one follows; null after the last turn.
+
+    The turn ``i`` that a window has no room for opens the next one, alone (node 2 i) or behind the turns that it carries (node 2 i + 1). How far a
+    window reaches and what it carries are as-of lookups in the running sums, made by sorting marks and questions together.
+    """
+    w = Window.partitionBy("id").orderBy("n")
+    sums = turns.select("id", F.col("n").cast("int").alias("n"), F.sum("cost").over(w).alias("hi"), (F.sum("cost").over(w) - F.col("cost")).alias("lo"))
+    row = lambda at, kind, mark, ask: F.struct(at.alias("at"), F.lit(kind).alias("kind"), mark.cast("int").alias("mark"), ask.cast("int").alias("ask"))
+    none = F.lit(None).cast("int")
+    # the last turn whose end is within the target of the start; marks come before questions of equal sum
+    ends = sums.select("id", F.explode(F.array(row(F.col("hi"), 0, F.col("n"), none), row(F.col("lo") + target, 1, none, F.col("n")))).alias("x")).select("id", "x.*")
+    far = ends.withColumn("far", F.max("mark").over(Window.partitionBy("id").orderBy("at", "kind"))).where("ask is not null").select("id", F.col("ask").alias("n"), F.greatest("far", "ask").alias("far"))
+    # the first turn from whose start to a turn's start no more than the overlap lies; in falling order, marks before questions of equal sum
+    starts = sums.select("id", F.explode(F.array(row(F.col("lo"), 1, F.col("n"), none), row(F.col("lo") - overlap, 0, none, F.col("n")))).alias("x")).select("id", "x.*")
+    after = Window.partitionBy("id").orderBy(F.desc("at"), F.desc("kind"))
+    back = starts.withColumn("back", F.min("mark").over(after)).where("ask is not null").select("id", F.col("ask").alias("n"), F.least(F.coalesce("back", "ask"), "ask").alias("back"))
+    known = written(far.join(back, ["id", "n"]), "reach")
+    alone = known.select("id", (2 * F.col("n")).alias("node"), F.col("n").alias("first"), F.col("far").alias("last"))
+    carried = known.select("id", F.col("n").alias("i"), F.col("back").alias("n")).join(far, ["id", "n"]).select("id", (2 * F.col("i") + 1).alias("node"), F.col("n").alias("first"), F.greatest("i", "far").alias("last"))
+    each = alone.unionByName(carried).withColumn("n", F.col("last") + 1)
+    return each.join(known.select("id", "n", "back"), ["id", "n"], "left").select("id", "node", "first", "last", F.when(F.col("back") <= F.col("first"), 2 * F.col("n")).when(F.col("back").isNotNull(), 2 * F.col("n") + 1).alias("next"))
+
+
+def jumped_windows(turns: DataFrame, target: int, overlap: int) -> DataFrame:
+    """The windows by pointer jumping: those that the first one reaches, found by doubling each one's step; as many rounds as the logarithm of the windows."""
+    steps = written(window_steps(turns, target, overlap), "steps")
+    jump = steps.where("next is not null").select("id", "node", F.col("next").alias("to"))
+    reached = steps.where("node = 0").select("id", "node")
+    while jump.take(1):
+        more = reached.join(jump, ["id", "node"]).select("id", F.col("to").alias("node"))
+        reached = written(reached.union(more), "reached")
+        jump = written(jump.join(jump.select("id", F.col("node").alias("to"), F.col("to").alias("then")), ["id", "to"]).select("id", "node", F.col("then").alias("to")), "jump")
+    place = F.row_number().over(Window.partitionBy("id").orderBy("node")) - 1
+    return reached.join(steps, ["id", "node"]).select("id", place.alias("ordinal"), "first", "last")
+
+
 def chunk_transcript(turns: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """(id, ordinal, text, speakers, start_ms, end_ms, first_turn_index, last_turn_index, token_count). turns: id, index, speaker, start_ms, end_ms, text."""
     pieces = split_long_turns(turns, settings.chunk_max_tokens).withColumn("line", rendered()).withColumn("cost", estimate_tokens(F.col("line")))

@@ -47,10 +47,17 @@ def upper_median(df: DataFrame, by: list[str], value: str) -> DataFrame:
 
 
 def gate_separation(df: DataFrame, answerable, signals: list[str]) -> DataFrame:
-    """(signal, least_answerable, most_refusable, separable) for each signal column."""
+    """(signal, least_answerable, most_refusable, separable, overlap) for each signal column; overlap: by how much the two kinds lie across each other."""
     named = df.select(answerable.alias("ok"), F.explode(F.create_map(*[x for s in signals for x in (F.lit(s), F.col(s).cast("double"))])).alias("signal", "v"))
     g = named.groupBy("signal").agg(F.min(F.when(F.col("ok"), F.col("v"))).alias("least_answerable"), F.max(F.when(~F.col("ok"), F.col("v"))).alias("most_refusable"))
-    return g.withColumn("separable", F.coalesce(F.col("least_answerable") > F.col("most_refusable"), F.lit(True)))
+    apart = F.coalesce(F.col("least_answerable") > F.col("most_refusable"), F.lit(True))
+    return g.withColumn("separable", apart).withColumn("overlap", F.when(apart, 0.0).otherwise(F.col("most_refusable") - F.col("least_answerable")))
+
+
+def gate_counts(df: DataFrame, answerable, gated) -> DataFrame:
+    """One row: refusable, deferred (of these, let through to the model), answerable, wrongly_refused (of these, refused by the gate)."""
+    n = lambda c: F.count_if(c)
+    return df.agg(n(~answerable).alias("refusable"), n(~answerable & ~gated).alias("deferred"), n(answerable).alias("answerable"), n(answerable & gated).alias("wrongly_refused"))
 
 
 def latency_share(stages: DataFrame, total_by: list[str]) -> DataFrame:

@@ -10,16 +10,19 @@ from functools import lru_cache, reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from colloquy.functions.text import content_terms, simple_terms, tokenize_words
+from colloquy.functions.text import STOPWORDS, content_terms, simple_terms, tokenize_words
 from colloquy.operators.postings import top
 
 #: Questions whose vectors go to the workers at a time, and cells of a product of questions and vectors.
 BROADCAST_QUERIES, CELLS = 8_000, 1 << 22
 DIMENSIONS = 512
+#: What ``tokenize_words`` keeps of a text, and where it splits.
+_KEPT, _SPACES = regex.compile(r"[\p{L}\p{N}\t\n\x0B\f\r '-]"), re.compile(r"[\t\n\x0B\f\r ]+")
 
 
 def phrases(terms, analyzer=simple_terms):
@@ -147,6 +150,20 @@ def hash_embed(texts: DataFrame, dimensions: int = DIMENSIONS, id_col: str = "id
     return texts.select(F.col(id_col).alias("id"), tokenize_words(F.col(text_col)).alias("w")).mapInArrow(work, f"id {kind}, index int, value double")
 
 
+def embed_texts(texts: list[str], dimensions: int = DIMENSIONS) -> list[list[float]]:
+    """The same for a few texts in a task, as dense lists."""
+    out = np.zeros((len(texts), dimensions), np.float32)
+    for k, (at, value) in enumerate(_cells([plain_words(t) for t in texts], dimensions)):
+        out[k, at] = value
+    return out.tolist()
+
+
+def plain_words(text: str) -> list[str]:
+    """``tokenize_words`` of one text."""
+    low = "".join(c if _KEPT.match(c) else " " for c in text.lower())
+    return [w for w in _SPACES.split(low) if len(w) > 1 and w not in STOPWORDS]
+
+
 def hash_vectors(texts: DataFrame, dimensions: int = DIMENSIONS, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """``texts`` with vec: the same as an array of all dimensions."""
 

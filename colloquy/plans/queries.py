@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from colloquy.functions import guardrails as guard
 from colloquy.functions import text as t
 from colloquy.functions import timecode as tc
-from colloquy.operators import answer, brief, chunk, evaluate, parse, postings, rank, search
+from colloquy.operators import answer, brief, cells, chunk, evaluate, parse, postings, rank, search
 from colloquy.plans.retrieve import analysed, indexed, retrieve
 from colloquy.settings import Settings
 from colloquy.sources.scratch import written
@@ -265,6 +265,14 @@ def dense_topk(spark, sf_dir):
     return r.select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+@query(_dense_sql(""))
+def dense_cells(spark, sf_dir):
+    """The rows of dense_topk, with cells skipped whose bound rules them out."""
+    v = _vectors(spark, sf_dir)
+    r, _ = cells.search_cells(cells.celled(v), v.where("id % 20 = 0").select(F.col("id").alias("query_id"), "vec"), S.dense_k, S.min_dense_similarity)
+    return r.select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 @query(_dense_sql("AND v.label IN (1, 2, 3)"))
 def dense_scoped(spark, sf_dir):
     v = _vectors(spark, sf_dir)
@@ -286,12 +294,12 @@ def floor_guaranteed(spark, sf_dir):
     return rank.guaranteed(rank.fuse_ranks(*_lists(spark, sf_dir))).select("query_id", "id", F.col("turn").cast("long").alias("turn"))
 
 
-_SELECTED = "SELECT conv_id // 10 AS query_id, conv_id AS meeting_id, turn AS ordinal, row_number() OVER (PARTITION BY conv_id // 10 ORDER BY length(text) DESC, conv_id, turn) AS place FROM conversations WHERE turn % 2 = 0"
+_SELECTED = "SELECT conv_id // 10 AS query_id, conv_id AS meeting_id, turn AS ordinal, row_number() OVER (PARTITION BY conv_id // 10 ORDER BY length(text) DESC, conv_id, turn) AS place FROM conversations WHERE role = 'user'"
 
 
 def _selected(spark, sf_dir):
-    """Every other turn of ten meetings, the longest first, as what a question about them selects."""
-    c = load(spark, sf_dir, "conversations").where("turn % 2 = 0").withColumn("query_id", F.expr("conv_id div 10"))
+    """What the users said in ten meetings, the longest first, as what a question about them selects."""
+    c = load(spark, sf_dir, "conversations").where("role = 'user'").withColumn("query_id", F.expr("conv_id div 10"))
     w = Window.partitionBy("query_id").orderBy(F.desc(F.length("text")), "conv_id", "turn")
     return c.withColumn("place", F.row_number().over(w)).select("query_id", F.col("conv_id").alias("meeting_id"), F.col("turn").alias("ordinal"), "place")
 
@@ -546,23 +554,31 @@ def eval_summary(spark, sf_dir):
     return evaluate.summary(_outcomes(spark, sf_dir))
 
 
-@query("WITH s AS (SELECT quality = 1 AS ok, length(text)::DOUBLE AS chars, len(string_split(text, chr(10)))::DOUBLE AS lines FROM labels JOIN documents USING (doc_id)), u AS (SELECT ok, 'chars' AS signal, chars AS v FROM s UNION ALL SELECT ok, 'lines', lines FROM s) SELECT signal, min(v) FILTER (WHERE ok) AS least_answerable, max(v) FILTER (WHERE NOT ok) AS most_refusable, coalesce(min(v) FILTER (WHERE ok) > max(v) FILTER (WHERE NOT ok), true) AS separable FROM u GROUP BY signal")
+@query("WITH s AS (SELECT quality = 1 AS ok, length(text)::DOUBLE AS chars, len(string_split(text, chr(10)))::DOUBLE AS lines FROM labels JOIN documents USING (doc_id)), u AS (SELECT ok, 'chars' AS signal, chars AS v FROM s UNION ALL SELECT ok, 'lines', lines FROM s) SELECT signal, min(v) FILTER (WHERE ok) AS least_answerable, max(v) FILTER (WHERE NOT ok) AS most_refusable, coalesce(min(v) FILTER (WHERE ok) > max(v) FILTER (WHERE NOT ok), true) AS separable, coalesce(greatest(max(v) FILTER (WHERE NOT ok) - min(v) FILTER (WHERE ok), 0), 0) AS overlap FROM u GROUP BY signal")
 def gate_separation(spark, sf_dir):
     d = load(spark, sf_dir, "labels").join(load(spark, sf_dir, "documents"), "doc_id").select("quality", F.length("text").alias("chars"), F.size(F.split("text", "\n")).alias("lines"))
     return evaluate.gate_separation(d, F.col("quality") == 1, ["chars", "lines"])
 
 
+@query(f"WITH {_BM25}, g AS (SELECT d.doc_id, l.quality = 1 AS ok, count(q.query_id) = 0 AS gated FROM labels l JOIN documents d USING (doc_id) LEFT JOIN dense q ON q.id = d.doc_id WHERE quality IS NOT NULL GROUP BY ALL) SELECT count(*) FILTER (WHERE NOT ok) AS refusable, count(*) FILTER (WHERE NOT ok AND NOT gated) AS deferred, count(*) FILTER (WHERE ok) AS answerable, count(*) FILTER (WHERE ok AND gated) AS wrongly_refused FROM g")
+def gate_counts(spark, sf_dir):
+    """A labelled document that no item's list holds counts as gated."""
+    held = _lists(spark, sf_dir)[0].select(F.col("id").alias("doc_id")).distinct().withColumn("hit", F.lit(True))
+    d = load(spark, sf_dir, "labels").where("quality is not null").join(load(spark, sf_dir, "documents").select("doc_id"), "doc_id").join(held, "doc_id", "left")
+    return evaluate.gate_counts(d.dropDuplicates(["doc_id", "quality"]), F.col("quality") == 1, F.col("hit").isNull())
+
+
 @query("SELECT count(DISTINCT conv_id) AS meetings, CAST(count(*) AS BIGINT) AS turns, CAST(sum(ceil(length(text) / 4.0)) AS BIGINT) AS tokens FROM conversations")
 def corpus_status(spark, sf_dir):
     return evaluate.corpus_status(turns(spark, sf_dir), t.estimate_tokens(F.col("text")))
 
 
-@query("SELECT o_orderkey, o_custkey, CAST(row_number() OVER (ORDER BY coalesce(CASE WHEN o_orderkey % 3 > 0 THEN strftime(o_orderdate, '%Y-%m-%d') END, '1990-01-01') DESC, o_orderkey) AS BIGINT) AS place FROM orders QUALIFY place <= 100")
+@query("SELECT o_orderkey, o_custkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY coalesce(CASE WHEN o_orderkey % 3 > 0 THEN strftime(o_orderdate, '%Y-%m-%d') END, '1990-01-01') DESC, o_orderkey) AS BIGINT) AS place FROM orders")
 def list_meetings(spark, sf_dir):
+    """All orders as meetings, each customer's list newest first."""
     o = load(spark, sf_dir, "orders").withColumn("date", F.when(F.col("o_orderkey") % 3 > 0, F.date_format("o_orderdate", "yyyy-MM-dd")))
     o = o.select(F.col("o_orderkey").alias("id"), "o_custkey", "date", F.lit("1990-01-01").alias("created_at"))
-    best = o.orderBy(*newest_first(o)).limit(100)
-    return best.select(F.col("id").alias("o_orderkey"), "o_custkey", F.row_number().over(Window.orderBy(*newest_first(o))).cast("long").alias("place"))
+    return o.select(F.col("id").alias("o_orderkey"), "o_custkey", F.row_number().over(Window.partitionBy("o_custkey").orderBy(*newest_first(o))).cast("long").alias("place"))
 
 
 @query("SELECT conv_id, turn FROM conversations WHERE conv_id NOT IN (SELECT conv_id FROM conversations WHERE turn = 0 AND contains(text, 'the'))")
@@ -603,7 +619,7 @@ def brief_merge(spark, sf_dir):
 
 
 @query("""
-WITH p AS (SELECT conv_id AS id, turn AS ordinal, role AS topic, role || ' ' || (turn % 3)::VARCHAR AS decision, 'task ' || (turn % 2)::VARCHAR AS task, left(text, 20) AS question FROM conversations),
+WITH p AS (SELECT conv_id AS id, turn AS ordinal, role AS topic, role || ' ' || (turn % 3)::VARCHAR AS decision, 'task ' || (turn % 2)::VARCHAR AS task, text AS question FROM conversations),
 f AS (SELECT id, 'topics' AS list, topic AS v, min(ordinal) AS first FROM p GROUP BY ALL UNION ALL SELECT id, 'decisions', decision, min(ordinal) FROM p GROUP BY ALL
   UNION ALL SELECT id, 'actions', task, min(ordinal) FROM p GROUP BY ALL UNION ALL SELECT id, 'questions', question, min(ordinal) FROM p GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY id, list ORDER BY first) AS place FROM f)
@@ -615,7 +631,7 @@ def brief_merge_lists(spark, sf_dir):
     named = lambda x, k: F.array(F.struct(x.alias(k)))
     parts = c.select(
         F.col("conv_id").alias("id"), F.col("turn").alias("ordinal"), F.array("role").alias("topics"), named(F.concat_ws(" ", "role", (F.col("turn") % 3).cast("string")), "decision").alias("decisions"),
-        named(F.concat(F.lit("task "), (F.col("turn") % 2).cast("string")), "task").alias("actions"), F.array(F.left("text", F.lit(20))).alias("questions"),
+        named(F.concat(F.lit("task "), (F.col("turn") % 2).cast("string")), "task").alias("actions"), F.array("text").alias("questions"),
     )
     m = brief.merge_briefs(parts)
     join = lambda x, k: F.array_join(F.transform(x, lambda y: y[k]), "|").alias(x)

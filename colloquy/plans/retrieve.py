@@ -9,7 +9,7 @@ from colloquy.functions.text import content_terms, estimate_tokens
 from colloquy.operators import postings, rank, search
 from colloquy.operators.chunk import header
 from colloquy.settings import Settings
-from colloquy.sources.scratch import written
+from colloquy.sources.scratch import Stages
 
 #: Columns that ``analysed`` adds to chunks; stored with them, no question embeds the texts again.
 ANALYSED = ("vec",)
@@ -28,14 +28,15 @@ def indexed(chunks: DataFrame) -> DataFrame:
     return postings.blocks(words)
 
 
-def retrieve(chunks: DataFrame, meetings: DataFrame, questions: DataFrame, settings: Settings = Settings(), scope: DataFrame | None = None, index: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def retrieve(chunks: DataFrame, meetings: DataFrame, questions: DataFrame, settings: Settings = Settings(), scope: DataFrame | None = None, index: DataFrame | None = None, stages: Stages | None = None) -> tuple[DataFrame, DataFrame]:
     """Sources and gate of each question.
 
     chunks: chunk_id, meeting_id, ordinal, text, speakers, start_ms, end_ms, token_count, and vec where it is stored; meetings: meeting_id, title, date;
     questions: query_id, text; scope: (query_id, meeting_id), for questions about some meetings only, while those without a row ask all; index: as ``indexed`` gives
-    it, where it is stored. Word statistics are those of the whole corpus either way.
+    it, where it is stored; stages: gets the time and the rows of each step. Word statistics are those of the whole corpus either way.
     Gives (query_id, label, chunk_id, via_neighbour, dense_rank, lexical_rank, fused, meeting columns, chunk columns) and (query_id, max_dense, coverage, gated).
     """
+    written = (stages or Stages()).written
     asked = written(search.hash_vectors(questions.select("query_id", "text")), "asked")
     held = (chunks if set(ANALYSED) <= set(chunks.columns) else written(analysed(chunks, meetings), "analysed")).withColumnRenamed("chunk_id", "id").select("id", "meeting_id", *ANALYSED)
     chunks = chunks.drop(*ANALYSED)

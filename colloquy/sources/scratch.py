@@ -5,9 +5,11 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -31,3 +33,28 @@ def written(df: DataFrame, label: str) -> DataFrame:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def files_of(spark: SparkSession, path: str) -> list[str]:
+    """The data files of a folder, which need not exist."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in fs.listStatus(at)] if fs.exists(at) else []
+    return [n for n in names if not n.startswith(("_", "."))]
+
+
+class Stages:
+    """Steps of a plan that are written, each with its milliseconds and the rows that it gave; ``rows`` holds (stage, ms, detail)."""
+
+    def __init__(self) -> None:
+        self.rows: list[tuple[str, int, dict]] = []
+
+    def written(self, df: DataFrame, stage: str) -> DataFrame:
+        seen, began = Observation(), time.monotonic()
+        try:
+            out = written(df.observe(seen, F.count(F.lit(1)).alias("rows")), stage)
+        except Exception:
+            self.rows.append((stage, round((time.monotonic() - began) * 1000), {"failed": True}))
+            raise
+        self.rows.append((stage, round((time.monotonic() - began) * 1000), {"rows": seen.get["rows"]}))
+        return out

@@ -61,10 +61,10 @@ def ingest(store: Store, files: DataFrame, settings: Settings = Settings()) -> i
     )
 
 
-def ingest_stream(spark: SparkSession, path: str, store: Store, checkpoint: str, settings: Settings = Settings()) -> StreamingQuery:
-    """Follow a folder of transcript files. A batch that is run again finds its meetings stored and adds nothing."""
+def ingest_stream(spark: SparkSession, path: str, store: Store, checkpoint: str, settings: Settings = Settings(), most: int = 1000) -> StreamingQuery:
+    """Follow a folder of transcript files, ``most`` a batch; bad files are rejected in the batch that met them. A batch that is run again finds its meetings stored and adds nothing."""
     schema = "path string, modificationTime timestamp, length long, content binary"
-    files = spark.readStream.format("binaryFile").schema(schema).load(path)
+    files = spark.readStream.format("binaryFile").schema(schema).option("maxFilesPerTrigger", most).load(path)
     files = checked_files(files)
     return files.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, _: ingest(store, df, settings)).trigger(availableNow=True).start()
 

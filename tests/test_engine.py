@@ -81,6 +81,33 @@ def test_scoped_and_free_questions_together(spark, tmp_path):
     assert engine.meeting(ids["inc.txt"]).first().source == "inc.txt"
 
 
+def test_traces_hold_stages_and_failures_become_events(spark, tmp_path, monkeypatch):
+    engine = Engine(spark, str(tmp_path / "store"))
+    engine.ingest(spark.createDataFrame([("2026-01-15-review.txt", REVIEW)], "filename string, content string"))
+    asked = spark.createDataFrame([("a", "Why did we pick Postgres for the ledger?"), ("b", "zzyzx?")], "query_id string, text string")
+    events = {}
+    for r in engine.events(asked).orderBy("query_id", "seq").collect():
+        events.setdefault(r.query_id, []).append(json.loads(r.event))
+    done = events["a"][-1]
+    assert done["type"] == "done" and events["b"][-1]["type"] == "done"
+    trace = json.loads(engine.trace(done["data"]["traceId"]).first().payload)
+    assert {"understand", "dense", "opened", "gate", "sources", "answer"} <= {s["stage"] for s in trace["stages"]}
+    assert all(s["ms"] >= 0 and "rows" in s["detail"] for s in trace["stages"])
+    assert trace["sources"] and trace["models"] == {"chat": "deterministic-extractive", "embedding": "hashed-ngrams"}
+    rows = engine.latency().selectExpr("trace_id", "stage", "ms", "share", "variant_get(detail, '$.rows', 'long') AS n").collect()
+    own = [r for r in rows if r.trace_id == done["data"]["traceId"]]
+    assert {r.stage: r.n for r in own}["understand"] == 2 and len(own) == len(trace["stages"])
+    total = max(1, sum(r.ms for r in own))
+    assert all(r.share == max(2, int(r.ms / total * 100 + 0.5)) for r in own)
+
+    def broken(*_):
+        raise ValueError("the index is gone\nmore")
+
+    monkeypatch.setattr(engine, "retrieve", broken)
+    got = [(r.query_id, r.seq, json.loads(r.event)) for r in engine.events(asked).collect()]
+    assert sorted(got, key=str) == [(q, 0, {"type": "error", "data": {"message": "the index is gone"}}) for q in "ab"]
+
+
 def test_phrases_match_words_in_a_row(spark):
     from colloquy.operators import postings, search
     from colloquy.functions.text import simple_terms

@@ -37,7 +37,10 @@ def test_stream(spark, tmp_path):
     for k, text in enumerate(["Ann: one two", "Bo: three four", "Ann: one two"]):
         put(tmp_path / "in", f"f{k}.txt", text)
         ingest_stream(spark, str(tmp_path / "in"), store, str(tmp_path / "cp")).awaitTermination(120)
+    put(tmp_path / "in", "bad.txt", b"\xff\xfe\xff")
+    ingest_stream(spark, str(tmp_path / "in"), store, str(tmp_path / "cp"), most=1).awaitTermination(120)
     assert store.table("meetings").count() == 2  # the third repeats the first
+    assert [(r.filename, r.error) for r in store.table("rejected").collect()] == [("bad.txt", "file is not UTF-8")]
 
 
 def test_requests(spark):
