@@ -1,8 +1,8 @@
 """Questions as a stream: each conversation's past questions are kept as state, and every micro-batch is answered as one plan.
 
-A question gets the last HISTORY questions that its conversation asked before it, by time of asking, whatever the order of arrival. One that is older
-than all that a full state still holds can't be given its history and becomes an error event. Conversations that fall silent for IDLE_MS are forgotten by a
-timer. A batch that is run again writes the same folder, so no event is lost or doubled.
+A question gets the last HISTORY questions that its conversation asked before it, by time of asking, whatever the order of arrival. One so
+late that a full state no longer holds its history becomes an error event. Conversations that fall silent for IDLE_MS are forgotten by a
+timer, which fires with the next batch that has data. A batch that is run again writes the same folder, so no event is lost or doubled.
 """
 
 from __future__ import annotations
@@ -14,50 +14,38 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from colloquy.engine import Engine
 from colloquy.operators import answer
 from colloquy.sources.scratch import written
 
-#: Questions kept per conversation, and the silence after which they go.
-HISTORY, IDLE_MS = 6, 24 * 3600 * 1000
+#: Questions of a history, those kept per conversation, so that late ones find theirs, and the silence after which they go.
+HISTORY, KEPT, IDLE_MS = 6, 18, 24 * 3600 * 1000
 TURNS = "array<struct<role:string,content:string>>"
 SHAPE = f"conversation_id string, query_id string, text string, history {TURNS}, error string"
 LATE = "The question came after its conversation's history was gone."
 
 
-class Conversation(StatefulProcessor):
-    """The questions of one conversation, in the order of asking."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.turns = handle.getListState("turns", "asked_at long, query_id string, text string")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows))
-        new = sorted(zip(new["asked_at"].tolist(), new["query_id"].tolist(), new["text"].tolist()))
-        held = sorted(tuple(t) for t in self.turns.get()) if self.turns.exists() else []
-        full, out = len(held) > HISTORY, []
-        for at, query_id, text in new:
-            late = full and (at, query_id) < held[0][:2]
-            before = [t for t in held if t[:2] < (at, query_id)][-HISTORY:]
-            out.append((key[0], query_id, text, [{"role": "user", "content": t[2]} for t in before], LATE if late else None))
-            if not late:
-                held = sorted([*held, (at, query_id, text)])
-        # one more than a history: a question between the oldest two kept still has all it needs
-        self.turns.put(held[-HISTORY - 1 :])
-        for t in self.handle.listTimers():
-            self.handle.deleteTimer(t[0] if isinstance(t, tuple) else t)
-        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + IDLE_MS)
-        yield pd.DataFrame(out, columns=["conversation_id", "query_id", "text", "history", "error"])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.turns.clear()
-        yield pd.DataFrame({c: [] for c in ("conversation_id", "query_id", "text", "history", "error")})
-
-    def close(self) -> None:
-        pass
+def remember(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """The new questions of one conversation with their history, in the order of asking. The state holds the last questions as (asked_at, query_id, text) lists."""
+    if state.hasTimedOut:
+        state.remove()
+        return
+    new = pd.concat(list(frames))
+    new = sorted(zip(new["asked_at"].tolist(), new["query_id"].tolist(), new["text"].tolist()))
+    held = list(zip(*state.get)) if state.exists else []
+    full, out = len(held) >= KEPT, []
+    for at, query_id, text in new:
+        before = [t for t in held if t[:2] < (at, query_id)][-HISTORY:]
+        late = full and len(before) < HISTORY  # what came before may have gone
+        out.append((key[0], query_id, text, [{"role": "user", "content": t[2]} for t in before], LATE if late else None))
+        if not late:
+            held = sorted([*held, (at, query_id, text)])
+    kept = held[-KEPT:]
+    state.update(tuple([t[k] for t in kept] for k in range(3)))
+    state.setTimeoutDuration(IDLE_MS)
+    yield pd.DataFrame(out, columns=["conversation_id", "query_id", "text", "history", "error"])
 
 
 def with_history(questions: DataFrame) -> DataFrame:
@@ -68,7 +56,7 @@ def with_history(questions: DataFrame) -> DataFrame:
         turn = F.struct(F.lit("user").alias("role"), F.col("text").alias("content"))
         return asked.withColumn("history", F.collect_list(turn).over(before)).withColumn("error", F.lit(None).cast("string")).drop("asked_at")
     keyed = asked.withColumn("asked_at", F.unix_micros("asked_at")).groupBy("conversation_id")
-    return keyed.transformWithStateInPandas(statefulProcessor=Conversation(), outputStructType=SHAPE, outputMode="Append", timeMode="ProcessingTime")
+    return keyed.applyInPandasWithState(remember, SHAPE, "asked_at array<long>, query_id array<string>, text array<string>", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def events(engine: Engine, asked: DataFrame) -> DataFrame:
@@ -80,15 +68,15 @@ def events(engine: Engine, asked: DataFrame) -> DataFrame:
 
 
 @contextmanager
-def _state_store(spark: SparkSession):
-    """The store that keyed list state needs, set while a query starts: it keeps the settings of that moment."""
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+def data_batches_only(spark: SparkSession):
+    """While a query starts, which keeps the settings of that moment: timers alone make no batch, else a run over what is available would never end."""
+    key = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
     try:
         yield
     finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+        spark.conf.set(key, before)
 
 
 def answer_stream(engine: Engine, questions: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
@@ -98,5 +86,5 @@ def answer_stream(engine: Engine, questions: DataFrame, path: str, checkpoint: s
         found = events(engine, batch)
         found.sortWithinPartitions("query_id", "seq").select("query_id", "seq", "event").write.mode("overwrite").json(f"{path}/batch={n}")
 
-    with _state_store(engine.spark):
+    with data_batches_only(engine.spark):
         return with_history(questions).writeStream.option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start()

@@ -47,19 +47,17 @@ def test_stream_and_batch_give_the_same_events(spark, engine, tmp_path):
     assert any("postgres" in e.lower() and '"meta"' in e for q, _, e in got if q == "q4")  # the history made the question stand alone
 
 
-def test_too_late_and_long_conversations(spark, engine, tmp_path, monkeypatch):
-    monkeypatch.setattr(answers, "HISTORY", 2)
-    asked = [[(f"q{i}", i) for i in range(4, 9)], [("q0", 0), ("q7b", 7)]]
+def test_too_late_and_long_conversations(spark, tmp_path):
+    asked = [[(f"q{i}", i) for i in range(10, 40)], [("q0", 0), ("q24b", 24), ("q30b", 30)]]
     found = {}
     for rows in asked:
         df = spark.createDataFrame([("c", q, f"text {q}", at) for q, at in rows], "conversation_id string, query_id string, text string, at int")
         df.select("conversation_id", "query_id", "text", F.timestamp_seconds("at").alias("asked_at")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        with answers._state_store(spark):
-            stream = answers.with_history(spark.readStream.schema(KIND).parquet(str(tmp_path / "in")))
-            stream.writeStream.option("checkpointLocation", str(tmp_path / "cp")).foreachBatch(lambda b, _: found.update({r.query_id: r for r in b.collect()})).trigger(availableNow=True).start().awaitTermination(120)
+        stream = answers.with_history(spark.readStream.schema(KIND).parquet(str(tmp_path / "in")))
+        with answers.data_batches_only(spark):
+            query = stream.writeStream.option("checkpointLocation", str(tmp_path / "cp")).foreachBatch(lambda b, _: found.update({r.query_id: r for r in b.collect()})).trigger(availableNow=True).start()
+        query.awaitTermination(120)
     past = {q: [t.content for t in r.history] for q, r in found.items()}
-    assert past["q4"] == [] and past["q5"] == ["text q4"] and past["q8"] == ["text q6", "text q7"]
-    assert past["q7b"] == ["text q6", "text q7"] and found["q7b"].error is None
-    assert found["q0"].error == answers.LATE
-    event = answers.events(engine, spark.createDataFrame([found["q0"]], answers.SHAPE)).collect()
-    assert [json.loads(r.event)["type"] for r in event] == ["error"]
+    assert past["q10"] == [] and past["q11"] == ["text q10"] and past["q39"] == [f"text q{i}" for i in range(33, 39)]
+    assert past["q30b"] == [f"text q{i}" for i in range(25, 31)] and found["q30b"].error is None
+    assert found["q0"].error == found["q24b"].error == answers.LATE and set(found) == {q for rows in asked for q, _ in rows}
