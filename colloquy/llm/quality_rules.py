@@ -1,9 +1,10 @@
 """Quality rules: fixed rules, then robust multivariate outliers among the texts that pass them.
 
 Each text gives a vector of transformed statistics. Per (lang, source) group a minimum-covariance-
-determinant estimate is reached by concentration steps: from medians and median deviations, the 75 %
-of texts nearest to the centre give the next mean and covariance, STEPS times. Texts at a squared
-Mahalanobis distance over CUTOFF are rejected. Vectors are fixed-point integers, so group sums are exact and don't depend
+determinant estimate is reached by concentration steps: the 75 % of texts nearest to the centre give the
+next mean and covariance, STEPS times. They start three times, from medians and median deviations, from the half of the
+texts that these put nearest, and from all texts, and of the three ends a group takes that of least
+determinant. Texts at a squared Mahalanobis distance over CUTOFF are rejected. Vectors are fixed-point integers, so group sums are exact and don't depend
 on the order of rows; subset borders come from exact histograms of distance bins, which
 aggregate before the shuffle, so a hot group costs no more than its bins. Groups under
 MIN_GROUP texts pool by language, then altogether; pools still under MIN_GROUP reject nothing.
@@ -23,7 +24,9 @@ from colloquy.llm.common import SPACE, let, lookup, materialise
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
-STEPS = 3
+STEPS = 5
+#: Starts of the concentration steps, and decimals of a log determinant that tell ends apart; of equal ones the first start's is taken.
+STARTS, DIGITS = 3, 6
 MIN_GROUP = 50
 #: Fixed-point units of the statistics and the least standard deviation of each in those units.
 UNIT = 1000
@@ -139,8 +142,15 @@ def _moments(rows: DataFrame) -> DataFrame:
     )
 
 
+def _nearest_moments(rows: DataFrame, now: DataFrame, share: float) -> DataFrame:
+    """Mean and factor of the ``share`` of each group's texts that the estimates ``now`` put nearest."""
+    far = distances(lookup(rows, now, ["g"])).withColumn("bin", F.floor(BINS * F.log2(1 + F.col("d2"))).cast("long"))
+    border = materialise(_quantile(far.groupBy("g", "bin").agg(F.count("*").alias("n")), "bin", share, "border"), "border")
+    return _factor(_moments(lookup(far.select("g", "bin", *NAMES), border, ["g"]).where("bin <= border")))
+
+
 def robust_estimates(rows: DataFrame) -> DataFrame:
-    """Per group g: m_i and l_i_j of the concentrated subset. rows: g and the vector, materialised."""
+    """Per group g: n, m_i and l_i_j of the concentrated subset of least determinant. rows: g and the vector, materialised."""
     k = range(len(NAMES))
     start = None
     for i, name in enumerate(NAMES):
@@ -151,12 +161,20 @@ def robust_estimates(rows: DataFrame) -> DataFrame:
     for i, name in enumerate(NAMES):
         spread = _quantile(centred.groupBy("g", F.abs(F.col(name) - F.col(f"m_{i}")).alias("v")).agg(F.count("*").alias("n")), "v", 0.5, f"l_{i}_{i}")
         start = start.join(spread.withColumn(f"l_{i}_{i}", F.greatest(1.4826 * F.col(f"l_{i}_{i}"), F.lit(float(FLOORS[name])))), "g")
-    now = materialise(start.select("*", *[F.lit(0.0).alias(f"l_{i}_{j}") for i in k for j in range(i)]), "start")
+    shape = ["g", *[f"m_{i}" for i in k], *[f"l_{i}_{j}" for i in k for j in range(i + 1)]]
+    medians = materialise(start.select("*", *[F.lit(0.0).alias(f"l_{i}_{j}") for i in k for j in range(i)]).select(shape), "start")
+    starts = [medians, _nearest_moments(rows, medians, 0.5).select(shape), _factor(_moments(rows)).select(shape)]
+    named = lambda c: F.struct("g", c.alias("start")).alias("g")
+    now = starts[0].withColumn("g", named(F.lit(0)))
+    for s in range(1, STARTS):
+        now = now.union(starts[s].withColumn("g", named(F.lit(s))))
+    now = materialise(now, "starts")
+    each = rows.withColumn("start", F.explode(F.sequence(F.lit(0), F.lit(STARTS - 1)))).select(named(F.col("start")), *NAMES)
     for _ in range(STEPS):
-        far = distances(lookup(rows, now, ["g"])).withColumn("bin", F.floor(BINS * F.log2(1 + F.col("d2"))).cast("long"))
-        border = materialise(_quantile(far.groupBy("g", "bin").agg(F.count("*").alias("n")), "bin", KEEP, "border"), "border")
-        now = materialise(_factor(_moments(lookup(far.select("g", "bin", *NAMES), border, ["g"]).where("bin <= border"))), "step")
-    return now
+        now = materialise(_nearest_moments(each, now, KEEP), "step")
+    volume = F.round(sum((F.log(F.col(f"l_{i}_{i}")) for i in k), F.lit(0.0)), DIGITS)
+    ends = now.select(F.col("g.g").alias("g"), F.struct(volume.alias("volume"), F.col("g.start").alias("start")).alias("rank"), F.struct(*[c for c in now.columns if c != "g"]).alias("end"))
+    return materialise(ends.groupBy("g").agg(F.min_by("end", "rank").alias("end")).select("g", "end.*"), "least")
 
 
 def grouped(rows: DataFrame) -> DataFrame:
@@ -207,31 +225,47 @@ pa AS (SELECT st.*, CASE WHEN n >= {MIN_GROUP} THEN l || chr(1) || s WHEN small
 md AS (SELECT g, count(*) AS n, {", ".join(f"list_sort(list(x{i}))[ceil(0.5 * count(*))::BIGINT] AS m{i}" for i in k)} FROM pa GROUP BY g),
 f0 AS (SELECT pa.g, any_value(n) AS n, {", ".join(f"any_value(m{i}) AS m{i}, greatest(1.4826::DOUBLE * list_sort(list(abs(x{i} - m{i})))[ceil(0.5 * any_value(n))::BIGINT], {float(FLOORS[n])}::DOUBLE) AS l{i}_{i}" for i, n in enumerate(NAMES))}{"".join(f", 0::DOUBLE AS l{i}_{j}" for i in k for j in range(i))} FROM pa JOIN md USING (g) GROUP BY pa.g)"""]
 
-    def far(source: str, name: str) -> str:
-        out, last = [], f"(SELECT pa.*, f.n AS kept_n, {', '.join(f'f.m{i}' for i in k)}, {', '.join(f'f.l{i}_{j}' for i in k for j in range(i + 1))} FROM pa JOIN {source} f USING (g))"
+    def far(source: str, name: str, rows: str = "pa") -> str:
+        out, last = [], f"(SELECT r.*, f.n AS kept_n, {', '.join(f'f.m{i}' for i in k)}, {', '.join(f'f.l{i}_{j}' for i in k for j in range(i + 1))} FROM {rows} r JOIN {source} f USING (g))"
         for i in k:
             rest = f"(x{i} - m{i})" + "".join(f" - l{i}_{j} * y{j}" for j in range(i))
             out.append(f"{name}y{i} AS (SELECT *, ({rest}) / l{i}_{i} AS y{i} FROM {last})")
             last = f"{name}y{i}"
         return ",\n".join([*out, f"{name} AS (SELECT *, {' + '.join(f'y{i} * y{i}' for i in k)} AS d2 FROM {last})"])
 
-    for step in range(1, STEPS + 1):
-        now, old = f"f{step}", f"f{step - 1}"
-        parts.append(far(old, f"a{step}"))
-        parts.append(f"b{step} AS (SELECT *, CAST(floor({BINS} * log2(1 + d2)) AS BIGINT) AS bin FROM a{step})")
-        parts.append(f"e{step} AS (SELECT g, list_sort(list(bin))[ceil({KEEP} * count(*))::BIGINT] AS border FROM b{step} GROUP BY g)")
-        parts.append(f"c{step} AS (SELECT g, count(*) AS n, {', '.join(f'sum(x{i})::DOUBLE / count(*) AS m{i}' for i in k)}, {', '.join(f'sum(x{i} * x{j})::DOUBLE AS q{i}_{j}' for i in k for j in range(i + 1))} FROM b{step} JOIN e{step} USING (g) WHERE bin <= border GROUP BY g)")
-        last = f"c{step}"
+    sums = f"SELECT g, count(*) AS n, {', '.join(f'sum(x{i})::DOUBLE / count(*) AS m{i}' for i in k)}, {', '.join(f'sum(x{i} * x{j})::DOUBLE AS q{i}_{j}' for i in k for j in range(i + 1))}"
+
+    def factor(source: str, step: str) -> str:
+        """Adds the tables of the Cholesky factor of the sums in ``source``; gives the last one's name."""
+        last = source
         for i in k:
             for j in range(i + 1):
                 cov = f"{CONSISTENT} * (q{i}_{j} / n - m{i} * m{j})"
                 if i == j:
                     cov = f"greatest({cov}, 0.0::DOUBLE) + {float(FLOORS[NAMES[i]]) ** 2}::DOUBLE"
                 cov += "".join(f" - l{i}_{p} * l{j}_{p}" for p in range(j))
-                parts.append(f"h{step}_{i}_{j} AS (SELECT *, {f'sqrt(greatest({cov}, 1.0::DOUBLE))' if i == j else f'({cov}) / l{j}_{j}'} AS l{i}_{j} FROM {last})")
+                parts.append(f"h{step}_{i}_{j} AS MATERIALIZED (SELECT *, {f'sqrt(greatest({cov}, 1.0::DOUBLE))' if i == j else f'({cov}) / l{j}_{j}'} AS l{i}_{j} FROM {last})")
                 last = f"h{step}_{i}_{j}"
-        parts.append(f"{now} AS (SELECT * FROM {last})")
-    parts.append(far(f"f{STEPS}", "z"))
+        return last
+
+    def nearest(rows: str, old: str, step: str, share: float) -> str:
+        parts.append(far(old, f"a{step}", rows))
+        parts.append(f"b{step} AS MATERIALIZED (SELECT *, CAST(floor({BINS} * log2(1 + d2)) AS BIGINT) AS bin FROM a{step})")
+        parts.append(f"e{step} AS (SELECT g, list_sort(list(bin))[ceil({share} * count(*))::BIGINT] AS border FROM b{step} GROUP BY g)")
+        parts.append(f"c{step} AS MATERIALIZED ({sums} FROM b{step} JOIN e{step} USING (g) WHERE bin <= border GROUP BY g)")
+        return factor(f"c{step}", step)
+
+    shape = ", ".join(["n", *[f"m{i}" for i in k], *[f"l{i}_{j}" for i in k for j in range(i + 1)]])
+    parts.append(f"ca AS ({sums} FROM pa GROUP BY g)")
+    begun = ["f0", nearest("pa", "f0", "half", 0.5), factor("ca", "all")]
+    parts.append("g0 AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT g || chr(4) || '{s}' AS g, {shape} FROM {name}" for s, name in enumerate(begun)) + ")")
+    parts.append(f"pb AS MATERIALIZED (SELECT pa.* EXCLUDE (g), g || chr(4) || start AS g FROM pa, (SELECT unnest({[str(x) for x in range(STARTS)]}) AS start))")
+    now = "g0"
+    for step in range(1, STEPS + 1):
+        now = nearest("pb", now, str(step), KEEP)
+    volume = f"round({' + '.join(f'ln(l{i}_{i})' for i in k)}, {DIGITS})"
+    parts.append(f"least AS MATERIALIZED (SELECT string_split(g, chr(4))[1] AS g, {shape} FROM {now} QUALIFY row_number() OVER (PARTITION BY string_split(g, chr(4))[1] ORDER BY {volume}, string_split(g, chr(4))[2]) = 1)")
+    parts.append(far("least", "z"))
     shown = "doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed"
     d2 = f"CASE WHEN kept_n >= {KEEP * MIN_GROUP} THEN d2 END"
     return "WITH " + ",\n".join(parts) + f"\nSELECT {shown}, NOT coalesce({d2} > {CUTOFF}, false) AS kept, round({d2}, 3) AS distance2 FROM z UNION ALL SELECT {shown}, false, NULL FROM st WHERE base_failed"
