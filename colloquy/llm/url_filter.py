@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from colloquy.llm.common import ascii_lower, lookup, materialise
 
 #: (verdict, host, path)
-RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
+RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 #: The longest label that a host name may have, and so the longest piece.
 LONGEST = 63
 #: Urls of one (host, path shape) that meet its score in one task; a key of more is dealt over as many tasks as that asks for.

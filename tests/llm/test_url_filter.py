@@ -32,6 +32,12 @@ def test_hosts_paths_and_rules(spark):
         assert (r.host, r.path, r.rule_verdict, r.rule) == (*want, None, None)[:4], r
 
 
+def test_each_rule_says_what_the_contract_says(spark):
+    want = {"http://a.com/en/1": ("com/en/", "block"), "http://w.example.com/en/71": ("example.com/en/7", "allow"), "http://a.net/de/1": ("net/de/", "allow"), "http://example.net/de/8": ("example.net/de/8", "block"), "http://a.org/es/": ("org/es/", "block")}
+    got = url_filter(spark.createDataFrame([(i, u, None) for i, u in enumerate(want)], "page_id long, url string, html string")).collect()
+    assert {r.page_id: (r.rule, r.verdict) for r in got} == dict(enumerate(want.values()))
+
+
 def test_best_split_is_the_best():
     counts, total = {"the": 50, "ring": 9, "th": 3, "er": 7, "in": 20, "g": 1, "thering": 1}, 100
     cost = lambda p: math.log(counts[p] / total) if p in counts else -math.log(total + 1) - 2.5 * len(p)
