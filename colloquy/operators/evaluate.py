@@ -61,8 +61,14 @@ def gate_counts(df: DataFrame, answerable, gated) -> DataFrame:
 
 
 def latency_share(stages: DataFrame, total_by: list[str]) -> DataFrame:
-    """Adds share: each stage's part of its trace in whole percent, two at least. stages: total_by, ms."""
-    total = F.sum("ms").over(Window.partitionBy(*total_by))
+    """Adds share: each stage's part of its trace in whole percent, two at least. stages: total_by, ms.
+
+    Totals are summed as decimals, since a sum of doubles follows the order of its rows; values too large for that, or not finite, as doubles.
+    """
+    w = Window.partitionBy(*total_by)
+    exact = F.col("ms").try_cast("decimal(38,18)")
+    fits = F.count("ms").over(w) == F.count(exact).over(w)
+    total = F.coalesce(F.when(fits, F.try_sum(exact).over(w).cast("double")), F.sum("ms").over(w))
     return stages.withColumn("share", F.greatest(F.lit(2), F.floor(F.col("ms") / F.greatest(total, F.lit(1.0)) * 100 + 0.5)).cast("long"))
 
 

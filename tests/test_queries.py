@@ -5,6 +5,7 @@ import math
 import duckdb
 import pytest
 
+from colloquy.operators import evaluate
 from colloquy.plans.queries import ORACLES, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -36,3 +37,13 @@ def test_mmr_select_asks_every_twentieth_vector(spark):
     at = "/root/testdata/sf0.01"
     ids = {r.vec_id for r in spark.read.parquet(f"{at}/embeddings.parquet").where("vec_id % 20 = 0").collect()}
     assert {r.query_id for r in QUERIES["mmr_select"](spark, at).collect()} == ids and max(ids) >= 20
+
+
+def test_latency_shares_follow_no_order_of_rows(spark):
+    """In doubles the total is 1.0400000000000005 or more in either order, and the share 12."""
+    values = [0.13, *[0.01] * 91]
+    for own in (values, values[::-1]):
+        rows = spark.createDataFrame([(1, x) for x in own] + [(2, math.inf), (2, 1.0), (3, None)], "trace_id long, ms double").coalesce(1)
+        got = evaluate.latency_share(rows, ["trace_id"]).collect()
+        assert {r.share for r in got if r.trace_id == 1 and r.ms == 0.13} == {13}
+        assert [r.share for r in got if r.trace_id == 2 and r.ms == 1.0] == [2]
