@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.operators import search
+from colloquy.operators.leading import Leading, giving_back
 from colloquy.operators.postings import top
 from colloquy.sources.scratch import written
 
@@ -70,7 +71,7 @@ def celled(vectors: DataFrame, cells: int | None = None) -> Cells:
                 near = np.argmax(m @ c.T - (c * c).sum(1) / 2, axis=1)
                 yield pd.DataFrame({"id": own["id"], "vec": own["vec"], "size": size, "cell": near, "far": np.sqrt(((m - c[near]) ** 2).sum(1))})
 
-    dealt = written(vectors.select("id", "vec").mapInPandas(deal, f"id {kind}, vec array<float>, size int, cell int, far double"), "dealt")
+    dealt = written(vectors.select("id", "vec").mapInPandas(giving_back(deal), f"id {kind}, vec array<float>, size int, cell int, far double"), "dealt")
     table = dealt.groupBy("size", "cell").agg(F.count("*").alias("n"), F.max("far").alias("radius"))
     pieces = table.select("size", "cell", F.ceil(F.col("n") / PIECE).alias("pieces"))
     held = dealt.join(pieces, ["size", "cell"]).withColumn("piece", F.pmod(F.xxhash64("id"), F.col("pieces")))
@@ -122,29 +123,19 @@ def _within(held: Cells, size: int, names: np.ndarray, matrix: np.ndarray, open_
     kind = dict(held.vectors.dtypes)["id"]
     asked = "string" if names.dtype == object else "long"
 
-    def leading(rows: pd.DataFrame) -> pd.DataFrame:
-        return rows.sort_values(["at", "score", "id"], ascending=[True, False, True]).groupby("at", sort=False).head(k)
-
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names, matrix, open_ = sent.value
-        kept, n = [], 0
+        best = Leading(len(names), k, least, search.CELLS)
         for f in frames:
             for cell, own in f.groupby("cell"):
                 asking = np.flatnonzero(open_[:, cell])
                 step = max(1, search.CELLS // max(1, len(asking)))
                 for a in range(0, len(own), step):
                     part = own.iloc[a : a + step]
-                    ids = part["id"].to_numpy()
-                    s = np.round(matrix[asking] @ np.stack(part["vec"].to_list()).astype(np.float32).astype(np.float64).T, 9)
-                    at, where = np.nonzero(s >= least)
-                    kept.append(pd.DataFrame({"at": asking[at], "id": ids[where], "score": s[at, where]}))
-                    n += len(at)
-                    if n > 4 * k * len(names) + search.CELLS:
-                        kept = [leading(pd.concat(kept))]
-                        n = len(kept[0])
-        if kept:
-            rows = leading(pd.concat(kept))
-            yield pd.DataFrame({"query_id": names[rows["at"].to_numpy(np.int64)], "id": rows["id"].to_numpy(), "score": rows["score"].to_numpy(float)})
+                    best.add(part["id"].to_numpy(), np.round(matrix[asking] @ np.stack(part["vec"].to_list()).astype(np.float32).astype(np.float64).T, 9), asking)
+        rows = best.rows(names)
+        if rows is not None:
+            yield rows
 
     vectors = held.vectors.where((F.col("size") == size) & F.col("cell").isin(cells)).select("id", "vec", "cell")
-    return vectors.mapInPandas(work, f"query_id {asked}, id {kind}, score double")
+    return vectors.mapInPandas(giving_back(work), f"query_id {asked}, id {kind}, score double")
