@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.functions.text import plain_sentences, tokenize_words, trim
 from colloquy.functions.timecode import parse_timecode
 from colloquy.operators.chunk import segment_lines
+from colloquy.operators.leading import giving_back
+from colloquy.sources.scratch import written
 
 # Cue phrases, looked for in lower-cased sentences.
 DECISION = (
@@ -27,6 +34,8 @@ DUE = r"(?<![A-Za-z0-9_])by (?:the )?(?:end of |next )?[\w\s]{2,20}(?![A-Za-z0-9
 BRIEF = "summary string, topics array<string>, decisions array<struct<decision:string,rationale:string,owner:string,status:string,atMs:bigint>>, actionItems array<struct<task:string,owner:string,due:string,atMs:bigint>>, openQuestions array<string>"
 
 
+#: Texts whose words are counted at a time.
+TEXTS = 200
 #: Most topics, decisions, actions and questions of a merged brief.
 CAPS = {"topics": 10, "decisions": 15, "actions": 15, "questions": 10}
 #: Fixed value: what made a brief.
@@ -54,10 +63,41 @@ def cue_sentences(texts: DataFrame, id_col: str = "id", text_col: str = "text")
 
 
 def topics(texts: DataFrame, k: int = 8, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """(id, term, n, place): the most frequent content words, ties in order of first occurrence."""
-    lines = texts.select(F.col(id_col).alias("id"), F.posexplode(F.split(text_col, "\n")).alias("line", "x")).withColumn("x", trim(F.col("x")))
-    body = F.when(F.col("x").rlike(LINE), F.regexp_extract("x", LINE, 3)).otherwise(F.col("x"))
-    words = lines.select("id", "line", F.posexplode(tokenize_words(body)).alias("pos", "term"))
+    """(id, term, n, place): the most frequent content words, ties in order of first occurrence.
+
+    A text whose id no other row has is counted where it lies; only texts that share an id meet in a shuffle.
+    """
+    rows = texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    shared = written(rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias("shared")), "shared")
+    if not shared.take(1):
+        return _topics_of_rows(rows, k)
+    meets = F.col("id").eqNullSafe(F.col("shared"))
+    return _topics_of_rows(rows.join(shared, meets, "left_anti"), k).unionByName(_topics_of_ids(rows.join(shared, meets, "left_semi"), k))
+
+
+def _topics_of_rows(rows: DataFrame, k: int) -> DataFrame:
+    """``topics`` of (id, text) with one row per id."""
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (whole.slice(a, TEXTS) for whole in batches for a in range(0, whole.num_rows, TEXTS)):
+            found = [Counter(w or ()).most_common(k) for w in b.column(1).to_pylist()]  # equal counts stay in order of first occurrence
+            at = np.repeat(np.arange(b.num_rows), [len(x) for x in found])
+            term, n = pa.array([t for x in found for t, _ in x], pa.string()), pa.array([c for x in found for _, c in x], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), term, n, pa.array([i for x in found for i in range(1, len(x) + 1)], pa.int32())], ["id", "term", "n", "place"])
+
+    words = F.flatten(F.transform(F.split("text", "\n"), lambda x: tokenize_words(_said(trim(x)))))
+    return rows.select("id", words.alias("w")).mapInArrow(giving_back(work), f"id {kind}, term string, n long, place int")
+
+
+def _said(line: Column) -> Column:
+    """A line without its time and speaker."""
+    return F.when(line.rlike(LINE), F.regexp_extract(line, LINE, 3)).otherwise(line)
+
+
+def _topics_of_ids(texts: DataFrame, k: int) -> DataFrame:
+    lines = texts.select("id", F.posexplode(F.split("text", "\n")).alias("line", "x")).withColumn("x", trim(F.col("x")))
+    words = lines.select("id", "line", F.posexplode(tokenize_words(_said(F.col("x")))).alias("pos", "term"))
     counted = words.groupBy("id", "term").agg(F.count("*").alias("n"), F.min(F.struct("line", "pos")).alias("first"))
     w = Window.partitionBy("id").orderBy(F.desc("n"), "first")
     return counted.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).select("id", "term", "n", "place")
