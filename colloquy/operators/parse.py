@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.functions.text import collapse, distinct, trim
 from colloquy.functions.timecode import parse_timecode, spoken_ms
+from colloquy.sources.scratch import written
 
 # The line grammar and the words that are no speakers or may stand in names.
 CLOCK = r"\d{1,3}:[0-5]\d(?::[0-5]\d)?"
@@ -178,11 +181,14 @@ def finish_turns(turns: DataFrame) -> DataFrame:
 def parse_turns(docs: DataFrame, id_col: str = "id", text_col: str = "content") -> DataFrame:
     """(id, format, index, speaker, start_ms, end_ms, text) of transcripts of any layout."""
     _, body = split_header(to_lines(docs, id_col, text_col))
-    body = classify(body)
-    lines = body.join(detect_format(body), "id")
-    cues, heads = F.col("format").isin("vtt", "srt"), F.col("format") == "speaker-heading"
-    turns = cue_turns(lines.where(cues)).unionByName(heading_turns(lines.where(heads))).unionByName(line_turns(lines.where(~cues & ~heads)))
-    return finish_turns(turns).join(detect_format(body), "id").select("id", "format", "index", "speaker", "start_ms", "end_ms", "text")
+    body = written(classify(body), "lines")
+    formats = written(detect_format(body), "formats")
+    # only the layouts that occur are planned, as each brings sorts and windows of its own to every task
+    kinds = {r.format for r in formats.select("format").distinct().collect()}
+    ways = [(cue_turns, kinds & {"vtt", "srt"}), (heading_turns, kinds & {"speaker-heading"}), (line_turns, kinds - {"vtt", "srt", "speaker-heading"})]
+    lines = body.join(formats, "id")
+    turns = [read(lines.where(F.col("format").isin(*own)) if own != kinds else lines) for read, own in ways if own] or [line_turns(lines)]
+    return finish_turns(written(reduce(DataFrame.unionByName, turns), "islands")).join(formats, "id").select("id", "format", "index", "speaker", "start_ms", "end_ms", "text")
 
 
 def read_headers(docs: DataFrame, id_col: str = "id", text_col: str = "content") -> DataFrame:
