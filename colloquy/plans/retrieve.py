@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.functions.text import content_terms, estimate_tokens
-from colloquy.operators import postings, rank, search
+from colloquy.operators import postings, rank, scan, search
 from colloquy.operators.chunk import header
 from colloquy.settings import Settings
 from colloquy.sources.scratch import Stages
@@ -28,6 +31,19 @@ def indexed(chunks: DataFrame) -> DataFrame:
     return postings.blocks(words)
 
 
+def _scanned(chunks: DataFrame, terms: DataFrame, k: int, written: Callable) -> tuple[int, DataFrame, DataFrame]:
+    """How many chunks there are, (term, df), and the ``k`` best chunks of each question; the texts are read twice for each part of the questions."""
+    texts = chunks.select(F.col("chunk_id").alias("id"), F.col("text").alias("w"))
+    n, avgdl, counted, found = None, None, [], []
+    for part in scan.parts_of(terms):
+        held = scan.matched(texts, part, search.cut_words, search.porter)
+        if n is None:
+            n, avgdl = scan.statistics(held)
+        counted.append(written(scan.frequencies(held), "frequencies"))
+        found.append(scan.bm25(held, counted[-1], part, n, avgdl, k))
+    return n, reduce(DataFrame.unionByName, counted).distinct(), reduce(DataFrame.unionByName, found)
+
+
 def retrieve(chunks: DataFrame, meetings: DataFrame, questions: DataFrame, settings: Settings = Settings(), scope: DataFrame | None = None, index: DataFrame | None = None, stages: Stages | None = None) -> tuple[DataFrame, DataFrame]:
     """Sources and gate of each question.
 
@@ -40,7 +56,8 @@ def retrieve(chunks: DataFrame, meetings: DataFrame, questions: DataFrame, setti
     asked = written(search.hash_vectors(questions.select("query_id", "text")), "asked")
     held = (chunks if set(ANALYSED) <= set(chunks.columns) else written(analysed(chunks, meetings), "analysed")).withColumnRenamed("chunk_id", "id").select("id", "meeting_id", *ANALYSED)
     chunks = chunks.drop(*ANALYSED)
-    index = written(indexed(chunks), "index") if index is None else index
+    at_once = index is None and scope is None  # a batch of questions about everything needs no index
+    index = written(indexed(chunks), "index") if index is None and not at_once else index
 
     free = asked if scope is None else asked.join(scope.select("query_id").distinct(), "query_id", "left_anti")
     dense = search.dense_search(held.select("id", "vec"), free, settings.dense_k, settings.min_dense_similarity)
@@ -50,10 +67,14 @@ def retrieve(chunks: DataFrame, meetings: DataFrame, questions: DataFrame, setti
         dense = dense.unionByName(search.top(own.where(F.col("score") >= settings.min_dense_similarity), settings.dense_k))
     dense = written(dense, "dense")
 
-    n, avgdl = postings.statistics(index)
     terms = written(search.query_terms(asked, terms=lambda c: search.stemmed_phrases(content_terms(c))), "terms")
-    words = written(postings.opened(index, terms), "opened")
-    lexical = postings.best(words, terms, n, avgdl, settings.lexical_k, None if scope is None else scope.select("query_id", F.col("meeting_id").alias("part")).distinct())
+    if at_once:
+        n, frequencies, lexical = _scanned(chunks, terms, settings.lexical_k, written)
+    else:
+        n, avgdl = postings.statistics(index)
+        words = written(postings.opened(index, terms), "opened")
+        frequencies = postings.frequencies(words)
+        lexical = postings.best(words, terms, n, avgdl, settings.lexical_k, None if scope is None else scope.select("query_id", F.col("meeting_id").alias("part")).distinct())
 
     fused = written(rank.fuse_ranks(dense, lexical, settings.rrf_k).where(F.col("fused") >= settings.min_fused_score), "fused")
     sure = rank.guaranteed(fused, settings.final_k, settings.retriever_floor)
@@ -72,7 +93,7 @@ def retrieve(chunks: DataFrame, meetings: DataFrame, questions: DataFrame, setti
     best = written(chosen.join(fused, ["query_id", "id"]).join(chunks.withColumnRenamed("chunk_id", "id"), "id"), "best")
     texts = best.groupBy("query_id").agg(F.array_join(F.collect_list("text"), " ").alias("text"))
     wanted = written(search.coverage_terms(asked, search.stemmed_terms), "wanted")
-    df = wanted.select("term", "phrase").distinct().join(postings.frequencies(words).withColumnRenamed("term", "phrase"), "phrase").select("term", "df")
+    df = wanted.select("term", "phrase").distinct().join(frequencies.withColumnRenamed("term", "phrase"), "phrase").select("term", "df")
     coverage = rank.weighted_coverage(wanted, df, texts, n)
     gate = written(gate.join(coverage, "query_id", "left").withColumn("coverage", F.round(F.coalesce("coverage", F.lit(1.0)), 3)), "gate")
 
