@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import public_tokenizers as P
 from tokenizers import Tokenizer
@@ -22,6 +23,33 @@ def test_encodes_as_the_library():
         assert enc.decode(e.ids) == lib.decode(e.ids, skip_special_tokens=False)
 
 
+def test_unlike_words_cost_a_few_microseconds_a_symbol():
+    """Words of random letters, of which tables of known words are no help: several times as quick as merging each by itself."""
+    rng = random.Random(5)
+    enc = TrieEncoder(PATH)
+    words = [list({"".join(rng.choices("thieonaders", k=rng.randint(20, 40))) for _ in range(6000)}) for _ in range(2)]
+    enc.learn(words[0])
+    start = time.process_time()
+    enc.learn(words[1])
+    walked, start = time.process_time() - start, time.process_time()
+    for w in words[1][:1000]:
+        enc.merge(w)
+    merged = 6 * (time.process_time() - start)
+    print(walked, merged)
+    assert walked < 0.9 * merged
+
+
+def test_long_and_short_words_are_the_library_s():
+    lib, enc = Tokenizer.from_file(PATH), TrieEncoder(PATH)
+    rng = random.Random(8)
+    for k in (1, 2, 31, 63, 64, 65, 66, 400):
+        texts = ["".join(rng.choices("abé日!'s1", k=k)) for _ in range(40)] + ["".join(rng.choices("the", k=k)) for _ in range(40)]
+        got = enc.encode_batch([*texts, " ".join(texts)])
+        for t, (ids, shown) in zip([*texts, " ".join(texts)], got):
+            e = lib.encode(t, add_special_tokens=False)
+            assert memoryview(ids).cast("i").tolist() == e.ids and shown == lib.decode(e.ids, skip_special_tokens=False), t
+
+
 def test_documents(spark, sf_dir):
     lib = Tokenizer.from_file(PATH)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame([(None, "a"), (1, None), (1, "")], "doc_id long, text string"))
