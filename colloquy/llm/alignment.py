@@ -6,7 +6,8 @@ overlapping tokens, a link. Spark counts in how many documents each id pair is l
 counts and maxima back to the documents.
 
 Neither vocabulary has a token across a blank between two visible characters: both encode a text's chunks between such blanks one
-by one. So a batch encodes and merges each distinct chunk once, all of them in one merge, and a text is put together from its chunks.
+by one. So a worker encodes and merges each distinct chunk once, all new ones of a slice of texts together, and puts a text together from its
+chunks. It remembers a bounded number of chunks and hands on a slice's rows before it takes the next.
 
 Pairs that a large share of the links have (over 1 / FEW of them, so under FEW pairs at any size) are joined by broadcast; the other pairs are
 rare and meet their counts in a shuffle that no key can skew.
@@ -20,9 +21,9 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
-from functools import lru_cache
-from itertools import chain
+from collections.abc import Iterable, Iterator
+from functools import cached_property, lru_cache
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.llm.bpe import byte_letters, vocabulary_path
-from colloquy.llm.common import bound_batches, giving_back, materialise
+from colloquy.llm.common import bound_batches, give_back, giving_back, materialise
 
 #: A blank between visible characters, where both vocabularies start a new token.
 CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -39,6 +40,9 @@ A_PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(
 LONG_BLANK = re.compile(r"\s{1000}")
 #: Bytes of chunks encoded at a time, an id pair as one number, and the pairs that are broadcast.
 STEP, B_IDS, FEW = 1 << 20, 1 << 32, 100_000
+#: Characters of texts taken at a time, and chunks beyond which a worker forgets those it met.
+SLICE, KNOWN = 1 << 19, 100_000
+COUNTS = ["n_a", "n_b", "n_groups", "n_links"]
 
 
 class Tokens:
@@ -47,10 +51,8 @@ class Tokens:
     def __init__(self, a_path: str, b_path: str):
         import sentencepiece
         import tiktoken
-        import tokenizers
 
-        self.slow_a = tokenizers.Tokenizer.from_file(a_path)
-        self.slow_a.encode_special_tokens = True
+        self.a_path = a_path
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         byte = {c: b for b, c in enumerate(byte_letters())}
         with open(a_path, encoding="utf-8") as f:
@@ -72,6 +74,15 @@ class Tokens:
         a, b = range(len(self.a_bytes)), range(len(self.b_bytes))
         self.shown = [*(f"{i}," for i in a), *(f"{i}|" for i in a), *(f"{i}," for i in b), *(f"{i};" for i in b)]
 
+    @cached_property
+    def slow_a(self):
+        """The file's own library, loaded where a text needs it."""
+        import tokenizers
+
+        out = tokenizers.Tokenizer.from_file(self.a_path)
+        out.encode_special_tokens = True
+        return out
+
     def encode_a(self, line: str) -> list[int]:
         if self.fast_a is None or LONG_BLANK.search(line):  # which overflow the faster encoder's stack
             return self.slow_a.encode(line, add_special_tokens=False).ids
@@ -153,6 +164,63 @@ def steps(chunks: list[str]) -> Iterator[list[int]]:
         yield part
 
 
+class Chunks:
+    """Distinct chunks met lately, by their place: counts, groups as written, and where their links start."""
+
+    def __init__(self, both: Tokens):
+        self.both = both
+        self.place: dict[str, int] = {}
+        self.written: list[str] = []
+        self.sums = {c: np.empty(0, np.int64) for c in COUNTS}
+        self.starts = self.links = np.empty(0, np.int64)
+
+    def places(self, texts: Iterable[str | None]) -> list[np.ndarray]:
+        """Per text the places of its chunks; the new ones are encoded and merged."""
+        if len(self.place) > KNOWN:
+            self.__init__(self.both)
+            give_back()
+        place, known = self.place, len(self.place)
+        out = []
+        for t in texts:
+            cs = CUT.split(t) if t else []
+            out.append(np.fromiter((place.setdefault(c, len(place)) for c in cs), np.int64, len(cs)))
+        new = list(islice(place, known, None))
+        self.written += [""] * len(new)
+        sums, starts, links, met = {c: np.zeros(len(new), np.int64) for c in COUNTS}, np.zeros(len(new), np.int64), [self.links], len(self.links)
+        for part in steps(new):
+            m = Merged(self.both, [new[k] for k in part])
+            for k, g in zip(part, m.written(self.both)):
+                self.written[known + k] = g
+            for c in COUNTS:
+                sums[c][part] = getattr(m, c)
+            starts[part] = met + np.cumsum(m.n_links) - m.n_links
+            links.append(m.pairs())
+            met += len(links[-1])
+        self.sums = {c: np.concatenate([self.sums[c], sums[c]]) for c in COUNTS}
+        self.starts, self.links = np.concatenate([self.starts, starts]), np.concatenate(links)
+        return out
+
+    def rows(self, f: pd.DataFrame) -> pd.DataFrame:
+        """The rows of ``aligned`` for a frame of row, id and text."""
+        own, sums = self.places(f["text"]), self.sums
+        out = {"row": f["row"], "id": f["id"], **{c: np.zeros(len(f), np.int64) for c in COUNTS}, "groups": [""] * len(f), "pairs": [], "times": []}
+        for k, at in enumerate(own):
+            found = times = np.empty(0, np.int64)
+            if len(at) and sums["n_a"][at].all():
+                for c in COUNTS:
+                    out[c][k] = sums[c][at].sum()
+                out["groups"][k] = "".join([self.written[i] for i in at.tolist()])[:-1]
+                # each distinct chunk's links once, with how often the chunk stands in the text
+                chunk, n = np.unique(at, return_counts=True)
+                sizes = sums["n_links"][chunk]
+                where = np.repeat(self.starts[chunk] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+                found, slot = np.unique(self.links[where], return_inverse=True)
+                times = np.bincount(slot, np.repeat(n, sizes)).astype(np.int64)
+            out["pairs"].append(found)
+            out["times"].append(times)
+        return pd.DataFrame(out)
+
+
 def aligned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabularies: tuple[str, str] | None = None) -> DataFrame:
     """(row, id, n_a, n_b, n_groups, n_links, groups, pairs, times) per document: its groups as text, its distinct linked id pairs and how often each is linked.
 
@@ -160,43 +228,13 @@ def aligned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voc
     """
     bound_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
-    counts = ["n_a", "n_b", "n_groups", "n_links"]
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        both = tokens(*(vocabularies or (vocabulary_path("byte_bpe_50k.json"), vocabulary_path("piece_bpe_32k.model"))))
+        chunks = Chunks(tokens(*(vocabularies or (vocabulary_path("byte_bpe_50k.json"), vocabulary_path("piece_bpe_32k.model")))))
         for f in frames:
-            place: dict[str, int] = {}
-            split = [CUT.split(t) if t else [] for t in f["text"]]
-            own = [np.fromiter((place.setdefault(c, len(place)) for c in cs), np.int64, len(cs)) for cs in split]
-            chunks, written = list(place), [""] * len(place)
-            sums = {c: np.zeros(len(chunks), np.int64) for c in counts}
-            starts, links, met = np.zeros(len(chunks), np.int64), [np.empty(0, np.int64)], 0
-            for part in steps(chunks):
-                m = Merged(both, [chunks[k] for k in part])
-                for k, g in zip(part, m.written(both)):
-                    written[k] = g
-                for c in counts:
-                    sums[c][part] = getattr(m, c)
-                starts[part] = met + np.cumsum(m.n_links) - m.n_links
-                links.append(m.pairs())
-                met += len(links[-1])
-            links = np.concatenate(links)
-            out = {"row": f["row"], "id": f["id"], **{c: np.zeros(len(f), np.int64) for c in counts}, "groups": [""] * len(f), "pairs": [], "times": []}
-            for k, at in enumerate(own):
-                found = times = np.empty(0, np.int64)
-                if len(at) and sums["n_a"][at].all():
-                    for c in counts:
-                        out[c][k] = sums[c][at].sum()
-                    out["groups"][k] = "".join([written[i] for i in at.tolist()])[:-1]
-                    # each distinct chunk's links once, with how often the chunk stands in the text
-                    chunk, n = np.unique(at, return_counts=True)
-                    sizes = sums["n_links"][chunk]
-                    where = np.repeat(starts[chunk] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-                    found, slot = np.unique(links[where], return_inverse=True)
-                    times = np.bincount(slot, np.repeat(n, sizes)).astype(np.int64)
-                out["pairs"].append(found)
-                out["times"].append(times)
-            yield pd.DataFrame(out)
+            size = np.cumsum([len(t) if t else 0 for t in f["text"]])
+            for _, part in f.groupby(size // SLICE):
+                yield chunks.rows(part)
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInPandas(giving_back(work), f"row long, id {kind}, n_a long, n_b long, n_groups long, n_links long, groups string, pairs array<long>, times array<long>")

@@ -75,3 +75,38 @@ def test_operator_gives_groups_and_links(spark):
     r = A.aligned(spark.createDataFrame([(1, "the the naïve")], "doc_id long, text string")).first()
     assert r.n_groups == r.groups.count(";") + 1 and sum(r.times) == r.n_links and len(r.pairs) == len(set(r.pairs))
     assert [len(g.split("|")) for g in r.groups.split(";")] == [2] * r.n_groups
+
+
+def test_a_batch_is_taken_in_slices(spark):
+    import tracemalloc
+
+    import pandas as pd
+
+    class Docs:
+        """Hands out the function that ``aligned`` gives to the workers."""
+
+        sparkSession, schema = spark, spark.range(1).select(F.col("id").alias("doc_id")).schema
+        select = lambda self, *_: self
+        mapInPandas = lambda self, work, _: work
+
+    rng = random.Random(5)
+    texts = [" ".join("".join(rng.choices("thieonaders", k=rng.randint(2, 9))) for _ in range(600)) for _ in range(1000)]
+    texts[3], texts[5] = None, ""
+    work, f = A.aligned(Docs()), pd.DataFrame({"row": range(1000), "id": range(1000), "text": texts})
+    before = [len(list(work(iter([f.head(1)]))))]  # the encoders are loaded
+    tracemalloc.start()
+    rows, widest = [], 0
+    for out in work(iter([f, f.tail(10), f.head(0), f.iloc[3:4]])):
+        rows += out["row"].tolist()
+        widest = max(widest, sum(map(len, out["groups"])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert before == [1] and rows == [*range(1000), *range(990, 1000), 3]
+    assert widest < 8 << 20 and peak < 100 << 20, (widest, peak)  # not the whole batch at once
+
+
+def test_chunks_met_again_after_they_were_forgotten(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(A, "KNOWN", 50)
+    monkeypatch.setattr(A, "SLICE", 2000)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").limit(60)
+    assert sorted(map(tuple, A.alignment(docs).collect()), key=str) == slow([tuple(r) for r in docs.collect()])
