@@ -8,6 +8,7 @@ larger one only; the second compares those that the first has not joined, so tha
 
 Candidates are compared by parity bits of BITS positions: sets differ in as many shingles as bits at least, so exclusive-or and
 bit counts drop most pairs and no similar one. The rest are verified over the whole sets, which are made anew for these texts only.
+Each table between the steps is deleted, and the shuffles behind it are let go, as soon as no later step reads it.
 
 Cases: a null text is an empty text; texts without a word are copies of each other; texts of fewer words than a shingle take their whole
 word sequence; very long texts are taken whole, a batch holding one at least; repeated rows are copies, and of rows of equal id and text one
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import bound_batches, connected_components, giving_back, materialise, packed, raw, release, row_key
+from colloquy.llm.common import bound_batches, connected_components, discard, giving_back, materialise, packed, raw, release, row_key
 from colloquy.llm.simhash import SEED, fingerprint_of, near_links, shingle_hashes
 
 #: Least similarity as a fraction, the words of a shingle and the bits within which fingerprints give a first link.
@@ -60,6 +61,7 @@ def signed(texts: DataFrame, width: int, similar: tuple[int, int], hashes=shingl
     """(id, k, s, n, fp, bits, lead) per row: s stands for the set of n shingles, ``lead`` holds its prefix in the common order. texts: (id, k, text)."""
     p, q = similar
     sent = texts.sparkSession.sparkContext.broadcast(cell_counts(texts, width, hashes))
+    release(texts.sparkSession)
     kind = texts.schema["id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,9 +151,8 @@ def neighbours(lead: DataFrame, similar: tuple[int, int]) -> DataFrame:
     return lead.select("h", "n", "room", "s").mapInArrow(giving_back(work), "u long, v long")
 
 
-def unjoined(lead: DataFrame, nodes: DataFrame, roots: DataFrame, similar: tuple[int, int]) -> DataFrame:
+def unjoined(rooted: DataFrame, nodes: DataFrame, similar: tuple[int, int]) -> DataFrame:
     """(u, v): pairs of different roots among sets that share a prefix shingle, less those that parity bits part. A group over TILE sets is dealt out as pairs of tiles."""
-    rooted = materialise(lead.join(roots, "s", "left").withColumn("root", F.coalesce("root", "s")), "rooted")
     mixed = rooted.groupBy("h").agg(F.count("*").alias("c"), F.min("root").alias("a"), F.max("root").alias("z")).where("a <> z").select("h", F.ceil(F.col("c") / TILE).cast("int").alias("tiles"))
     own = F.pmod(F.xxhash64("s"), F.col("tiles")).cast("int")
     dealt = rooted.join(mixed, "h").join(nodes.select("s", "bits"), "s").withColumn("t", own).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
@@ -223,11 +224,15 @@ def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, s
     bits = lambda k: nodes.select(F.col("s").alias(k), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"b{k}"))
     met = pairs.distinct().join(bits("u"), "u").join(bits("v"), "v").select("u", "v", "nu", "nv", "bu", "bv")
     close = materialise(met.mapInArrow(giving_back(near), "u long, v long"), "close")
+    release(nodes.sparkSession)
     wanted = close.select(F.explode(F.array("u", "v")).alias("s")).distinct().join(nodes.select("s", F.col("least.id").alias("_i"), F.col("least.k").alias("_k")), "s")
     there = texts.join(wanted, F.col("id").eqNullSafe(F.col("_i")) & (F.col("k") == F.col("_k"))).select("s", "text")
     sets = materialise(there.mapInArrow(giving_back(sets_of), "s long, hs binary").dropDuplicates(["s"]), "sets")
+    release(nodes.sparkSession)
     own = lambda k: sets.select(F.col("s").alias(k), F.col("hs").alias(f"h{k}"))
-    return materialise(close.join(own("u"), "u").join(own("v"), "v").select("u", "v", "hu", "hv").mapInArrow(giving_back(similar_sets), "u long, v long"), "similar")
+    found = materialise(close.join(own("u"), "u").join(own("v"), "v").select("u", "v", "hu", "hv").mapInArrow(giving_back(similar_sets), "u long, v long"), "similar")
+    discard(close, sets)
+    return found
 
 
 def fingerprint_links(nodes: DataFrame, radius: int) -> DataFrame:
@@ -239,29 +244,40 @@ def fingerprint_links(nodes: DataFrame, radius: int) -> DataFrame:
     return equal.union(links).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
 
 
-def similar_links(nodes: DataFrame, texts: DataFrame, width: int = WIDTH, similar: tuple[int, int] = SIMILAR, radius: int = RADIUS) -> DataFrame:
-    """(u, v) over ``nodes.s``: similar pairs whose components are those of all similar pairs."""
-    spark = nodes.sparkSession
-    lead = materialise(shared_prefixes(nodes), "lead")
-    release(spark)
+def similar_links(nodes: DataFrame, lead: DataFrame, texts: DataFrame, width: int = WIDTH, similar: tuple[int, int] = SIMILAR, radius: int = RADIUS) -> DataFrame:
+    """(u, v) over ``nodes.s``: similar pairs whose components are those of all similar pairs. ``lead`` is discarded."""
     first = verified(fingerprint_links(nodes, radius).union(neighbours(lead, similar)), nodes, texts, width, similar)
-    release(spark)
+    release(nodes.sparkSession)
     roots = connected_components(first).withColumnRenamed("node", "s")
-    return first.union(verified(unjoined(lead, nodes, roots, similar), nodes, texts, width, similar))
+    rooted = materialise(lead.join(roots, "s", "left").withColumn("root", F.coalesce("root", "s")), "rooted")
+    discard(lead, roots)
+    rest = verified(unjoined(rooted, nodes, similar), nodes, texts, width, similar)
+    discard(rooted)
+    release(nodes.sparkSession)
+    return first.union(rest)
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, similar: tuple[int, int] = SIMILAR) -> DataFrame:
     """``docs`` with one row of each component of similar texts: that of least id, null ids last."""
-    bound_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    bound_batches(spark)
     texts = docs.select(F.col(id_col).alias("id"), row_key(text_col).alias("k"), F.col(text_col).cast("string").alias("text"))
-    rows = materialise(signed(texts, width, similar), "signed")
     order = F.struct(F.col("id").isNull().alias("last"), "id", "k")
-    nodes = materialise(rows.groupBy("s").agg(F.first("n").alias("n"), F.min("fp").alias("fp"), F.first("bits").alias("bits"), F.first("lead").alias("lead"), F.min(order).alias("least")), "nodes")
-    roots = connected_components(similar_links(nodes, texts, width, similar)).withColumnRenamed("node", "s")
+    each = signed(texts, width, similar).groupBy("s").agg(F.first("n").alias("n"), F.min("fp").alias("fp"), F.first("bits").alias("bits"), F.first("lead").alias("lead"), F.min(order).alias("least"))
+    prefixed = materialise(each, "prefixed")
+    release(spark)
+    lead, nodes = materialise(shared_prefixes(prefixed), "lead"), materialise(prefixed.drop("lead"), "nodes")
+    discard(prefixed)
+    release(spark)
+    links = similar_links(nodes, lead, texts, width, similar)
+    roots = connected_components(links).withColumnRenamed("node", "s")
+    discard(links)
     first = nodes.select("s", "least").join(roots, "s", "left").groupBy(F.coalesce("root", "s").alias("root")).agg(F.min("least").alias("f"))
     # rows of equal id and text are counted: only these few need a grouping of their own
-    counted = rows.groupBy("id", "k").agg(F.count("*").alias("n")).withColumnsRenamed({"id": "_i", "k": "_k"})
-    first = first.join(counted, F.col("f.id").eqNullSafe(F.col("_i")) & (F.col("f.k") == F.col("_k"))).select("_i", "_k", "n")
-    stay = packed(docs, id_col, text_col).join(materialise(first, "first"), F.col("id").eqNullSafe(F.col("_i")) & (F.col("k") == F.col("_k")))
+    counted = texts.groupBy("id", "k").agg(F.count("*").alias("n")).withColumnsRenamed({"id": "_i", "k": "_k"})
+    first = materialise(first.join(counted, F.col("f.id").eqNullSafe(F.col("_i")) & (F.col("f.k") == F.col("_k"))).select("_i", "_k", "n"), "first")
+    discard(nodes, roots)
+    release(spark)
+    stay = packed(docs, id_col, text_col).join(first, F.col("id").eqNullSafe(F.col("_i")) & (F.col("k") == F.col("_k")))
     once = stay.where("n > 1").withColumn("place", F.row_number().over(Window.partitionBy("_i", "_k").orderBy(F.lit(1)))).where("place = 1")
     return stay.where("n = 1").select("r.*").union(once.select("r.*"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from colloquy.llm import decontam, line_dedup, near_copies, quality
 from colloquy.llm.bpe import bpe_round_trip, digests
-from colloquy.llm.common import materialise
+from colloquy.llm.common import discard, materialise
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,5 +57,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        left = stage(spark, docs, sf_dir)
+        docs = materialise(left, name.replace(" ", "-"))
+        discard(left)  # what the stage had written, and the output of the stage before
     return STAGES[-1][1](spark, docs, sf_dir)

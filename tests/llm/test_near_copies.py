@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import numpy as np
 
 from colloquy.llm import near_copies
@@ -50,3 +52,33 @@ def test_stage_removes_near_copies_that_fingerprints_miss(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")  # two pairs of 0.8 and more, at 7 and 11 bits
     left = corpus_pipeline.near_dedup_stage(spark, docs, sf_dir)
     assert sorted(str((r.doc_id, r.text)) for r in left.collect()) == slow([(r.doc_id, r.text) for r in docs.collect()])
+
+
+def test_tables_go_when_no_step_reads_them(spark, sf_dir, monkeypatch):
+    import corpus_pipeline
+    from colloquy.llm.common import materialise, work_dir
+
+    top = Path(work_dir(spark).removeprefix("file:"), "colloquy")
+    old, seen = set(top.glob("*")), []
+
+    def there():
+        return sorted(p.name.rsplit("-", 1)[0] for p in set(top.glob("*")) - old)
+
+    def noted(df, label):
+        out = materialise(df, label)
+        seen.append((label, there()))
+        return out
+
+    monkeypatch.setattr(near_copies, "materialise", noted)
+    left = corpus_pipeline.near_dedup_stage(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), sf_dir)
+    assert not {"signed", "prefixed", "lead", "nodes", "rooted", "close", "sets", "similar"} & set(there()) and "first" in there()
+    assert [label for label, _ in seen if label in ("sets", "rooted")] == ["sets", "rooted", "sets"]
+    for label, held in seen:
+        assert held.count("sets") == (label == "sets" or label == "similar")  # whole sets are held for one verification
+        assert "signed" not in held and ("prefixed" in held) == (label in ("prefixed", "lead", "nodes"))  # prefixes are written once
+    assert left.count() > 0
+
+    before = set(top.glob("*"))
+    assert corpus_pipeline.run(spark, sf_dir).count() > 0
+    stages = [p.name.rsplit("-", 1)[0] for p in set(top.glob("*")) - before]
+    assert "benchmark-decontamination" in stages and not {"scored", "quality-classifier", "line-dedup", "SimHash-near-dedup", "first"} & set(stages)
