@@ -60,16 +60,23 @@ def gate_counts(df: DataFrame, answerable, gated) -> DataFrame:
     return df.agg(n(~answerable).alias("refusable"), n(~answerable & ~gated).alias("deferred"), n(answerable).alias("answerable"), n(answerable & gated).alias("wrongly_refused"))
 
 
-def latency_share(stages: DataFrame, total_by: list[str]) -> DataFrame:
+def latency_share(stages: DataFrame, total_by: list[str], order_by: list[str] | None = None) -> DataFrame:
     """Adds share: each stage's part of its trace in whole percent, two at least. stages: total_by, ms.
 
     Totals are summed as decimals, since a sum of doubles follows the order of its rows; values too large for that, or not finite, as doubles.
+    With ``order_by`` they are the sums of doubles that a reader of the rows in this order gets, whatever order they lie in.
     """
     w = Window.partitionBy(*total_by)
-    exact = F.col("ms").try_cast("decimal(38,18)")
-    fits = F.count("ms").over(w) == F.count(exact).over(w)
-    total = F.coalesce(F.when(fits, F.try_sum(exact).over(w).cast("double")), F.sum("ms").over(w))
-    return stages.withColumn("share", F.greatest(F.lit(2), F.floor(F.col("ms") / F.greatest(total, F.lit(1.0)) * 100 + 0.5)).cast("long"))
+    if order_by:
+        w = w.orderBy(*order_by)
+        run = stages.withColumn("_run", F.sum("ms").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        stages = run.withColumn("_total", F.last("_run").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).drop("_run")
+    else:
+        exact = F.col("ms").try_cast("decimal(38,18)")
+        fits = F.count("ms").over(w) == F.count(exact).over(w)
+        stages = stages.withColumn("_total", F.coalesce(F.when(fits, F.try_sum(exact).over(w).cast("double")), F.sum("ms").over(w)))
+    share = F.floor(F.col("ms") / F.greatest("_total", F.lit(1.0)) * 100 + 0.5)
+    return stages.withColumn("share", F.greatest(F.lit(2), share).cast("long")).drop("_total")
 
 
 def corpus_status(turns: DataFrame, tokens) -> DataFrame:

@@ -4,6 +4,7 @@ import math
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from colloquy.operators import evaluate
 from colloquy.plans.queries import ORACLES, QUERIES
@@ -47,3 +48,17 @@ def test_latency_shares_follow_no_order_of_rows(spark):
         got = evaluate.latency_share(rows, ["trace_id"]).collect()
         assert {r.share for r in got if r.trace_id == 1 and r.ms == 0.13} == {13}
         assert [r.share for r in got if r.trace_id == 2 and r.ms == 1.0] == [2]
+
+
+def test_latency_shares_are_those_of_the_sql_at_half_percents(spark, tmp_path):
+    """0.13 of these 92 events is 12.5 percent by exact sums, and less by the sum of doubles in the order of the file that the SQL takes."""
+    at = str(tmp_path / "events.parquet")
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT i AS event_id, i // 92 AS user_id, CASE WHEN i % 92 = 0 THEN 0.13::DOUBLE WHEN i = 100 THEN NULL ELSE 0.01::DOUBLE END AS value FROM range(184) t(i)) TO '{at}'")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{at}'")
+    want = con.execute(ORACLES["stage_latency_share"]).fetchall()
+    assert (0, 12) in want
+    assert sorted(tuple(r) for r in QUERIES["stage_latency_share"](spark, str(tmp_path)).collect()) == sorted(want)
+    rows = spark.read.parquet(at).orderBy(F.desc("event_id")).selectExpr("event_id", "user_id", "value as ms").coalesce(1)
+    got = evaluate.latency_share(rows, ["user_id"], ["event_id"])
+    assert got.columns == ["event_id", "user_id", "ms", "share"] and {(r.event_id, r.share) for r in got.collect() if r.share} == set(want)
