@@ -176,3 +176,69 @@ def test_sums_out_of_range_are_shifted():
     out, total, shift = lm.exps(s)
     assert np.allclose((np.log(total) + shift)[:, 0], np.logaddexp(s[:, 0], s[:, 1])) and np.allclose((out / total).sum(1), 1)
     assert lm.exps(s[:1])[2] == 0.0
+
+
+def score_by_subwords(rows, model, path):
+    """The score by loops over the subword ids of each text, all of them."""
+    p, end, enc = {k: v.astype(np.float64) for k, v in model.p.items()}, len(model.classes) - 1, lm._encoding(path)
+    ids = {w: enc.encode_ordinary(" " + w) for _, t in rows for w in t.lower().split()}
+    c = Counter(w for d, t in rows if zlib.crc32(str(d).encode()) % 5 != 1 for w in t.lower().split())
+    size, kinds = Counter(), Counter(model.classes[ids[w][0]] for w in c)
+    for w, n in c.items():
+        size[model.classes[ids[w][0]]] += n
+    out = {}
+    for d, t in rows:
+        seen, total = [end], 0.0
+        for word in [*t.lower().split(), None]:
+            at, g = len(seen) - 1, model.classes[end if word is None else ids[word][0]]
+            first = max(0, (at // BLOCK - 1) * BLOCK)
+            e = np.array([p["ec"][model.classes[i]] + p["ei"][i] for i in seen[first:]])
+            a = np.exp((e @ p["k"]) @ (e[-1] @ p["q"]) / math.sqrt(lm.WIDTH) + p["b"][at - np.arange(first, at + 1)])
+            z = (e[-1] + (a / a.sum()) @ (e @ p["v"]) @ p["o"]) @ p["u"] + p["c"]
+            total += z[g] - z.max() - math.log(np.exp(z - z.max()).sum())
+            if word is not None:
+                total += math.log((c[word] + 0.5) / (size[g] + 0.5 * (kinds[g] + 1)))
+                seen += ids[word]
+        out[d] = total / math.log(10)
+    return out
+
+
+def test_all_subwords_of_a_word_enter_the_model(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("n_chars < 4000").limit(120).selectExpr("doc_id", "lower(regexp_replace(text, '[^a-zA-Z0-9 ]', '')) as text")
+    models, scored = [], lm.scored
+    monkeypatch.setattr(lm, "scored", lambda *a, **k: models.append(scored(*a, **k)) or models[-1])
+    got = lm_scores(docs, head=300).collect()
+    texts = [tuple(r) for r in docs.collect()]
+    want = score_by_subwords(texts, models[0][1], lm.vocabulary_path())
+    assert len(got) == len(want) > 80
+    for r in got:
+        assert math.isclose(r.score, want[r.doc_id], rel_tol=1e-4, abs_tol=1e-3)
+    inner = {i for _, t in texts for w in t.split() for i in lm._encoding(lm.vocabulary_path()).encode_ordinary(" " + w)[1:]}
+    assert len(inner) > 100 and np.any(models[0][1].p["ei"][sorted(inner)], axis=1).mean() > 0.9  # and is learned from
+
+
+def test_pieces_are_those_of_single_words():
+    path, rng = lm.vocabulary_path(), np.random.default_rng(6)
+    words = ["".join(map(chr, rng.integers(0x21, 0x7F, n))).encode() for n in rng.integers(1, 30, 5000)] + [b"'s", b"\x1c", b"a\x1fb", "é".encode(), "a\xa0".encode(), "日本".encode(), b"antidisestablishmentarianism"]
+    single = [lm._encoding(path).encode_ordinary(" " + w.decode()) for w in words]
+    ids, sizes = lm.pieces(words, path)
+    assert sizes.tolist() == list(map(len, single)) and ids.tolist() == [i for x in single for i in x]
+    opens = lm.opening(path)
+    assert all(opens[x[0]] and not opens[x[1:]].any() for x in single) and opens[-1]
+    assert [len(x) for x in lm.pieces([], path)] == [0, 0]
+
+
+def test_equal_texts_score_alike_wherever_they_stand():
+    rng = np.random.default_rng(0)
+    model = Attention((np.arange(2001) % 58).astype(np.int32))
+    model.p = {k: (w + 0.3 * rng.standard_normal(w.shape)).astype(np.float32) for k, w in model.p.items()}
+    texts = [rng.integers(0, 2000, n) for n in rng.integers(0, 400, 80)]
+
+    def each(texts):
+        x, joined, y, counts, of = blocks(texts, 2000)
+        return np.bincount(of, (model.log_class(x, joined, y).astype(np.float64) * counts).sum(1), len(texts))
+
+    for far in (1, 100):  # and where one text leaves the range of plain floats
+        model.p["u"][:, 3] *= far
+        alone = np.array([each([t])[0] for t in texts])
+        assert (each(texts) == alone).all() and (each([rng.integers(0, 2000, 30_000), *texts[::-1]])[:0:-1] == alone).all()
