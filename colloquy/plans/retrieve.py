@@ -14,6 +14,8 @@ from colloquy.operators.chunk import header
 from colloquy.settings import Settings
 from colloquy.sources.scratch import Stages
 
+#: Parts of the questions whose terms are looked up in the texts at once.
+GROUP = 8
 #: Columns that ``analysed`` adds to chunks; stored with them, no question embeds the texts again.
 ANALYSED = ("vec",)
 
@@ -32,15 +34,16 @@ def indexed(chunks: DataFrame) -> DataFrame:
 
 
 def _scanned(chunks: DataFrame, terms: DataFrame, k: int, written: Callable) -> tuple[int, DataFrame, DataFrame]:
-    """How many chunks there are, (term, df), and the ``k`` best chunks of each question; the texts are read twice for each part of the questions."""
+    """How many chunks there are, (term, df), and the ``k`` best chunks of each question. The texts are cut and stemmed once for each GROUP parts of the questions;
+    the parts read what they hold of the asked terms."""
     texts = chunks.select(F.col("chunk_id").alias("id"), F.col("text").alias("w"))
     n, avgdl, counted, found = None, None, [], []
-    for part in scan.parts_of(terms):
-        held = scan.matched(texts, part, search.cut_words, search.porter)
+    for group in scan.parts_of(terms, GROUP):
+        held = written(scan.matched(texts, group, search.cut_words, search.porter), "held")
         if n is None:
             n, avgdl = scan.statistics(held)
         counted.append(written(scan.frequencies(held), "frequencies"))
-        found.append(scan.bm25(held, counted[-1], part, n, avgdl, k))
+        found += [scan.bm25(held, counted[-1], part, n, avgdl, k) for part in scan.parts_of(group)]
     return n, reduce(DataFrame.unionByName, counted).distinct(), reduce(DataFrame.unionByName, found)
 
 
